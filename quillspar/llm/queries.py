@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
     "op4_simhash": simhash.op4_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
