@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import packing, simhash, substring, tokens
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op4_simhash": simhash.op4_simhash,
+    "op5_token_output": tokens.op5_token_output,
+    "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
