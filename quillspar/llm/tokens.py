@@ -23,7 +23,7 @@ END = 0
 #: Texts whose split at spaces is known to keep the pieces apart; see Encoder.
 _PLAIN = r"^[\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{24f}]*$"
 _SPECIAL = r" [ \t\n\r]|<\|"
-_KNOWN = 800_000
+_KNOWN = 300_000
 
 
 class Encoder:
@@ -32,7 +32,7 @@ class Encoder:
     The library's pattern cuts a text into pieces, each of which is encoded for itself, and no piece has a space but in front (or is
     white space alone). So a text without white space after a space falls, at its spaces, into chunks that are encoded
     alike wherever they stand. Chunks are made distinct by Arrow, new ones go to the library, and the ids of chunks seen
-    before are kept (about _KNOWN of them, then the store starts anew). Texts with characters beyond the Latin blocks, where character
+    before are kept: about _KNOWN of them, then the half met most often stays. Texts with characters beyond the Latin blocks, where character
     classes might differ between regular expression engines, with control characters, with runs of spaces or with a special token's string
     go to the library whole.
     """
@@ -50,7 +50,19 @@ class Encoder:
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.pool, self.starts, self.lengths = np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pool, self.starts, self.lengths, self.met = (np.zeros(0, dtype=k) for k in (np.uint16, np.int64, np.int64, np.int32))
+
+    def _thin(self) -> None:
+        """Keep the chunks met most often, half of _KNOWN at most and none met but once."""
+        best = np.argsort(-self.met, kind="stable")[: _KNOWN // 2]
+        best = np.sort(best[self.met[best] > 1])
+        keys = list(self.slots)  # in order of their slots
+        chunks = [self.pool[a : a + n] for a, n in zip(self.starts[best].tolist(), self.lengths[best].tolist(), strict=True)]
+        met = self.met[best] // 2
+        self.clear()
+        if len(best):
+            self._learn([keys[k] for k in best.tolist()], np.concatenate(chunks), np.array([len(c) for c in chunks], dtype=np.int64))
+            self.met = met
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,6 +71,7 @@ class Encoder:
         self.slots |= zip(keys, range(len(self.starts), len(self.starts) + len(keys)), strict=True)
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
+        self.met = np.concatenate((self.met, np.zeros(len(keys), dtype=np.int32)))
         self.pool = np.concatenate((self.pool, ids))
 
     def _learn_alone(self, keys: list[str], texts: list[str]) -> None:
@@ -92,14 +105,16 @@ class Encoder:
             words = coded.dictionary.to_pylist()
             firsts = [f"\0{words[c]}" for c in coded.indices.to_numpy()[offsets[:-1] - offsets[0]].tolist()]
             if len(self.slots) > _KNOWN:
-                self.clear()
+                self._thin()
             self._learn_spaced([w for w in words if w and w not in self.slots])
             new = list(dict.fromkeys(w for w in firsts if w not in self.slots))
             if "" not in self.slots:
                 self._learn_alone([""], [" "])
             if new:
                 self._learn_alone(new, [w[1:] for w in new])
-            slots = np.array([self.slots[w] for w in words], dtype=np.int64)[coded.indices.to_numpy()]
+            distinct = np.array([self.slots[w] for w in words], dtype=np.int64)
+            self.met[distinct] += 1
+            slots = distinct[coded.indices.to_numpy()]
             slots[offsets[:-1] - offsets[0]] = [self.slots[w] for w in firsts]
             lengths = self.lengths[slots]
             ends = np.cumsum(lengths)
