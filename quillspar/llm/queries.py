@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring, tokens
+from . import language, packing, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
+    "op2_language": language.op2_language,
     "op4_simhash": simhash.op4_simhash,
     "op5_token_output": tokens.op5_token_output,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
