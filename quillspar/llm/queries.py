@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, packing, simhash, substring, tokens, toxicity
+from . import decontamination, language, packing, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_token_output": tokens.op5_token_output,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_packing": packing.op9_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_decontamination": decontamination.OP8_SQL}
