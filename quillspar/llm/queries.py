@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, packing, simhash, substring, tokens, toxicity
+from . import decontamination, language, neighbours, packing, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_language": language.op2_language,
     "op4_simhash": simhash.op4_simhash,
     "op5_token_output": tokens.op5_token_output,
+    "op6_nearest": neighbours.op6_nearest,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_packing": packing.op9_packing,
