@@ -178,20 +178,19 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 _FEATURES = "labels array<boolean>, hashed binary, shape array<double>"
 
 
-def train(df: DataFrame, categories: Sequence[str], text: str = "text", sample: tuple[int, int] = SAMPLE) -> Chain:
-    """Fit a chain over boolean label columns, in order, on a bounded sample of distinct texts (see SAMPLE), near copies left out.
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Chain:
+    """Fit a chain over boolean columns of ``labels``, in order, on a bounded sample of the labelled rows (see SAMPLE), near copies left out.
 
-    Rows with a null text or label are left out; the sample is the one of smallest text hashes. Features are found
-    on the executors; the driver gets hashes only. Shape features are for the first category; later ones get its probability.
+    Rows with a null text, id or label are left out; the sample is the one of smallest id hashes. It is drawn from the labels alone,
+    so it is the bounded side of a broadcast join. Features are found where the texts are read; the driver gets hashes only. Shape features are
+    for the first category; later ones get its probability.
     """
-    rows = df.where(F.col(text).isNotNull())
-    for c in categories:
-        rows = rows.where(F.col(c).isNotNull())
-    rows = rows.select(F.array(*[F.col(c).cast("boolean") for c in categories]).alias("labels"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    keys = labels.select(F.col(id_col).alias("label_id"), F.array(*[F.col(c).cast("boolean") for c in categories]).alias("labels"))
+    keys = keys.where("label_id is not null and not exists(labels, x -> x is null)").withColumn("order", F.xxhash64("label_id"))
     last = F.element_at("labels", -1)
-    rows = rows.dropDuplicates(["h"])
-    inside, outside = rows.where(last).orderBy("h").limit(sample[0]), rows.where(~last).orderBy("h").limit(sample[1])
-    taken = inside.unionAll(outside).repartition(8)
+    inside, outside = (keys.where(c).orderBy("order", "label_id").limit(n) for c, n in ((last, sample[0]), (~last, sample[1])))
+    rows = only(docs, id=id_col, text=text_col).where("text is not null")
+    taken = rows.join(F.broadcast(inside.unionAll(outside)), F.col("id") == F.col("label_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,13 +268,12 @@ def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 CATEGORIES = ("junk", "toxic")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with the two labels of the tables: junk (quality 0) and toxic."""
-    named = labels.select(F.col("doc_id").alias("labelled_id"), (F.col("quality") == 0).alias("junk"), (F.col("toxic") == 1).alias("toxic"))
-    return only(docs, doc_id="doc_id", text="text").join(named, F.col("doc_id") == F.col("labelled_id")).select("text", "junk", "toxic")
+def categories_of(labels: DataFrame) -> DataFrame:
+    """The labels table as two categories: junk (quality 0) and toxic."""
+    return labels.select("doc_id", (F.col("quality") == 0).alias("junk"), (F.col("toxic") == 1).alias("toxic"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    chain = train(labelled(docs, labels), CATEGORIES)
+    chain = train(docs, categories_of(labels), CATEGORIES)
     return classify(docs, chain).withColumnRenamed("id", "doc_id")

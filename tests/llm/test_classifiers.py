@@ -39,7 +39,7 @@ def test_toxicity_held_out(spark):
     """Rows of quality 0 in the small tables carry a toxic label at random, so they are not counted."""
     d = SF.replace("0.01", "0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    chain = toxicity.train(toxicity.labelled(docs, labels.where("doc_id % 3 <> 0")), toxicity.CATEGORIES)
+    chain = toxicity.train(docs, toxicity.categories_of(labels.where("doc_id % 3 <> 0")), toxicity.CATEGORIES)
     truth = {r.doc_id: r.toxic == 1 for r in labels.where("doc_id % 3 = 0 and quality = 1").collect()}
     out = {r.id: r.toxic for r in toxicity.classify(docs, chain).collect() if r.id in truth}
     hits, toxic = sum(truth[i] and out[i] for i in truth), sum(truth.values())
@@ -48,10 +48,13 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_edges(spark):
-    rows = [(f"good text number {i} here {'vile' if i % 2 else 'fine'}", False, i % 2 == 1) for i in range(60)] + [(None, True, True), ("odd", None, True)]
-    chain = toxicity.train(spark.createDataFrame(rows, "text string, junk boolean, toxic boolean"), ["junk", "toxic"])
+    spell = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(f"{' '.join(spell(7919 * i + k * k) for k in range(1, 9))} {'vile' if i % 2 else 'fine'}", False, i % 2 == 1) for i in range(90)] + [(None, True, True), ("odd", None, True)]
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _, _) in enumerate(rows)] + [(None, "vile", "x")], "doc_id long, text string, labels string")
+    labels = spark.createDataFrame([(i, j, t) for i, (_, j, t) in enumerate(rows)] + [(None, True, True), (7777, True, True)], "doc_id long, junk boolean, toxic boolean")
+    chain = toxicity.train(docs, labels, ["junk", "toxic"])
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "something VILE!!", 1), (None, "fine " * 100_000, 1)], "doc_id long, text string, toxic int")
     out = {r.id: r.toxic for r in toxicity.classify(df, chain).collect()}
     assert out == {1: False, 2: False, 3: True, None: False}
-    nothing = toxicity.train(spark.createDataFrame([], "text string, junk boolean, toxic boolean"), ["junk", "toxic"])
+    nothing = toxicity.train(docs, labels.limit(0), ["junk", "toxic"])
     assert [r.toxic for r in toxicity.classify(df, nothing).collect()] == [False] * 4
