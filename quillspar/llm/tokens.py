@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from .blocks import block_count, id_blocks
 from .common import only, shared_dir
@@ -23,7 +25,19 @@ END = 0
 #: Texts whose split at spaces is known to keep the pieces apart; see Encoder.
 _PLAIN = r"^[\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{24f}]*$"
 _SPECIAL = r" [ \t\n\r]|<\|"
-_KNOWN = 300_000
+_KNOWN = 400_000
+_MARKS = string.punctuation
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for the bytes: printable ones themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+#: For texts of space-headed words set apart by line ends.
+_LETTERS = _byte_letters() | {10: "\n"}
 
 
 class Encoder:
@@ -31,7 +45,8 @@ class Encoder:
 
     The library's pattern cuts a text into pieces, each of which is encoded for itself, and no piece has a space but in front (or is
     white space alone). So a text without white space after a space falls, at its spaces, into chunks that are encoded
-    alike wherever they stand. Chunks are made distinct by Arrow, new ones go to the library, and the ids of chunks seen
+    alike wherever they stand. Chunks are made distinct by Arrow, new ones go to the library (a word and the marks after it apart, as
+    its pattern has them; words without the pattern, which has no more to do), and the ids of chunks seen
     before are kept: about _KNOWN of them, then the half met most often stays. Texts with characters beyond the Latin blocks, where character
     classes might differ between regular expression engines, with control characters, with runs of spaces or with a special token's string
     go to the library whole.
@@ -40,6 +55,8 @@ class Encoder:
     def __init__(self, path: str = VOCABULARY, end: int = END):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer.from_file(path)
+        self.bare.pre_tokenizer = CharDelimiterSplit("\n")
         self.end = end
         strings = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(strings.values()) + 1
@@ -78,16 +95,51 @@ class Encoder:
         ids = self._whole(texts)
         self._learn(keys, np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64))
 
-    def _learn_spaced(self, words: list[str]) -> None:
-        """New chunks of a space and a word, encoded some hundred at a time as one text and cut by byte counts."""
-        slabs = [words[k : k + 256] for k in range(0, len(words), 256)]
-        if not slabs:
+    def _learn_slabs(self, words: pa.Array, bare: bool) -> None:
+        """Chunks of a space and a word, encoded some hundred at a time as one text and cut by byte counts."""
+        keys = words.to_pylist()
+        if not keys:
             return
-        found = self._whole(["".join([f" {w}" for w in slab]) for slab in slabs])
-        ids = np.concatenate(found)
-        sizes = pc.add(pc.binary_length(pa.array(words)), 1).to_numpy()
+        slabs = []
+        for k in range(0, len(keys), 256):
+            if not bare:
+                slabs.append(" " + " ".join(keys[k : k + 256]))
+                continue
+            text = " " + "\n ".join(keys[k : k + 256])
+            slabs.append(text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS))
+        found = (self.bare if bare else self.tokenizer).encode_batch_fast(slabs, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint16) for e in found])
+        sizes = pc.add(pc.binary_length(words), 1).to_numpy(zero_copy_only=False)
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1
-        self._learn(words, ids, np.diff(ends, prepend=0))
+        self._learn(keys, ids, np.diff(ends, prepend=0))
+
+    def _learn_words(self, words: pa.Array) -> None:
+        """New chunks of a space and a word of ``words``, words ending in marks being put together from two known ones."""
+        cores = pc.utf8_rtrim(words, _MARKS)
+        alpha, same = pc.utf8_is_alpha(cores), pc.equal(cores, words)
+        self._learn_slabs(words.filter(pc.and_(alpha, same)), True)
+        self._learn_slabs(words.filter(pc.invert(alpha)), False)
+        both = pc.and_(alpha, pc.invert(same))
+        words, cores = words.filter(both), cores.filter(both)
+        if not len(words):
+            return
+        missing = [c for c in cores.unique().to_pylist() if c not in self.slots]
+        ascii_first = sorted(missing, key=str.isascii, reverse=True)
+        self._learn_slabs(pa.array(ascii_first, pa.string()), True)
+        keys, stems = words.to_pylist(), cores.to_pylist()
+        tails = [w[len(c) :] for w, c in zip(keys, stems, strict=True)]
+        new = [t for t in dict.fromkeys(tails) if f"\1{t}" not in self.slots]
+        if new:
+            self._learn_alone([f"\1{t}" for t in new], new)
+        slots = self.slots
+        known = {t: slots[f"\1{t}"] for t in set(tails)}
+        pairs = np.array([[slots[c] for c in stems], [known[t] for t in tails]], dtype=np.int64).T
+        self._learn(keys, self._gather(pairs.ravel()), self.lengths[pairs].sum(axis=1))
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[slots]
+        ends = np.cumsum(lengths)
+        return self.pool[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(ends[-1])]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text (null: empty) the number of its ids with the end id, and all ids one after the other."""
@@ -102,11 +154,13 @@ class Encoder:
             lists = pc.split_pattern(texts.take(pa.array(some)), " ")
             offsets = lists.offsets.to_numpy()
             coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy()
             words = coded.dictionary.to_pylist()
-            firsts = [f"\0{words[c]}" for c in coded.indices.to_numpy()[offsets[:-1] - offsets[0]].tolist()]
+            firsts = [f"\0{words[c]}" for c in codes[offsets[:-1] - offsets[0]].tolist()]
             if len(self.slots) > _KNOWN:
                 self._thin()
-            self._learn_spaced([w for w in words if w and w not in self.slots])
+            fresh = [w for w in words if w and w not in self.slots]
+            self._learn_words(pa.array(sorted(fresh, key=str.isascii, reverse=True), pa.string()))
             new = list(dict.fromkeys(w for w in firsts if w not in self.slots))
             if "" not in self.slots:
                 self._learn_alone([""], [" "])
@@ -114,12 +168,10 @@ class Encoder:
                 self._learn_alone(new, [w[1:] for w in new])
             distinct = np.array([self.slots[w] for w in words], dtype=np.int64)
             self.met[distinct] += 1
-            slots = distinct[coded.indices.to_numpy()]
+            slots = distinct[codes]
             slots[offsets[:-1] - offsets[0]] = [self.slots[w] for w in firsts]
-            lengths = self.lengths[slots]
-            ends = np.cumsum(lengths)
-            ids = self.pool[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(ends[-1])]
-            cuts = np.concatenate(([0], ends))[offsets - offsets[0]]
+            ids = self._gather(slots)
+            cuts = np.concatenate(([0], np.cumsum(self.lengths[slots])))[offsets - offsets[0]]
             for k, low, high in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 out[k] = ids[low:high]
         lengths = np.array([len(x) + 1 for x in out], dtype=np.int64)
@@ -131,7 +183,7 @@ class Encoder:
         return lengths, ids
 
 
-def pieces(column: pa.ChunkedArray | pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def pieces(column: pa.ChunkedArray | pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) in runs of about ``limit`` bytes."""
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.cumsum(pc.binary_length(whole).fill_null(0).to_numpy(zero_copy_only=False))
