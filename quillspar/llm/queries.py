@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, neighbours, packing, simhash, substring, tokens, toxicity
+from . import decontamination, html, language, neighbours, packing, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_language": language.op2_language,
+    "op3_main_text": html.op3_main_text,
     "op4_simhash": simhash.op4_simhash,
     "op5_token_output": tokens.op5_token_output,
     "op6_nearest": neighbours.op6_nearest,
