@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, language, neighbours, packing, simhash, substring, tokens, toxicity
+from . import decontamination, html, language, neighbours, packing, pitman_yor, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_packing": packing.op9_packing,
+    "op10_lm_score": pitman_yor.op10_lm_score,
 }
 ORACLE_SQL = {"op8_decontamination": decontamination.OP8_SQL}
