@@ -34,11 +34,14 @@ def _canonical(x: Column, before: Column) -> Column:
     A number is <num>, a unit word right after a number <unit>, a capitalised word inside a sentence <name>. Words all in capitals are plain.
     """
     rest = F.substring(x, 2, 1 << 20)
-    name = (F.length(x) > 1) & (rest == F.lower(rest)) & (F.substring(x, 1, 1) != F.lower(F.substring(x, 1, 1))) & before.isNotNull() & ~_is_mark(before)
-    return F.when(_is_mark(x), F.lit(None).cast("string")).when(_is_number(x), F.lit("<num>")).when(F.lower(x).isin(*UNITS) & before.isNotNull() & _is_number(before), F.lit("<unit>")).when(name, F.lit("<name>")).otherwise(F.lower(x))
+    name = (F.length(x) > 1) & (rest == F.lower(rest)) & before.isNotNull() & ~_is_mark(before)
+    low = F.lower(x)
+    word = F.when(low.isin(*UNITS), F.when(_is_number(F.coalesce(before, F.lit(""))), F.lit("<unit>")).otherwise(low))
+    return word.when(x.rlike(r"^\p{Ll}"), low).when(_is_mark(x), F.lit(None).cast("string")).when(_is_number(x), F.lit("<num>")).when(name & (F.substring(x, 1, 1) != F.substring(low, 1, 1)), F.lit("<name>")).otherwise(low)
 
 
 def canonical_tokens(raw: Column) -> Column:
+    """Canonical forms of the tokens in ``raw``, which must be a column: the expression is looked into for every token."""
     return F.array_compact(F.transform(raw, lambda x, i: _canonical(x, F.get(raw, i - 1))))
 
 
@@ -76,6 +79,34 @@ def templates(benchmark: DataFrame, item_col: str, text_col: str, window: int, l
     return items.where(F.size(F.filter("want", lambda x: ~_is_slot(x))) >= literals)
 
 
+def _canonical_rows(keyed: DataFrame) -> DataFrame:
+    return keyed.where("text is not null").select("id", "h", raw_tokens(F.col("text")).alias("raw")).select("id", "h", canonical_tokens(F.col("raw")).alias("canon"), plain_tokens(F.col("raw")).alias("plain"))
+
+
+def same_row(id_col: Column, h: Column) -> Column:
+    """Whether a flagged row (i, g) is the row of this id, which may be null, and this hash of the text."""
+    return id_col.eqNullSafe(F.col("i")) & (h == F.col("g"))
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """The contaminated rows alone: (i, g, n_windows, items), i being the id and g xxhash64 of the text. See contaminated."""
+    wanted = templates(benchmark.where(F.col(f"`{item_col}`").isNotNull()), item_col, item_text, window, literals)
+    keyed = only(docs, id=id_col, text=text_col).withColumn("h", F.xxhash64("text"))
+    index = wanted.select("len", "hash").distinct()
+    lengths = sorted(r.len for r in index.select("len").distinct().collect())  # at most ``window`` values
+    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    pieces = F.flatten(F.array(*[_windows(F.col("canon"), F.lit(n)) for n in lengths])) if lengths else F.array().cast("array<struct<pos:int,len:int,hash:bigint>>")
+    found = _canonical_rows(keyed).select("id", "h", F.explode(pieces).alias("w")).select("id", "h", "w.pos", "w.len", "w.hash")
+    hits = found.join(F.broadcast(index) if small else index, ["len", "hash"]).distinct()
+    sources = keyed.join(hits.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct(), same_row(F.col("id"), F.col("h")), "left_semi").dropDuplicates(["id", "h"])
+    sources = _canonical_rows(sources).select(F.col("id").alias("i"), F.col("h").alias("g"), "canon", "plain")
+    seen = hits.join(sources, same_row(F.col("id"), F.col("h")))
+    seen = seen.select("id", "h", "pos", "len", "hash", F.slice("canon", F.col("pos") + 1, F.col("len")).alias("have"), _slots(F.col("canon"), F.col("plain"), F.col("pos"), F.col("len")).alias("values"))
+    pairs = seen.join(wanted.select("item", "len", "hash", "want", "slots"), ["len", "hash"]).where(F.col("have") == F.col("want"))
+    pairs = pairs.where(F.size(F.array_distinct(F.arrays_zip("slots", "values"))) == F.size(F.array_distinct("slots")))
+    return pairs.groupBy("id", "h").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("items")).select(F.col("id").alias("i"), F.col("h").alias("g"), "n_windows", "items")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """Per row of ``docs``: (id, contaminated, n_windows, items).
 
@@ -88,27 +119,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Windows are matched by hash first and by their tokens for the few rows that hit. Nothing depends on how often a window occurs: templates
     are made distinct before the join.
     """
-    wanted = templates(benchmark.where(F.col(f"`{item_col}`").isNotNull()), item_col, item_text, window, literals)
-    rows = only(docs, id=id_col, text=text_col)
-    index = wanted.select("len", "hash").distinct()
-    lengths = sorted(r.len for r in index.select("len").distinct().collect())  # at most ``window`` values
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keyed = rows.select("id", "text", F.xxhash64("text").alias("h"))
-    canon = keyed.where("text is not null").select("id", "h", canonical_tokens(raw_tokens(F.col("text"))).alias("canon"))
-    pieces = F.flatten(F.array(*[_windows(F.col("canon"), F.lit(n)) for n in lengths])) if lengths else F.array().cast("array<struct<pos:int,len:int,hash:bigint>>")
-    found = canon.select("id", "h", F.explode(pieces).alias("w")).select("id", "h", "w.pos", "w.len", "w.hash")
-    hits = found.join(F.broadcast(index) if small else index, ["len", "hash"]).distinct()
-    sources = keyed.join(hits.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct(), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_semi").dropDuplicates(["id", "h"])
-    sources = sources.withColumn("raw", raw_tokens(F.col("text"))).select(F.col("id").alias("i"), F.col("h").alias("g"), canonical_tokens(F.col("raw")).alias("canon"), plain_tokens(F.col("raw")).alias("plain"))
-    seen = hits.join(sources, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
-    seen = seen.select("id", "h", "pos", "len", "hash", F.slice("canon", F.col("pos") + 1, F.col("len")).alias("have"), _slots(F.col("canon"), F.col("plain"), F.col("pos"), F.col("len")).alias("values"))
-    pairs = seen.join(wanted.select("item", "len", "hash", "want", "slots"), ["len", "hash"]).where(F.col("have") == F.col("want"))
-    pairs = pairs.where(F.size(F.array_distinct(F.arrays_zip("slots", "values"))) == F.size(F.array_distinct("slots")))
-    flags = pairs.groupBy("id", "h").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("items")).select(F.col("id").alias("i"), F.col("h").alias("g"), "n_windows", "items")
-    out = keyed.select("id", "h").join(flags, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    flags = flagged(docs, benchmark, id_col, text_col, item_col, item_text, window, literals)
+    keyed = only(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("h"))
+    out = keyed.join(flags, same_row(F.col("id"), F.col("h")), "left")
     return out.select("id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("items", F.array().cast(dict(flags.dtypes)["items"])).alias("items"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) that are not contaminated, all columns kept."""
+    return docs.join(flagged(docs, benchmark).select("i", "g"), same_row(F.col("doc_id"), F.xxhash64("text")), "left_anti")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = contaminated(docs, benchmark)
