@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import hash_texts, hash_windows, mix, slices
 from .common import cut, only, partitions, popcount, utf8, word_blocks
 from .components import components
 
@@ -183,6 +185,151 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(named, "fp", "left").select("id", "fp", "component")
 
 
+#: Bits of a long fingerprint, and the bands of minimum hashes (BANDS of ROWS each) that make two of them candidates.
+BITS, BANDS, ROWS = 2048, 14, 5
+_SALTS = np.array([xxhash.xxh64_intdigest(f"word {i}".encode(), SEED) for i in range(BITS // 64)], dtype=np.uint64)
+_MINS = np.array([xxhash.xxh64_intdigest(f"minimum {i}".encode(), SEED) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
+
+
+def long_fingerprint(shingles: np.ndarray) -> tuple[bytes, list[int]]:
+    """The BITS-bit fingerprint of a set of shingle hashes, and its band keys.
+
+    Each shingle votes on each bit; the smallest one breaks ties. Two sets differ in a share of the bits that is the angle between them
+    over pi. A band key digests ROWS minimum hashes, so two sets of similarity s share a given key with probability s**ROWS.
+    """
+    if not len(shingles):
+        return bytes(BITS // 8), [0]
+    votes, least = np.zeros(BITS, dtype=np.int64), np.full(len(_MINS), np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 255):  # as many ones as a byte counts
+        some = shingles[at : at + 255]
+        drawn = np.unpackbits(mix(some[:, None] ^ _SALTS).view(np.uint8), axis=1)
+        votes += drawn.sum(axis=0, dtype=np.uint8)
+        least = np.minimum(least, (some[:, None] * _MINS).min(axis=0))
+    first = np.unpackbits(mix(shingles.min() ^ _SALTS).view(np.uint8))
+    ones = 4 * votes + 2 * first > 2 * len(shingles) + 1
+    bands = least.reshape(BANDS, ROWS)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mix(keys ^ mix(bands[:, k]))
+    return np.packbits(ones).tobytes(), keys.view(np.int64).tolist()
+
+
+def similarity(bits: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of sets of n and m shingles whose long fingerprints differ in so many bits."""
+    common = np.cos(np.pi * bits / BITS).clip(0) * np.sqrt(n.astype(float) * m)
+    return common / np.maximum(n + m - common, 1e-9)
+
+
+def long_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (id, fp, n, keys): long fingerprint, number of distinct shingles and band keys of each row's whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch, "text", 1 << 20):
+                hashes, offsets = hash_texts([t and t.lower() for t in texts])
+                found = []
+                for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    own = np.unique(hash_windows(hashes[low:high], max(1, min(shingle, high - low))))
+                    found.append((*long_fingerprint(own), len(own)))
+                fps, keys, sizes = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "n", "keys"])
+
+    return only(df, id=id_col, text=text_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, fp binary, n int, keys array<bigint>")
+
+
+def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by band key, links (row, first row of its group) among rows of equal key that are ``least`` or more alike."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    most = int(BITS * math.acos(2 * least / (1 + least)) / math.pi) + 1  # sets of unlike sizes must be nearer than equal ones
+    i, step = np.arange(len(key)), 1
+    while True:
+        i = i[i + step < len(key)]
+        i = i[key[i] == key[i + step]]
+        if not len(i):
+            break
+        for at in range(0, len(i), 8192):
+            a = i[at : at + 8192]
+            b = a + step
+            fit = np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]) - 1e-9
+            a, b = a[fit], b[fit]
+            apart = popcount(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+            near = apart <= most
+            near[near] = similarity(apart[near], sizes[a[near]], sizes[b[near]]) >= least
+            out.append((a[near], b[near]))
+        step += 1
+    if not out:
+        return i, i
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    root = stars(len(key), a, b)
+    moved = np.flatnonzero(root != np.arange(len(key)))
+    return moved, root[moved]
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per input row: (id, component), rows being linked if their sets of word shingles have a similarity of ``least`` or more.
+
+    64 bits don't tell a similarity of 0.8 from one of 0.7 (fingerprints then differ in 8 to 12 of them, give or take 4), and at that
+    distance pivots discard nothing. So fingerprints have 2048 bits here, which estimate the similarity with an
+    error of 0.02; candidates agree on a band of minimum hashes, which at 0.8 is missed once in 200 times, and survivors are
+    verified on all bits. Equal fingerprints are taken once, and a band's group gives stars, not pairs.
+
+    Texts of fewer words than a shingle are one shingle; wordless and null texts are alike. A null id keeps its row and takes its component
+    from the others (null if none has an id). Empty tables give empty results; only the two named columns are read.
+    """
+    docs = cut(long_fingerprints(df, id_col, text_col, shingle))
+    first = cut(docs.groupBy("fp", "n").agg(F.min("id").alias("first"), F.min("keys").alias("keys")))
+    rows = first.where("first is not null").select(F.explode("keys").alias("key"), F.col("first").cast("long").alias("first"), "n", "fp")
+    rows = rows.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key")
+
+    def find(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, ids, sizes = (np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in rows]) for c in ("key", "first", "n"))
+        crowd = np.zeros(len(key), dtype=bool)
+        crowd[1:] = key[1:] == key[:-1]
+        crowd[:-1] |= crowd[1:]
+        at = np.flatnonzero(crowd)
+        fps = pa.Table.from_batches(rows).column("fp").take(pa.array(at)).to_pylist()
+        fps = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(at), BITS // 64)
+        a, b = band_links(key[at], fps, sizes[at], least)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at[a]]), pa.array(ids[at[b]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            held.append(batch)
+            change = np.flatnonzero(key != key[-1])
+            if sum(r.num_rows for r in held) < 50_000 or not len(change):
+                continue
+            at = int(change[-1]) + 1
+            yield find([*held[:-1], batch.slice(0, at)])
+            held = [batch.slice(at)]
+        if held:
+            yield find(held)
+
+    roots = components(rows.mapInArrow(run, "a bigint, b bigint"))
+    named = cut(first.join(roots, F.col("first") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("root", F.col("first").cast("long")).alias("root")))
+    least_ids = named.where("root is not null").groupBy("root").agg(F.min("first").alias("component"))
+    named = named.join(least_ids, "root", "left").select("fp", "n", "component")
+    return docs.select("id", "fp", "n").join(named, ["fp", "n"], "left").select("id", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) without near copies of a row of smaller id, all columns kept.
+
+    Of repeated rows (same id) one stays; rows of null id stay, as nothing tells them apart. An empty table stays empty.
+    """
+    found = near_copies(docs, "doc_id", "text", shingle, least).where("id is not null")
+    found = cut(found.groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("component")))
+    gone, again = found.where("component <> id").select(F.col("id").alias("gone")), found.where("n > 1").select(F.col("id").alias("again"))
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionAll(twice)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = near_duplicates(docs, "doc_id", "text", shingle=4, max_bits=4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +45,31 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Nulls and empty texts have no words: counts 0, kept ''. A null id counts as larger than all ids (rows of null id don't
     affect one another); rows of equal id don't remove each other's words. Only the two named columns are read.
     """
-    docs = only(df, id=id_col, text=text_col)
-    kind = dict(docs.dtypes)["id"]
-    n = block_count(docs, "text")
-    docs = docs.withColumn("block", id_blocks(docs, "id", n))
+    kind = dict(df.dtypes)[id_col]
+    return _removed(only(df, id=id_col, text=text_col), "id", "text", window, None, f"id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,length:bigint>>")
+
+
+def strip_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, length_col: str | None = None) -> DataFrame:
+    """The rows of ``df``, all columns kept, with repeated windows removed from the text as by remove_repeats.
+
+    A text that loses words becomes its other words joined by one space ('' if none are left), and ``length_col`` its characters; other texts stay as
+    they are. Columns go by place, so clashing names do no harm. Null ids, repeated rows and empty tables are as in remove_repeats.
+    """
+    names = df.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    length = plain[names.index(length_col)] if length_col else None
+    docs = df.toDF(*plain)
+    out = _removed(docs, plain[names.index(id_col)], plain[names.index(text_col)], window, (plain, length), docs.schema)
+    return out.toDF(*names)
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tuple[list[str], str | None] | None, schema) -> DataFrame:
+    """remove_repeats, or strip_repeats if ``whole`` names the columns to return and the one for the length."""
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n = block_count(slim, "text")
+    block = id_blocks(slim, "id", n)
+    slim = slim.withColumn("block", block)
+    full = slim if whole is None else docs.withColumn("id", F.col(id_col)).withColumn("block", block).withColumnRenamed(text_col, "text")
 
     def send(table: pa.Table) -> pa.Table:
         keys, _, _ = _suffixes(table, window)
@@ -113,15 +135,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out["n_removed"].append(removed)
                     out["kept"].append(b" ".join(words))
                     out["spans"].append(spans)
+        if whole is not None:
+            return replaced(table, out)
         out["id"] = pa.array([x.as_py() for x in out["id"]], table.schema.field("id").type)
         out["n_words"], out["n_removed"] = (pa.array(out[c], pa.int64()) for c in ("n_words", "n_removed"))
         out["kept"] = pa.array(out["kept"], pa.binary()).cast(pa.string())
         out["spans"] = pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
         return pa.table(out)
 
-    sent = docs.groupBy("block").applyInArrow(send, "part int, block int, keys binary")
+    def replaced(table: pa.Table, out: dict[str, list]) -> pa.Table:
+        columns, length = whole
+        shorter = pa.array([n > 0 for n in out["n_removed"]], pa.bool_())
+        texts = pc.if_else(shorter, pa.chunked_array([pa.array(out["kept"], pa.binary()).cast(pa.string())]), table.column("text").cast(pa.string()))
+        table = table.set_column(table.schema.get_field_index("text"), text_col, texts)
+        if length is not None:
+            at = table.schema.get_field_index(length)
+            kind = table.schema.field(length).type
+            table = table.set_column(at, length, pc.if_else(shorter, pc.utf8_length(texts).cast(kind), table.column(length)))
+        return table.select(columns)
+
+    sent = slim.groupBy("block").applyInArrow(send, "part int, block int, keys binary")
     answers = sent.groupBy("part").applyInArrow(answer, "block int, keys binary")
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, f"id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,length:bigint>>")
+    return full.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

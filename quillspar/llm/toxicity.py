@@ -235,6 +235,19 @@ class _Lookup:
         return out
 
 
+def _judge(model: Chain, look: _Lookup, texts: pa.Array) -> np.ndarray:
+    """Probabilities of the texts, a column per category; wordless ones have none."""
+    hashed, shapes, blank = [], [], []
+    for data in utf8(texts):
+        words = terms((data or b"").decode())
+        hashed.append(look(words))
+        shapes.append(dense(data or b"", len(words)))
+        blank.append(not words)
+    p = model.predict(hashed, np.array(shapes).reshape(len(shapes), _DENSE))
+    p[np.array(blank, dtype=bool)] = 0.0
+    return p
+
+
 def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row (id, one probability per category, and whether each is over its threshold), judged on the whole text.
 
@@ -250,14 +263,7 @@ def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                hashed, shapes, blank = [], [], []
-                for data in utf8(part.column("text")):
-                    words = terms((data or b"").decode())
-                    hashed.append(look(words))
-                    shapes.append(dense(data or b"", len(words)))
-                    blank.append(not words)
-                p = model.predict(hashed, np.array(shapes).reshape(len(shapes), _DENSE))
-                p[np.array(blank, dtype=bool)] = 0.0
+                p = _judge(model, look, part.column("text"))
                 over = [p[:, k] > link.threshold for k, link in enumerate(model.links)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c) for c in p.T), *(pa.array(o) for o in over)], ["id", *(f"p_{n}" for n in names), *names])
 
@@ -265,6 +271,24 @@ def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     return docs.mapInArrow(run, schema)
 
 
+def drop(df: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are not over the category's threshold, all columns kept; see classify. Columns go by place."""
+    shared = df.sparkSession.sparkContext.broadcast(chain)
+    text = df.columns.index(text_col)
+    at = [link.name for link in chain.links].index(category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, look = shared.value, _Lookup(shared.value)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                p = _judge(model, look, part.column(text))
+                yield part.filter(pa.array(p[:, at] <= model.links[at].threshold))
+
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 CATEGORIES = ("junk", "toxic")
 
 
