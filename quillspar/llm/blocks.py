@@ -141,6 +141,46 @@ def id_blocks(df: DataFrame, column: str, n: int) -> Column:
     return F.when(value.isNull(), F.lit((len(edges) + 2) * parts).cast("int")).otherwise(_search(value, edges, 0, make))
 
 
+def order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit keys: a plain sort of their high bits with the place in the low ones, many times as fast as argsort."""
+    low = np.uint64(max(1, len(keys)).bit_length())
+    at = np.sort((keys >> low << low) | np.arange(len(keys), dtype=np.uint64))
+    at = (at & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+    found = keys[at]
+    for k in np.flatnonzero(found[1:] < found[:-1]).tolist():  # different keys of the same high bits are rare
+        a, b = (int(x) for x in np.searchsorted(found >> low, [found[k] >> low, (found[k] >> low) + np.uint64(1)]))
+        at[a:b] = at[a:b][np.argsort(keys[at[a:b]], kind="stable")]
+    return at
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the first place of each, and for each place which it has."""
+    at = order(keys)
+    found = keys[at]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = found[1:] != found[:-1]
+    inverse = np.empty(len(keys), dtype=np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return found[new], at[new], inverse
+
+
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the rising ``keys`` are in the rising array ``known``."""
+    at = np.searchsorted(known, keys)
+    out = np.zeros(len(keys), dtype=bool)
+    inside = at < len(known)
+    out[inside] = known[at[inside]] == keys[inside]
+    return out
+
+
 def pack(sorted_keys: np.ndarray) -> bytes:
     """Rising 64-bit keys as byte planes of their differences; the high planes are nearly all zero and compress away."""
     return np.diff(sorted_keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()

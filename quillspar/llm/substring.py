@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import block_count, group_of, hash_texts, hash_windows, id_blocks, pack, slices, unpack
+from .blocks import among, block_count, distinct, group_of, grouped, hash_texts, hash_windows, id_blocks, order, pack, slices, unpack
 from .common import only
 
 WINDOW = 13
@@ -73,24 +73,25 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
 
     def send(table: pa.Table) -> pa.Table:
         keys, _, _ = _suffixes(table, window)
-        keys = np.unique(keys)
+        keys = distinct(keys)
         edges = np.searchsorted(group_of(keys, n), np.arange(n + 1))
         used = np.flatnonzero(np.diff(edges))
         block = table.column("block")[0].as_py()
         return pa.table({"part": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([pack(keys[edges[g] : edges[g + 1]]) for g in used], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
         blocks = table.column("block").to_numpy()
         lists = [unpack(b.as_py()) for b in table.column("keys")]
         keys = np.concatenate(lists)
         owner = np.repeat(blocks, [len(x) for x in lists])
-        order = np.lexsort((owner, keys))
-        keys, owner = keys[order], owner[order]
+        at = order(keys)
+        keys, owner = keys[at], owner[at]
         again = np.zeros(len(keys), dtype=bool)
         again[1:] = keys[1:] == keys[:-1]
         keys, owner = keys[again], owner[again]
-        order = np.argsort(owner, kind="stable")
-        keys, owner = keys[order], owner[order]
+        at = np.argsort(owner, kind="stable")
+        keys, owner = keys[at], owner[at]
         found, at = np.unique(owner, return_index=True)
         return pa.table({"block": pa.array(found, pa.int32()), "keys": pa.array([pack(x) for x in np.split(keys, at[1:])] if len(found) else [], pa.binary())})
 
@@ -99,7 +100,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
         if table.num_rows:
             table = table.sort_by("id")
             lists = [unpack(b.as_py()) for b in earlier.column("keys")]
-            earlier_keys = np.unique(np.concatenate(lists)) if lists else np.zeros(0, dtype=np.uint64)
+            earlier_keys = distinct(np.concatenate(lists)) if lists else np.zeros(0, dtype=np.uint64)
             keys, rows, parts = _suffixes(table, window)
             ids = table.column("id")
             new = np.ones(table.num_rows, dtype=np.int64)
@@ -109,10 +110,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
             elif table.num_rows > 1:
                 new[1:] = 0
             rank = np.cumsum(new)[rows]
-            seen, inverse = np.unique(keys, return_inverse=True)
+            seen, _, inverse = grouped(keys)
             least = np.full(len(seen), np.iinfo(np.int64).max)
             np.minimum.at(least, inverse, rank)
-            gone = (np.isin(seen, earlier_keys, assume_unique=True)[inverse] if len(earlier_keys) else False) | (rank > least[inverse])
+            gone = among(seen, earlier_keys)[inverse] | (rank > least[inverse])
             at = 0
             for first, chunk, offsets, inside in parts:
                 hit = inside[gone[at : at + len(inside)]]
