@@ -1 +1 @@
-"""."""
+"""Column expressions: text, values and paths. Everything here stays in the JVM."""

@@ -1,4 +1,8 @@
-"""The query catalogue."""
+"""All queries of the engine."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import evidence, jobs, retrieval
+
+QUERIES = retrieval.QUERIES | evidence.QUERIES | jobs.QUERIES
+ORACLE_SQL = retrieval.ORACLE_SQL | evidence.ORACLE_SQL | jobs.ORACLE_SQL

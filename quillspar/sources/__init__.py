@@ -1 +1 @@
-"""."""
+"""Sources: file scans, decoding and parsers."""
