@@ -19,7 +19,7 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _manifest(self) -> dict[str, str]:
-        rows = self.spark.read.text(f"{self.root}/_manifest.json", wholetext=True).first() if self._fs.exists(self._path(f"{self.root}/_manifest.json")) else None
+        rows = self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first() if self._fs.exists(self._path(f"{self.root}/manifest.json")) else None
         return json.loads(rows.value) if rows else {}
 
     def read(self, table: str) -> DataFrame:
@@ -36,11 +36,11 @@ class Store:
             new[name] = f"{self.root}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(new[name])
         manifest = json.dumps(self._manifest() | new)
-        draft = self._path(f"{self.root}/_manifest.{uuid.uuid4().hex}")
+        draft = self._path(f"{self.root}/_draft.{uuid.uuid4().hex}")
         out = self._fs.create(draft)
         out.write(bytearray(manifest.encode()))
         out.close()
-        target = self._path(f"{self.root}/_manifest.json")
+        target = self._path(f"{self.root}/manifest.json")
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE

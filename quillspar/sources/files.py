@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspar.functions import paths as P
 
@@ -45,7 +46,7 @@ def decode(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(_legacy(F.when(~F.is_valid_utf8(content.cast("string")), content)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _legacy(content: pa.Array) -> pa.Array:
     def one(data: bytes | None) -> str | None:
         if data is None:
