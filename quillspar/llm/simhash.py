@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import hash_texts, hash_windows, mix, slices
+from .blocks import distinct, hash_texts, hash_windows, mix, slices
 from .common import cut, only, partitions, popcount, utf8, word_blocks
 from .components import components
 
@@ -229,7 +229,7 @@ def long_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -
                 hashes, offsets = hash_texts([t and t.lower() for t in texts])
                 found = []
                 for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    own = np.unique(hash_windows(hashes[low:high], max(1, min(shingle, high - low))))
+                    own = distinct(hash_windows(hashes[low:high], max(1, min(shingle, high - low))))
                     found.append((*long_fingerprint(own), len(own)))
                 fps, keys, sizes = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "n", "keys"])
