@@ -50,17 +50,36 @@ def dense(data: bytes, distinct: int) -> list[float]:
     return [capitals / n, marks / n, digits / n, np.log1p(distinct) / np.log1p(n), np.log1p(n) / 20]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, turns: int = 30) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton steps; both classes weigh alike."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    share = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
+def _block(x: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Some rows of (binary features, others) as numbers, with a one for the intercept."""
+    return np.hstack((x[0][rows], x[1][rows], np.ones((len(rows), 1))))
+
+
+def _linear(x: tuple[np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
+    return np.concatenate([_block(x, r) @ w for r in _parts(np.arange(len(x[0])))] or [np.zeros(0)])
+
+
+def _parts(rows: np.ndarray, size: int = 1024) -> list[np.ndarray]:
+    return [rows[at : at + size] for at in range(0, len(rows), size)]
+
+
+def fit_logistic(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, use: np.ndarray, l2: float = 1e-5, turns: int = 30) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton steps over the rows ``use``; both classes weigh alike.
+
+    Binary features stay bytes; numbers are made for a thousand rows at a time.
+    """
+    rows = np.flatnonzero(use)
+    w = np.zeros(x[0].shape[1] + x[1].shape[1] + 1)
+    share = np.where(y, 0.5 / max(1, y[rows].sum()), 0.5 / max(1, (~y[rows]).sum()))
     ridge = np.full(len(w), l2)
     ridge[-1] = 1e-6
     for _ in range(turns):
-        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        g = x.T @ (share * (p - y)) + ridge * w
-        h = (x * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
+        g, h = ridge * w, np.diag(ridge)
+        for part in _parts(rows):
+            block = _block(x, part)
+            p = sigmoid(block @ w)
+            g += block.T @ (share[part] * (p - y[part]))
+            h += (block * (share[part] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ block
         step = np.linalg.solve(h, g)
         w -= step * min(1, 10 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-4:
@@ -81,12 +100,12 @@ class Link:
     weights: np.ndarray
     threshold: float
 
-    def matrix(self, hashed: Sequence[np.ndarray], extra: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(hashed), len(self.columns)))
+    def matrix(self, hashed: Sequence[np.ndarray], extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.zeros((len(hashed), len(self.columns)), dtype=np.uint8)
         for k, found in enumerate(hashed):
             hit = [self.columns[h] for h in found if h in self.columns]
             x[k, hit] = 1
-        return np.hstack((x, extra))
+        return x, extra
 
 
 @dataclass
@@ -97,23 +116,32 @@ class Chain:
         """Probabilities, a column per category in order; each link sees those of the links before it."""
         out = np.zeros((len(hashed), len(self.links)))
         for k, link in enumerate(self.links):
-            x = link.matrix(hashed, out[:, :k] if k else shapes)
-            out[:, k] = sigmoid(np.hstack((x, np.ones((len(x), 1)))) @ link.weights)
+            out[:, k] = sigmoid(_linear(link.matrix(hashed, out[:, :k] if k else shapes), link.weights))
         return out
 
 
+def _counts(hashed: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features in order and how many rows have each; sorted in place, for the driver's memory."""
+    flat = np.concatenate([np.zeros(0, dtype="<u4"), *hashed])
+    flat.sort()
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), dtype=bool), flat[1:] != flat[:-1])))
+    return flat[at], np.diff(at, append=len(flat))
+
+
 def _telling(hashed: Sequence[np.ndarray], y: np.ndarray, limit: int) -> dict[int, int]:
     """Features of the category by falling strength of evidence.
 
     A feature counts if it is at least five times as frequent inside as outside, and if as many of its rows inside would come
     about by chance with a probability under one in a million (a bound on the binomial tail by relative entropy).
     """
-    every, inverse = np.unique(np.concatenate(hashed), return_inverse=True)
-    owner = np.repeat(y, [len(h) for h in hashed])
-    inside, outside = np.bincount(inverse[owner], minlength=len(every)), np.bincount(inverse[~owner], minlength=len(every))
+    every, total = _counts(hashed)
+    own, times = _counts([h for h, inside in zip(hashed, y, strict=True) if inside])
+    inside = np.zeros(len(every), dtype=np.int64)
+    inside[np.searchsorted(every, own)] = times
+    outside = total - inside
     n, m = max(1, y.sum()), max(1, (~y).sum())
     ratio = ((inside + 0.5) / (n + 1)) / ((outside + 0.5) / (m + 1))
-    total, prior = inside + outside, n / (n + m)
+    prior = n / (n + m)
     share = inside / np.maximum(1, total)
     with np.errstate(divide="ignore", invalid="ignore"):
         entropy = np.where(share > 0, share * np.log(share / prior), 0.0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - prior)), 0.0)
@@ -150,11 +178,11 @@ def _fit_link(name: str, hashed: list[np.ndarray], extra: np.ndarray, y: np.ndar
             continue
         link = Link(name, _telling([h for h, u in zip(hashed, use, strict=True) if u], y[use], FEATURES), np.zeros(0), 0.5)
         x = link.matrix(hashed, extra)
-        w = fit_logistic(x[use], y[use])
-        apart[fold == f] = sigmoid(np.hstack((x[~use], np.ones(((~use).sum(), 1)))) @ w)
+        w = fit_logistic(x, y, use)
+        apart[~use] = sigmoid(_linear((x[0][~use], x[1][~use]), w))
     link = Link(name, _telling(hashed, y, FEATURES) if len(y) else {}, np.zeros(0), 0.5)
     if len(y) and y.any() and not y.all():
-        link.weights = fit_logistic(link.matrix(hashed, extra), y)
+        link.weights = fit_logistic(link.matrix(hashed, extra), y, np.ones(len(y), dtype=bool))
     else:
         link.weights = np.zeros(len(link.columns) + extra.shape[1] + 1)
         link.weights[-1] = 30.0 if len(y) and y.all() else -30.0
@@ -201,14 +229,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
                 shapes.append(dense(t.as_py().encode(), len(words)))
             yield pa.RecordBatch.from_arrays([batch.column("labels"), pa.array(hashed, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))], ["labels", "hashed", "shape"])
 
-    got = sorted(taken.select("labels", "text").mapInArrow(run, _FEATURES).collect(), key=lambda r: r.hashed)
-    hashed = [np.frombuffer(r.hashed, dtype="<u4") for r in got]
-    kept = _unlike(hashed)
-    got, hashed = [got[k] for k in kept], [hashed[k] for k in kept]
-    shapes = np.array([r.shape for r in got]).reshape(len(got), _DENSE)
-    chain, earlier = Chain(), np.zeros((len(got), 0))
+    got = taken.select("labels", "text").mapInArrow(run, _FEATURES).toArrow()
+    hashed = [np.frombuffer(h.as_buffer(), dtype="<u4") for h in got.column("hashed")]
+    order = sorted(range(len(hashed)), key=lambda k: hashed[k].tobytes())
+    order = [order[k] for k in _unlike([hashed[k] for k in order])]
+    hashed = [hashed[k] for k in order]
+    marks = [got.column("labels")[k].as_py() for k in order]
+    shapes = np.array([got.column("shape")[k].as_py() for k in order]).reshape(len(order), _DENSE)
+    chain, earlier = Chain(), np.zeros((len(order), 0))
     for k, name in enumerate(categories):
-        link, apart = _fit_link(name, hashed, earlier if k else shapes, np.array([r.labels[k] for r in got], dtype=bool))
+        link, apart = _fit_link(name, hashed, earlier if k else shapes, np.array([m[k] for m in marks], dtype=bool))
         chain.links.append(link)
         earlier = np.hstack((earlier, apart[:, None]))
     return chain
