@@ -2,8 +2,11 @@ import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from quillspar.llm import decontamination, toxicity
+from quillspar.llm.decontamination import op8_decontamination
 from quillspar.llm.simhash import keep_one, near_copies
 from quillspar.llm.substring import strip_repeats
+from quillspar.llm.toxicity import op7_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +75,26 @@ def test_pipeline_runs_and_each_stage_keeps_the_columns(spark):
     assert set(out["doc_id"]) == {r.doc_id for r in docs.select("doc_id").collect()}
     assert out.groupby("sequence_id")["length"].sum().max() <= 1024
     assert out.groupby("doc_id")["length"].sum().eq(out.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def test_stages_agree_with_their_operators(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    assert ids(corpus_pipeline.drop_toxic(spark, docs, SF)) == ids(op7_toxicity(spark, SF).where("not toxic"))
+    assert ids(corpus_pipeline.drop_leaks(spark, docs, SF)) == ids(op8_decontamination(spark, SF).where("not contaminated"))
+
+
+def test_filters_with_nulls_and_clashing_columns(spark):
+    rows = [(1, None, "x"), (None, "a vile text", "y"), (1, "a vile text", "z"), (2, "", "w"), (3, "fine", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumn("h", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("toxic", F.lit(0))
+    labelled = [(f"{' '.join(words(i, 8))} {'vile' if i % 2 else 'fine'}", i % 2 == 1) for i in range(90)]
+    train = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(labelled)], "doc_id long, text string")
+    chain = toxicity.train(train, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(labelled)], "doc_id long, toxic boolean"), ["toxic"])
+    kept = toxicity.drop(docs, chain, "toxic")
+    assert kept.columns == docs.columns and sorted(r.id for r in kept.collect()) == ["v", "w", "x"]
+    item = "one two three four five six seven eight nine"
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    more = docs.unionByName(spark.createDataFrame([(9, f"so {item} more", "u"), (None, item, "t"), (9, "clean", "s")], "doc_id long, text string, id string").withColumns({"h": F.lit(1), "c0": F.lit(2), "toxic": F.lit(0)}))
+    kept = decontamination.drop_contaminated(more, bench)
+    assert kept.columns == docs.columns and sorted(r.id for r in kept.collect()) == ["s", "v", "w", "x", "y", "z"]
+    assert toxicity.drop(docs.limit(0), chain, "toxic").collect() == decontamination.drop_contaminated(docs.limit(0), bench).collect() == []
