@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import cut, only
 
 #: Tokens of a window, and how many of them must be plain words.
 WINDOW, LITERALS = 8, 5
@@ -37,7 +37,9 @@ def _canonical(x: Column, before: Column) -> Column:
     name = (F.length(x) > 1) & (rest == F.lower(rest)) & before.isNotNull() & ~_is_mark(before)
     low = F.lower(x)
     word = F.when(low.isin(*UNITS), F.when(_is_number(F.coalesce(before, F.lit(""))), F.lit("<unit>")).otherwise(low))
-    return word.when(x.rlike(r"^\p{Ll}"), low).when(_is_mark(x), F.lit(None).cast("string")).when(_is_number(x), F.lit("<num>")).when(name & (F.substring(x, 1, 1) != F.substring(low, 1, 1)), F.lit("<name>")).otherwise(low)
+    other = word.when(x.rlike(r"^\p{Ll}"), low).when(_is_mark(x), F.lit(None).cast("string")).when(_is_number(x), F.lit("<num>")).when(name & (F.substring(x, 1, 1) != F.substring(low, 1, 1)), F.lit("<name>")).otherwise(low)
+    plain = F.when(low.isin(*UNITS) & _is_number(F.coalesce(before, F.lit(""))), F.lit("<unit>")).otherwise(low)
+    return F.when(F.substring(x, 1, 1).between("a", "z"), plain).otherwise(other)  # most tokens, told without a pattern
 
 
 def canonical_tokens(raw: Column) -> Column:
@@ -50,11 +52,40 @@ def plain_tokens(raw: Column) -> Column:
     return F.transform(F.filter(raw, lambda x: ~_is_mark(x)), lambda x: F.lower(x))
 
 
-def _windows(tokens: Column, length: Column) -> Column:
-    """(pos, len, hash) of the windows of a token array."""
-    count = F.size(tokens) - length + 1
-    every = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.struct(i.alias("pos"), length.cast("int").alias("len"), F.xxhash64(length, F.slice(tokens, i + 1, length)).alias("hash")))
-    return F.when(count > 0, every).otherwise(F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"))
+def _with_hashes(df: DataFrame, lengths: list[int], tokens: str = "canon") -> DataFrame:
+    """``df`` with ``hashes_n`` for each of the lengths: hashes of its windows of n tokens, one for each place.
+
+    Hashes of 1, 2, 4, ... tokens come from those of half as many, so a token costs a few operations whatever the window. Each is a projection
+    of its own, as an expression that is used twice within another would be computed twice.
+    """
+    kept, most = df.columns, max(lengths, default=0)
+    df = df.withColumn("power_1", F.transform(tokens, lambda x: F.xxhash64(x)))
+
+    def joined(a: str, b: str, shift: int) -> Column:
+        n = F.greatest(F.least(F.size(a), F.size(b) - shift), F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, 1 + shift, n), lambda x, y: F.xxhash64(x, y))
+
+    size = 1
+    while 2 * size <= most:
+        df = df.withColumn(f"power_{2 * size}", joined(f"power_{size}", f"power_{size}", size))
+        size *= 2
+    for n in lengths:
+        powers = [1 << k for k in range(n.bit_length()) if n >> k & 1][::-1]
+        df, done = df.withColumn("part_1", F.col(f"power_{powers[0]}")), powers[0]
+        for p in powers[1:]:
+            df, done = df.withColumn("part_1", joined("part_1", f"power_{p}", done)), done + p
+        df = df.withColumn(f"hashes_{n}", F.col("part_1"))
+    return df.select(*kept, *[f"hashes_{n}" for n in lengths])
+
+
+def _exploded(df: DataFrame, lengths: list[int], wanted=lambda n: F.lit(True)) -> DataFrame:
+    """``df`` with a row (pos, len, hash) for each window of the lengths that are ``wanted``."""
+    kept = [c for c in df.columns if c not in {f"hashes_{n}" for n in lengths}]
+    if not lengths:
+        return df.select(*kept, F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("hash")).limit(0)
+    each = F.array(*[F.struct(F.lit(n).alias("len"), F.when(wanted(n), F.col(f"hashes_{n}")).alias("hashes")) for n in lengths])
+    df = df.select(*kept, F.explode(each).alias("w")) if len(lengths) > 1 else df.select(*kept, F.get(each, F.lit(0)).alias("w"))
+    return df.select(*kept, F.col("w.len").alias("len"), F.posexplode("w.hashes").alias("pos", "hash")).select(*kept, "pos", "len", "hash")
 
 
 def _is_slot(x: Column) -> Column:
@@ -74,8 +105,9 @@ def templates(benchmark: DataFrame, item_col: str, text_col: str, window: int, l
     """
     items = only(benchmark, item=item_col, text=text_col).where("text is not null").withColumn("raw", raw_tokens(F.col("text")))
     items = items.select("item", canonical_tokens(F.col("raw")).alias("canon"), plain_tokens(F.col("raw")).alias("plain"))
-    items = items.withColumn("w", F.explode(_windows(F.col("canon"), F.least(F.lit(window), F.greatest(F.size("canon"), F.lit(1))))))
-    items = items.select("item", "w.*", F.slice("canon", F.col("w.pos") + 1, F.col("w.len")).alias("want"), _slots(F.col("canon"), F.col("plain"), F.col("w.pos"), F.col("w.len")).alias("slots"))
+    lengths = list(range(1, window + 1))
+    items = _exploded(_with_hashes(items, lengths), lengths, lambda n: F.size("canon") >= n if n == window else F.size("canon") == n)
+    items = items.select("item", "pos", "len", "hash", F.slice("canon", F.col("pos") + 1, F.col("len")).alias("want"), _slots(F.col("canon"), F.col("plain"), F.col("pos"), F.col("len")).alias("slots"))
     return items.where(F.size(F.filter("want", lambda x: ~_is_slot(x))) >= literals)
 
 
@@ -95,9 +127,8 @@ def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     index = wanted.select("len", "hash").distinct()
     lengths = sorted(r.len for r in index.select("len").distinct().collect())  # at most ``window`` values
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pieces = F.flatten(F.array(*[_windows(F.col("canon"), F.lit(n)) for n in lengths])) if lengths else F.array().cast("array<struct<pos:int,len:int,hash:bigint>>")
-    found = _canonical_rows(keyed).select("id", "h", F.explode(pieces).alias("w")).select("id", "h", "w.pos", "w.len", "w.hash")
-    hits = found.join(F.broadcast(index) if small else index, ["len", "hash"]).distinct()
+    found = _exploded(_with_hashes(_canonical_rows(keyed).select("id", "h", "canon"), lengths).drop("canon"), lengths)
+    hits = cut(found.join(F.broadcast(index) if small else index, ["len", "hash"]).distinct())  # few rows, which are read twice
     sources = keyed.join(hits.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct(), same_row(F.col("id"), F.col("h")), "left_semi").dropDuplicates(["id", "h"])
     sources = _canonical_rows(sources).select(F.col("id").alias("i"), F.col("h").alias("g"), "canon", "plain")
     seen = hits.join(sources, same_row(F.col("id"), F.col("h")))
