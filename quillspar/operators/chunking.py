@@ -40,7 +40,9 @@ def chunk(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, s
 
     tokenized = F.transform(segments, lambda s: F.struct(s["content"].alias("content"), s["content_type"].alias("content_type"), s["page_number"].alias("page_number"), T.chunk_tokens(F.coalesce(s["content"], F.lit(""))).alias("tokens")))
     cuts = df.select(*others, tokenized.alias("tokenized")).select(*others, F.flatten(F.transform("tokenized", cut)).alias("pieces"))
-    return cuts.select(*others, F.posexplode("pieces").alias("chunk_index", "piece")).select(*others, "chunk_index", "piece.*")
+    # An inner explode would have the optimizer put a filter on the pieces at the scan and make them twice.
+    rows = cuts.select(*others, F.posexplode_outer("pieces").alias("chunk_index", "piece")).where("chunk_index is not null")
+    return rows.select(*others, "chunk_index", "piece.*")
 
 
 def source_label(filename: Column, page: Column, index: Column) -> Column:

@@ -22,13 +22,13 @@ def extract(chunks: DataFrame) -> DataFrame:
     lines = F.transform(F.split("content", r"\R"), T.strip)
     rows = chunks.select("document_id", "chunk_index", "page_number", lines.alias("lines"))
     rows = rows.withColumn("table", F.size(F.filter("lines", lambda x: x.startswith("|"))) >= 2)
-    rows = rows.select("document_id", "chunk_index", "page_number", "table", F.posexplode("lines").alias("line", "source_text"))
+    rows = rows.select("document_id", "chunk_index", "page_number", "table", F.posexplode_outer("lines").alias("line", "source_text"))
     text = F.col("source_text")
     cells = F.transform(F.split(F.regexp_replace(text, r"^\|+|\|+$", ""), r"\|", -1), T.strip)
     rows = rows.withColumn("cells", F.when(F.col("table") & text.startswith("|") & ~text.contains("---"), cells))
     from_table = F.struct(F.lit(0).alias("kind"), F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("found"), F.lit(V.TABLE_CONFIDENCE).alias("confidence"))
     from_pair = F.struct(F.lit(1).alias("kind"), V.pair_name(text).alias("name"), V.pair_value(text).alias("found"), F.lit(V.PAIR_CONFIDENCE).alias("confidence"))
-    both = rows.select("document_id", "chunk_index", "page_number", "line", "source_text", F.explode(F.array(from_table, from_pair)).alias("p")).where("p.name <> '' and p.found <> ''")
+    both = rows.select("document_id", "chunk_index", "page_number", "line", "source_text", F.explode_outer(F.array(from_table, from_pair)).alias("p")).where("p.name <> '' and p.found <> ''")
     both = both.select("document_id", "chunk_index", "page_number", "line", "source_text", "p.*").withColumn("normalized_name", V.field_of(F.col("name"))).where("normalized_name is not null")
     return both.select("document_id", *_ORDER, "name", "normalized_name", V.value_of(F.col("found")).alias("value"), V.unit_of(F.col("found")).alias("unit"), "source_text", "page_number", "confidence")
 

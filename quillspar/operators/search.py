@@ -68,25 +68,19 @@ def semantic(vectors: DataFrame, query: DataFrame, k: int = TOP_K, key: str = "c
     return top(scored.where("score is not null"), k, key)
 
 
-def term_counts(tokenized: DataFrame) -> DataFrame:
-    """(term, df, length) of a table with ``tokens``: the rows that have each term. The null term stands for all rows and has their tokens' number.
-
-    One pass; terms are made distinct in their rows and summed in part before the shuffle.
-    """
-    every = F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))
-    rows = tokenized.select(F.size("tokens").alias("n"), F.explode(every).alias("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("length"))
+def corpus_stats(tokenized: DataFrame) -> DataFrame:
+    """One row (n, avgdl) of a table with ``tokens``."""
+    return tokenized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def corpus_stats(counts: DataFrame) -> DataFrame:
-    """One row (n, avgdl) of term_counts."""
-    n = F.max(F.when(F.col("term").isNull(), F.col("df")))
-    return counts.agg(n.alias("n"), (F.max("length") / n).alias("avgdl"))
+def term_weights(tokenized: DataFrame) -> DataFrame:
+    """(term, raw, n, avgdl): raw inverse frequency of each term beside the corpus' figures.
 
-
-def term_weights(counts: DataFrame) -> DataFrame:
-    """(term, raw, n, avgdl): raw inverse frequency of each term beside the corpus' figures."""
-    rows = counts.join(F.broadcast(corpus_stats(counts))).where("term is not null")  # one row
+    Terms are made distinct in their rows and summed in part before the shuffle. Rows without terms count.
+    """
+    terms = tokenized.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term is not null")
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
+    rows = counts.join(F.broadcast(corpus_stats(tokenized)))  # one row
     return rows.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "n", "avgdl")
 
 
@@ -103,7 +97,7 @@ def bm25(corpus: DataFrame, query: str, content: str = "content") -> DataFrame:
         return corpus.withColumn("score", F.lit(0.0)).limit(0)
     tokenized = corpus.withColumn("tokens", T.search_tokens(F.coalesce(F.col(content), F.lit(""))))
     wanted = F.when(F.col("term").isin(*set(asked)), F.struct("term", "raw"))
-    facts = term_weights(term_counts(tokenized)).agg(F.max("n").alias("n"), F.max("avgdl").alias("avgdl"), F.avg("raw").alias("mean"), F.map_from_entries(F.collect_list(wanted)).alias("raws"))
+    facts = term_weights(tokenized).agg(F.max("n").alias("n"), F.max("avgdl").alias("avgdl"), F.avg("raw").alias("mean"), F.map_from_entries(F.collect_list(wanted)).alias("raws"))
     rows = tokenized.join(F.broadcast(facts))  # one row, whose map holds the query's terms alone
     length = K1 * (1 - B + B * F.size("tokens") / F.col("avgdl"))
     score = F.lit(0.0)

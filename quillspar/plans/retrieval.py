@@ -59,7 +59,7 @@ def preserve_or_split(spark, sf_dir):
 
 def bm25_stats(spark, sf_dir):
     tokens = D.chunks(spark, sf_dir).select(T.search_tokens(F.col("content")).alias("tokens"))
-    weights = search.term_weights(search.term_counts(tokens))
+    weights = search.term_weights(tokens)
     return weights.agg(F.max("n").alias("n"), F.round(F.max("avgdl"), 6).alias("avgdl"), F.count("*").alias("terms"), F.round(F.avg("raw"), 6).alias("mean_weight"))
 
 
