@@ -10,13 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import block_count, group_of, hash_texts, id_blocks, mix, pack, unpack
-from .common import only, partitions
+from .blocks import block_count, distinct, group_of, grouped, hash_texts, id_blocks, mix, pack, unpack
+from .common import stored
 from .language import held_out
 
 SAMPLES = 3
-SWEEPS = 2
-#: Dishes of up to this many customers are seated one by one by Gibbs; of larger ones the number of tables is drawn in passing.
+#: Customers of a dish that sit down anew together; see seat.
 SMALL = 12
 THETA, THETA_ROOT = 2.0, 20.0
 END, START = np.uint64(0x1E0D5EED00000001), np.uint64(0x57A7700000000001)
@@ -39,41 +38,43 @@ def uniform(keys: np.ndarray, *place: int) -> np.ndarray:
     return (mix(mix(keys ^ np.uint64(salt)) + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
 
 
+def arrangements(discount: float) -> np.ndarray:
+    """S[c, t]: the weight of all seatings of c customers at t tables, up to SMALL customers (generalised Stirling numbers)."""
+    s = np.zeros((SMALL + 1, SMALL + 1))
+    s[0, 0] = 1
+    for c in range(SMALL):
+        s[c + 1, 0] = c * s[c, 0]
+        s[c + 1, 1:] = s[c, :-1] + (c - discount * np.arange(1, SMALL + 1)) * s[c, 1:]
+    return s
+
+
 def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: float, sample: int) -> np.ndarray:
     """Tables of each dish (a word in a restaurant) with ``counts`` customers; ``weight`` is that of a new table serving it.
 
-    One customer has one table. Up to SMALL customers take their seats anew, one at a time given all others, for SWEEPS sweeps
-    (a table of n others attracts with n - discount, a new one with ``weight``). Of more customers, those after the first SMALL sit down
-    in passing: doubling by doubling, the number of new tables is Poisson with the mean that the weights give.
+    A blocked Gibbs step: all customers of a dish sit down anew at once, given the others. A table of n attracts with n - discount, a new one
+    with ``weight``, so t tables have the probability S(c, t) weight**t over its sum. One customer has one table. Of more than SMALL
+    customers, those after the first SMALL sit down in passing: doubling by doubling, the number of new tables is Poisson
+    with the mean that the weights give.
     """
     tables = np.minimum(counts, 1)
     some = np.flatnonzero(counts > 1)
     if not len(some):
         return tables
     k, c, a = keys[some], counts[some], weight[some]
-    found = np.ones(len(some), dtype=np.int64)
-    order = np.argsort(c, kind="stable")
+    found, ways = np.ones(len(some), dtype=np.int64), arrangements(discount)
+    by_size = np.argsort(c, kind="stable")
+    sizes = c[by_size]
     for size in range(2, SMALL + 1):
-        at = order[np.searchsorted(c[order], size) : (np.searchsorted(c[order], size, "right") if size < SMALL else None)]
+        at = by_size[np.searchsorted(sizes, size) : (np.searchsorted(sizes, size, "right") if size < SMALL else None)]
         if not len(at):
             continue
-        z = np.zeros((len(at), size), dtype=np.int8)
-        new, kk, rows = a[at], k[at], np.arange(len(at))
-        for sweep in range(SWEEPS):
-            for i in range(size):
-                sizes = np.zeros((len(at), size), dtype=np.float64)
-                for j in range(size):
-                    if j != i:
-                        sizes[rows, z[:, j]] += 1
-                free = np.argmin(sizes, axis=1)
-                pull = np.maximum(sizes - discount, 0)
-                pull[rows, free] = new
-                total = np.cumsum(pull, axis=1)
-                z[:, i] = (total < (uniform(kk, sample, sweep, i) * total[:, -1])[:, None]).sum(axis=1).clip(max=size - 1)
-        used = np.zeros((len(at), size), dtype=bool)
-        for j in range(size):
-            used[rows, z[:, j]] = True
-        found[at] = used.sum(axis=1)
+        total, power, sums = np.zeros(len(at)), np.ones(len(at)), []
+        for t in range(1, size + 1):
+            power = power * a[at]
+            total = total + ways[size, t] * power
+            sums.append(total)
+        drawn = uniform(k[at], sample, 0, 0) * total
+        found[at] = 1 + sum((x < drawn).astype(np.int64) for x in sums[:-1])
     low = float(SMALL)
     big = np.flatnonzero(c > SMALL)
     step = 0
@@ -106,48 +107,63 @@ def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
+def _read_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the tokens, keys of their bigrams, and the texts' numbers of tokens and first places."""
+    texts = table.column("text").cast(pa.binary()).to_pylist()
+    parts, lengths = [], []
+    lower = [t.lower() if t else b"" for t in texts]  # bytes.lower() changes A-Z alone
+    size = first = 0
+    for k, t in enumerate(lower):
+        size += len(t)
+        if size > 4 << 20 or k + 1 == len(lower):
+            hashes, offsets = hash_texts(lower[first : k + 1])
+            parts.append(hashes)
+            lengths.append(np.diff(offsets))
+            size, first = 0, k + 1
+    words = np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.int64)
+    sizes = words + 1
+    starts = np.cumsum(sizes) - sizes
+    keys = np.full(int(sizes.sum()), END)
+    inner = np.ones(len(keys), dtype=bool)
+    inner[starts + words] = False
+    keys[inner] = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    before = np.empty_like(keys)
+    before[1:] = keys[:-1]
+    before[starts] = START
+    return keys, mix(before * np.uint64(0xA0761D6478BD642F) + mix(keys)), sizes, starts
+
+
+def _times(rising: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each of the rising keys is among ``keys``."""
+    keys = np.sort(keys)
+    return np.searchsorted(keys, rising, "right") - np.searchsorted(keys, rising)
+
+
+def counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words and bigrams of a block with their training counts. START counts as a word once for each training document."""
+    keys, pairs, sizes, starts = _read_tokens(table)
+    own = ~table.column("held_out").to_numpy()
+    trained = np.repeat(own, sizes)
+    words = distinct(np.concatenate((keys, [START])))
+    count = _times(words, keys[trained])
+    count[np.searchsorted(words, START)] += int(own.sum())
+    every = distinct(pairs)
+    return words, count, every, _times(every, pairs[trained])
+
+
 class Tokens:
     """The words and bigrams of a block: distinct keys and, for each token, which it has."""
 
     def __init__(self, table: pa.Table):
-        texts = table.column("text").cast(pa.binary()).to_pylist()
-        parts, lengths = [], []
-        lower = [t.lower() if t else b"" for t in texts]  # bytes.lower() changes A-Z alone
-        size = first = 0
-        for k, t in enumerate(lower):
-            size += len(t)
-            if size > 4 << 20 or k + 1 == len(lower):
-                hashes, offsets = hash_texts(lower[first : k + 1])
-                parts.append(hashes)
-                lengths.append(np.diff(offsets))
-                size, first = 0, k + 1
-        del lower, texts
-        words = np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.int64)
-        self.sizes = words + 1
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        keys = np.full(int(self.sizes.sum()), END)
-        inner = np.ones(len(keys), dtype=bool)
-        inner[self.starts + words] = False
-        keys[inner] = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-        before = np.empty_like(keys)
-        before[1:] = keys[:-1]
-        before[self.starts] = START
-        self.trained = np.repeat(~table.column("held_out").to_numpy(), self.sizes)
-        self.words, self.word = np.unique(np.concatenate((keys, [START])), return_inverse=True)
+        keys, pairs, self.sizes, self.starts = _read_tokens(table)
+        self.words, _, self.word = grouped(np.concatenate((keys, [START])))
         self.context = np.empty_like(self.word[:-1])
         start, self.word = self.word[-1], self.word[:-1]
         self.context[1:] = self.word[:-1]
         self.context[self.starts] = start
-        self.pairs, at, self.pair = np.unique(mix(before * np.uint64(0xA0761D6478BD642F) + mix(keys)), return_index=True, return_inverse=True)
+        self.pairs, at, self.pair = grouped(pairs)
         self.pair_word, self.pair_context = self.word[at], self.context[at]
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words and of the bigrams. START counts as a word once for each training document."""
-        word = np.bincount(self.word[self.trained], minlength=len(self.words))
-        start = np.searchsorted(self.words, START)
-        word[start] += int(self.trained[self.starts].sum())
-        return word, np.bincount(self.pair[self.trained], minlength=len(self.pairs))
-
 
 def _send(block: int, kind: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> list[tuple]:
     edges = np.searchsorted(group_of(keys, parts), np.arange(parts + 1))
@@ -170,7 +186,7 @@ def _answer(table: pa.Table, rows: int, merge: Callable) -> pa.Table:
     blocks = table.column("block").to_pylist()
     keys = [unpack(b.as_py()) for b in table.column("keys")]
     values = [_from_planes(b.as_py(), rows) for b in table.column("counts")]
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, inverse = grouped(np.concatenate(keys))
     owner = np.repeat(blocks, [len(k) for k in keys])
     stacked = np.hstack(values)
     sums = np.array([np.bincount(inverse, v, len(every)) for v in stacked]).round().astype(np.int64)
@@ -221,13 +237,13 @@ class State:
         self.word, self.owned_word, self.pair, self.owned = word >> 1, word & 1, pair >> 1, pair & 1
         self.tokens = tokens
 
-    def seating(self, sample: int) -> np.ndarray:
-        """Tables of the block's bigrams. A restaurant's number of tables enters a new table's weight by its expected value under the process."""
+    def seating(self, sample: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Tables of the block's bigrams, or of some of them. A restaurant's number of tables enters a new table's weight by its expected value under the process."""
         t = self.tokens
-        context = self.word[t.pair_context].astype(np.float64)
-        base = (self.word[t.pair_word] + 1.0) / (self.n + self.v + 1)
+        context = self.word[t.pair_context[some]].astype(np.float64)
+        base = (self.word[t.pair_word[some]] + 1.0) / (self.n + self.v + 1)
         weight = (THETA + self.discount * np.maximum(context, 1) ** self.discount) * base
-        return seat(t.pairs, self.pair, weight, self.discount, sample)
+        return seat(t.pairs[some], self.pair[some], weight, self.discount, sample)
 
 
 def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,12 +264,11 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
     n = -(-block_count(docs, "text") * 3 // 2)  # smaller blocks than other operators have: more arrays are held for each
     docs = docs.withColumn("block", id_blocks(docs, "id", n))
-    width = partitions(df.sparkSession)
 
     def first(table: pa.Table) -> pa.Table:
-        tokens, block = Tokens(table), table.column("block")[0].as_py()
-        words, pairs = tokens.counts()
-        return _table(_send(block, 0, tokens.words, [words], n) + _send(block, 1, tokens.pairs, [pairs], n), _REQUEST)
+        block = table.column("block")[0].as_py()
+        words, word_counts, pairs, pair_counts = counted(table)
+        return _table(_send(block, 0, words, [word_counts], n) + _send(block, 1, pairs, [pair_counts], n), _REQUEST)
 
     def first_answer(table: pa.Table) -> pa.Table:
         return _answer(table, 1, _first_merge(table.column("kind")[0].as_py()))
@@ -263,10 +278,10 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
             return _table([], _REQUEST)
         tokens = Tokens(table)
         state = State(tokens, replies, replies.column("all")[0].as_py())
-        values = []
+        values, own = [], np.flatnonzero(state.owned)
         for s in range(SAMPLES):
-            tables = state.seating(s) * state.owned
-            values += [np.bincount(tokens.pair_word, tables, len(tokens.words)), np.bincount(tokens.pair_context, tables, len(tokens.words))]
+            tables = state.seating(s, own)
+            values += [np.bincount(x[own], tables, len(tokens.words)) for x in (tokens.pair_word, tokens.pair_context)]
         return _table(_send(table.column("block")[0].as_py(), 0, tokens.words, values, n), _REQUEST)
 
     def second_answer(table: pa.Table) -> pa.Table:
@@ -309,13 +324,15 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     def summed(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.agg(F.array(*[F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0.0)) for k in range(size)]).alias(name))
 
-    r1 = docs.groupBy("block").applyInArrow(first, _REQUEST).groupBy("kind", "part").applyInArrow(first_answer, _REPLY).repartition(width, "block")
+    r1 = docs.groupBy("block").applyInArrow(first, _REQUEST).groupBy("kind", "part").applyInArrow(first_answer, _REPLY)
+    r1 = stored(r1)
     all_ = summed(r1, 8, "all")
     known = r1.drop("totals").crossJoin(F.broadcast(all_))  # one row
     sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(second, _REQUEST)
     one, two = F.get("all", F.lit(2)), F.get("all", F.lit(3))
     root = all_.select(F.when((one > 0) & (two > 0), F.least(F.lit(0.95), F.greatest(F.lit(0.05), one / (one + 2 * two)))).otherwise(0.5).alias("discount"))
-    r2 = sent.crossJoin(F.broadcast(root)).groupBy("kind", "part").applyInArrow(second_answer, _REPLY).repartition(width, "block")
+    r2 = sent.crossJoin(F.broadcast(root)).groupBy("kind", "part").applyInArrow(second_answer, _REPLY)
+    r2 = stored(r2)
     roots = summed(r2, 2 * SAMPLES, "roots")
     replies = known.unionByName(r2.withColumn("kind", F.lit(2)).drop("totals").crossJoin(F.broadcast(all_))).crossJoin(F.broadcast(roots))
     return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_or_none, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
