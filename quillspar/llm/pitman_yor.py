@@ -262,7 +262,7 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     """
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
-    n = -(-block_count(docs, "text") * 3 // 2)  # smaller blocks than other operators have: more arrays are held for each
+    n = 3 * block_count(docs, "text")  # smaller blocks than other operators have: more arrays are held for each
     docs = docs.withColumn("block", id_blocks(docs, "id", n))
 
     def first(table: pa.Table) -> pa.Table:
