@@ -104,10 +104,10 @@ def slices(table: pa.Table | pa.RecordBatch, column: str, limit: int = 4 << 20)
         yield first, texts
 
 
-def block_count(df: DataFrame, text: str) -> int:
-    """How many blocks keep each near BLOCK_BYTES of text; at least as many as shuffle partitions."""
+def block_count(df: DataFrame, text: str, parts: int = 1) -> int:
+    """How many blocks keep each near a BLOCK_BYTES of text over ``parts``; at least as many as shuffle partitions."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(partitions(df.sparkSession), math.ceil(size / BLOCK_BYTES))
+    return max(partitions(df.sparkSession), math.ceil(size * parts / BLOCK_BYTES))
 
 
 def _search(value: Column, bounds: list, first: int, make) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,32 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 
 
+_HELD: dict = {}
+
+
+def hold(key, make: Callable):
+    """What ``make`` gives, kept in the worker process from task to task until another operator's task starts there."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give up what earlier tasks of other operators have left in this worker process, and hand free memory back to the machine.
+
+    Spark keeps Python workers, so without this a job of several operators has all their caches in memory at once.
+    """
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_count, distinct, group_of, grouped, hash_texts, id_blocks, mix, pack, unpack
-from .common import stored
+from .common import release, stored
 from .language import held_out
 
 SAMPLES = 3
@@ -109,6 +109,7 @@ def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 def _read_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the tokens, keys of their bigrams, and the texts' numbers of tokens and first places."""
+    release()
     texts = table.column("text").cast(pa.binary()).to_pylist()
     parts, lengths = [], []
     lower = [t.lower() if t else b"" for t in texts]  # bytes.lower() changes A-Z alone
@@ -262,7 +263,7 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     """
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
-    n = 3 * block_count(docs, "text")  # smaller blocks than other operators have: more arrays are held for each
+    n = block_count(docs, "text", 3)  # smaller blocks than other operators have: more arrays are held for each
     docs = docs.withColumn("block", id_blocks(docs, "id", n))
 
     def first(table: pa.Table) -> pa.Table:

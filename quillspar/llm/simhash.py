@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import distinct, hash_texts, hash_windows, mix, slices
-from .common import cut, only, partitions, popcount, utf8, word_blocks
+from .common import cut, only, partitions, popcount, release, utf8, word_blocks
 from .components import components
 
 SEED = 42
@@ -224,6 +224,7 @@ def long_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -
     """Rows (id, fp, n, keys): long fingerprint, number of distinct shingles and band keys of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first, texts in slices(batch, "text", 1 << 20):
                 hashes, offsets = hash_texts([t and t.lower() for t in texts])
@@ -293,6 +294,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         return pa.RecordBatch.from_arrays([pa.array(ids[at[a]]), pa.array(ids[at[b]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import among, block_count, distinct, group_of, grouped, hash_texts, hash_windows, id_blocks, order, pack, slices, unpack
-from .common import only
+from .common import only, release
 
 WINDOW = 13
 
@@ -72,6 +72,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
     full = slim if whole is None else docs.withColumn("id", F.col(id_col)).withColumn("block", block).withColumnRenamed(text_col, "text")
 
     def send(table: pa.Table) -> pa.Table:
+        release()
         keys, _, _ = _suffixes(table, window)
         keys = distinct(keys)
         edges = np.searchsorted(group_of(keys, n), np.arange(n + 1))
@@ -80,6 +81,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
         return pa.table({"part": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([pack(keys[edges[g] : edges[g + 1]]) for g in used], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
+        release()
         table = table.sort_by("block")
         blocks = table.column("block").to_numpy()
         lists = [unpack(b.as_py()) for b in table.column("keys")]
@@ -96,6 +98,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
         return pa.table({"block": pa.array(found, pa.int32()), "keys": pa.array([pack(x) for x in np.split(keys, at[1:])] if len(found) else [], pa.binary())})
 
     def apply(table: pa.Table, earlier: pa.Table) -> pa.Table:
+        release()
         out = {"id": [], "n_words": [], "n_removed": [], "kept": [], "spans": []}
         if table.num_rows:
             table = table.sort_by("id")

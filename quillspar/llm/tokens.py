@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from .blocks import block_count, id_blocks
-from .common import only, shared_dir
+from .common import hold, only, shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
@@ -195,14 +195,9 @@ def pieces(column: pa.ChunkedArray | pa.Array, limit: int = 8 << 20) -> Iterator
         first = last
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str = VOCABULARY, end: int = END) -> Encoder:
-    """One encoder per worker process, kept between tasks."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = Encoder(path, end)
-    return _ENCODERS[path, end]
+    """One encoder per worker process, kept between tasks; see hold."""
+    return hold(("encoder", path, end), lambda: Encoder(path, end))
 
 
 def crc32(ids: np.ndarray) -> int:

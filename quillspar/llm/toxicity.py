@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, utf8
+from .common import only, release, utf8
 
 #: Rows in the last category, and rows outside it, that a chain is fitted on, at most.
 SAMPLE = (4000, 16000)
@@ -221,6 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     taken = rows.join(F.broadcast(inside.unionAll(outside)), F.col("id") == F.col("label_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             hashed, shapes = [], []
             for t in batch.column("text"):
@@ -289,6 +290,7 @@ def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     names = [link.name for link in chain.links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model, look = shared.value, _Lookup(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -308,6 +310,7 @@ def drop(df: DataFrame, chain: Chain, category: str, text_col: str = "text") ->
     at = [link.name for link in chain.links].index(category)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model, look = shared.value, _Lookup(shared.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
