@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -187,6 +188,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Bits of a long fingerprint, and the bands of minimum hashes (BANDS of ROWS each) that make two of them candidates.
 BITS, BANDS, ROWS = 2048, 14, 5
+#: Bits estimate similarities badly for sets of fewer shingles than SHORT, and else to well within SLACK; they are a loose filter only.
+SHORT, SLACK = 64, 0.15
+#: Documents and shingles of a part of a loose group; pairs of parts are verified together.
+PART_ROWS, PART_SHINGLES = 2048, 1 << 20
 _SALTS = np.array([xxhash.xxh64_intdigest(f"word {i}".encode(), SEED) for i in range(BITS // 64)], dtype=np.uint64)
 _MINS = np.array([xxhash.xxh64_intdigest(f"minimum {i}".encode(), SEED) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
 
@@ -220,28 +225,39 @@ def similarity(bits: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return common / np.maximum(n + m - common, 1e-9)
 
 
+def _shingle_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets of shingle hashes in order) of consecutive rows. A text of fewer words than a shingle is one shingle."""
+    for first, texts in slices(batch, "text", 1 << 20):
+        hashes, offsets = hash_texts([t and t.lower() for t in texts])
+        yield first, [distinct(hash_windows(hashes[low:high], max(1, min(shingle, high - low)))) for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def long_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, fp, n, keys): long fingerprint, number of distinct shingles and band keys of each row's whole text."""
+    """Rows (id, digest, fp, n, keys): digest of the set of shingles, long fingerprint, number of distinct shingles and band keys of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for first, texts in slices(batch, "text", 1 << 20):
-                hashes, offsets = hash_texts([t and t.lower() for t in texts])
-                found = []
-                for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    own = distinct(hash_windows(hashes[low:high], max(1, min(shingle, high - low))))
-                    found.append((*long_fingerprint(own), len(own)))
-                fps, keys, sizes = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "n", "keys"])
+            for first, sets in _shingle_sets(batch, shingle):
+                fps, keys = zip(*[long_fingerprint(own) for own in sets], strict=True)
+                columns = [pa.array([_digest(own) for own in sets], pa.binary()), pa.array(fps, pa.binary()), pa.array([len(own) for own in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(sets)), *columns], ["id", "digest", "fp", "n", "keys"])
 
-    return only(df, id=id_col, text=text_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, fp binary, n int, keys array<bigint>")
+    return only(df, id=id_col, text=text_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, digest binary, fp binary, n int, keys array<bigint>")
 
 
 def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by band key, links (row, first row of its group) among rows of equal key that are ``least`` or more alike."""
+    """For rows sorted by band key, links (row, first row of its group) among rows of equal key that may be ``least`` or more alike.
+
+    Sizes rule pairs out for certain. Bits rule out those whose estimate falls short by more than SLACK, unless a set is SHORT.
+    """
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    most = int(BITS * math.acos(2 * least / (1 + least)) / math.pi) + 1  # sets of unlike sizes must be nearer than equal ones
+    loose = least - SLACK
+    most = int(BITS * math.acos(2 * loose / (1 + loose)) / math.pi) + 1  # sets of unlike sizes must be nearer than equal ones
     i, step = np.arange(len(key)), 1
     while True:
         i = i[i + step < len(key)]
@@ -255,7 +271,8 @@ def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float
             a, b = a[fit], b[fit]
             apart = popcount(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
             near = apart <= most
-            near[near] = similarity(apart[near], sizes[a[near]], sizes[b[near]]) >= least
+            near[near] = similarity(apart[near], sizes[a[near]], sizes[b[near]]) >= loose
+            near |= np.minimum(sizes[a], sizes[b]) < SHORT
             out.append((a[near], b[near]))
         step += 1
     if not out:
@@ -266,24 +283,124 @@ def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float
     return moved, root[moved]
 
 
+def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (row, row) that connect, through chains, exactly the sets linked by a Jaccard similarity of ``least`` or more.
+
+    Rows are reached from one another; each is compared once with the rows not yet reached whose sizes allow it, so tight groups take linear time.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[k]) for k in order], dtype=np.int64)
+    found, element = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    left, own, out = np.arange(len(sets)), np.zeros(len(found), dtype=np.int64), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            k = queue.pop()
+            low, high = np.searchsorted(sizes[left], [least * sizes[k] - 1e-9, sizes[k] / least + 1e-9])
+            some = left[low:high]
+            if not len(some):
+                continue
+            mine = element[edges[k] : edges[k + 1]]
+            own[mine] = 1
+            if len(some) == some[-1] - some[0] + 1:
+                places = element[edges[some[0]] : edges[some[-1] + 1]]
+            else:
+                places = np.concatenate([element[edges[x] : edges[x + 1]] for x in some.tolist()])
+            begins = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+            common = np.add.reduceat(own[places], begins) if len(places) else np.zeros(len(some), dtype=np.int64)
+            own[mine] = 0
+            near = common * (1 + least) >= least * (sizes[some] + sizes[k]) - 1e-9
+            out += [(int(order[x]), int(order[k])) for x in some[near].tolist()]
+            queue += some[near].tolist()
+            left = np.concatenate((left[:low], some[~near], left[high:]))
+    return out
+
+
+def _by_groups(batches: Iterator[pa.RecordBatch], columns: list[str], enough: int, find) -> Iterator[pa.RecordBatch]:
+    """``find`` over record batches of whole groups, of at least ``enough`` rows where there are as many; rows are sorted by the integer columns that tell groups apart."""
+    release()
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in columns]
+        if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != k[0] for c, k in zip(columns, keys, strict=True)) and sum(r.num_rows for r in held) >= enough:
+            yield find(held)
+            held = []
+        held.append(batch)
+        change = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+        if sum(r.num_rows for r in held) < enough or not len(change):
+            continue
+        at = int(change[-1]) + 1
+        yield find([*held[:-1], batch.slice(0, at)])
+        held = [batch.slice(at)]
+    if held:
+        yield find(held)
+
+
+def _verified(df: DataFrame, groups: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Rows (node, root) of the nodes that have another of their loose group (id, digest, node, n, root) as root, by links verified on their whole sets of shingles.
+
+    The texts of ``df`` (id, text) are cut into shingles again, once for each node. A group of many rows or shingles is split into parts by a hash, and
+    each pair of parts is a task's work, so that what a task holds is bounded; only such groups need their links joined across tasks.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("n") / PART_SHINGLES)).cast("int")
+    sizes = groups.groupBy("root").agg(parts.alias("parts"), F.count("*").alias("rows")).where("rows > 1")
+    members = groups.join(sizes.hint("merge"), "root").select(F.col("id").alias("i"), F.col("digest").alias("wanted"), "node", "root", "parts")
+    texts = df.join(members.hint("merge"), F.col("id") == F.col("i")).select("text", "wanted", "node", "root", "parts")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for first, found in _shingle_sets(batch, shingle):
+                part = batch.slice(first, len(found))
+                right = [_digest(own) == w for own, w in zip(found, part.column("wanted").to_pylist(), strict=True)]  # rows of one id may have several texts
+                part = part.append_column("shingles", pa.array([own.tobytes() for own in found], pa.binary())).filter(pa.array(right, pa.bool_()))
+                yield part.select(["root", "node", "parts", "shingles"])
+
+    def find(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        key = np.column_stack([table.column(c).to_numpy() for c in ("root", "x", "y")])
+        nodes, found = table.column("node").to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+        edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        root = np.arange(len(nodes))
+        for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(nodes)], strict=True):
+            a, b = np.array(set_links(found[low:high], least), dtype=np.int64).reshape(-1, 2).T
+            root[low:high] = low + stars(high - low, a, b)
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]]), table.column("parts").take(pa.array(moved)).combine_chunks()], ["node", "root", "parts"])
+
+    rows = texts.mapInArrow(sets, "root bigint, node bigint, parts int, shingles binary")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.select("root", "node", "shingles", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("parts", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "shingles")
+    rows = rows.repartition(partitions(df.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y")
+    found = cut(rows.mapInArrow(lambda batches: _by_groups(batches, ["root", "x", "y"], 500, find), "node bigint, root bigint, parts int").where("node <> root"))
+    whole, shared = found.where("parts = 1").select("node", "root").distinct(), found.where("parts > 1")
+    return whole if shared.isEmpty() else whole.unionAll(components(shared, "node", "root"))
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row per input row: (id, component), rows being linked if their sets of word shingles have a similarity of ``least`` or more.
 
     64 bits don't tell a similarity of 0.8 from one of 0.7 (fingerprints then differ in 8 to 12 of them, give or take 4), and at that
-    distance pivots discard nothing. So fingerprints have 2048 bits here, which estimate the similarity with an
-    error of 0.02; candidates agree on a band of minimum hashes, which at 0.8 is missed once in 200 times, and survivors are
-    verified on all bits. Equal fingerprints are taken once, and a band's group gives stars, not pairs.
+    distance pivots discard nothing. So fingerprints have 2048 bits here, and are a loose filter only: candidates agree on a band of minimum
+    hashes, which at 0.8 is missed once in 200 times, those far apart by their bits are discarded, and what is left makes loose groups.
+    Within a loose group all pairs are verified by the exact similarity of their 64-bit shingle hashes. Texts of equal sets are taken once,
+    by a digest of the set; groups give stars, not pairs.
 
     Texts of fewer words than a shingle are one shingle; wordless and null texts are alike. A null id keeps its row and takes its component
     from the others (null if none has an id). Empty tables give empty results; only the two named columns are read.
     """
+    release()  # what earlier stages left in the driver
     docs = cut(long_fingerprints(df, id_col, text_col, shingle))
-    first = cut(docs.groupBy("fp", "n").agg(F.min("id").alias("first"), F.min("keys").alias("keys")))
-    rows = first.where("first is not null").select(F.explode("keys").alias("key"), F.col("first").cast("long").alias("first"), "n", "fp")
+    first = cut(docs.groupBy("digest").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")).withColumn("node", F.xxhash64("digest")))
+    rows = first.where("first is not null").select(F.explode("keys").alias("key"), "node", "n", "fp")
     rows = rows.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key")
 
     def find(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        key, ids, sizes = (np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in rows]) for c in ("key", "first", "n"))
+        key, nodes, sizes = (np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in rows]) for c in ("key", "node", "n"))
         crowd = np.zeros(len(key), dtype=bool)
         crowd[1:] = key[1:] == key[:-1]
         crowd[:-1] |= crowd[1:]
@@ -291,30 +408,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         fps = pa.Table.from_batches(rows).column("fp").take(pa.array(at)).to_pylist()
         fps = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(at), BITS // 64)
         a, b = band_links(key[at], fps, sizes[at], least)
-        return pa.RecordBatch.from_arrays([pa.array(ids[at[a]]), pa.array(ids[at[b]])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            held.append(batch)
-            change = np.flatnonzero(key != key[-1])
-            if sum(r.num_rows for r in held) < 50_000 or not len(change):
-                continue
-            at = int(change[-1]) + 1
-            yield find([*held[:-1], batch.slice(0, at)])
-            held = [batch.slice(at)]
-        if held:
-            yield find(held)
-
-    roots = components(rows.mapInArrow(run, "a bigint, b bigint"))
-    named = cut(first.join(roots, F.col("first") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("root", F.col("first").cast("long")).alias("root")))
-    least_ids = named.where("root is not null").groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(least_ids, "root", "left").select("fp", "n", "component")
-    return docs.select("id", "fp", "n").join(named, ["fp", "n"], "left").select("id", "component")
+        return pa.RecordBatch.from_arrays([pa.array(nodes[at[a]]), pa.array(nodes[at[b]])], ["a", "b"])
+
+    loose = components(rows.mapInArrow(lambda batches: _by_groups(batches, ["key"], 50_000, find), "a bigint, b bigint"))
+    groups = cut(first.join(loose.hint("merge"), "node").select(F.col("first").alias("id"), "digest", "node", "n", "root"))
+    roots = _verified(only(df, id=id_col, text=text_col), groups, shingle, least).withColumnRenamed("node", "of")
+    named = cut(first.join(roots, F.col("node") == F.col("of"), "left").select("digest", "first", F.coalesce("root", "node").alias("root")))
+    least_ids = named.groupBy("root").agg(F.min("first").alias("component"))
+    named = named.join(least_ids, "root", "left").select("digest", "component")
+    return docs.select("id", "digest").join(named, "digest", "left").select("id", "component")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

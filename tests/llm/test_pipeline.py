@@ -1,8 +1,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
-from quillspar.llm import decontamination, toxicity
+from quillspar.llm import decontamination, simhash, toxicity
 from quillspar.llm.decontamination import op8_decontamination
 from quillspar.llm.simhash import keep_one, near_copies
 from quillspar.llm.substring import strip_repeats
@@ -98,3 +99,32 @@ def test_filters_with_nulls_and_clashing_columns(spark):
     kept = decontamination.drop_contaminated(more, bench)
     assert kept.columns == docs.columns and sorted(r.id for r in kept.collect()) == ["s", "v", "w", "x", "y", "z"]
     assert toxicity.drop(docs.limit(0), chain, "toxic").collect() == decontamination.drop_contaminated(docs.limit(0), bench).collect() == []
+
+
+def test_near_copies_of_short_texts_are_verified(spark):
+    """Texts of 5 to 30 words with 0 to 2 words appended, changed at the end or in the middle: linked at 0.8 exactly and above, and only there."""
+    rows, pairs = [], []
+    for n in range(5, 31):
+        for draw in range(4):
+            base = words(1000 * n + draw, n)
+            for kind in range(1, 6):
+                other = [*base, "more", "words"][: n + kind] if kind < 3 else [*base[: n - kind + 2], *["new", "end"][: kind - 2]] if kind < 5 else [*base[: n // 2], "x", *base[n // 2 + 1 :]]
+                tag = [f"{w}{kind}" for w in base], [f"{w}{kind}" for w in other]
+                pairs.append((len(rows), len(rows) + 1, jaccard(*map(" ".join, tag))))
+                rows += [(len(rows), " ".join(tag[0])), (len(rows) + 1, " ".join(tag[1]))]
+    got = dict(near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    wrong = [(i, j, s) for i, j, s in pairs if (got[i] == got[j]) != (s >= 0.8)]
+    assert any(s == 0.8 for _, _, s in pairs) and len(wrong) <= len(pairs) // 200, wrong
+    assert not [w for w in wrong if w[2] < 0.8]
+
+
+def test_set_links_by_brute_force_and_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate((np.arange(40 * g, 40 * g + rng.integers(20, 40)), rng.integers(10_000, 20_000, rng.integers(0, 8))))).astype(np.uint64) for g in range(12) for _ in range(10)] + [np.zeros(0, dtype=np.uint64)]
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if (c := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - c) > 0]
+    label = lambda links: simhash.stars(len(sets), *(np.array(x, dtype=np.int64) for x in zip(*links, strict=True))).tolist()
+    assert label(simhash.set_links(sets, 0.8)) == label(want) != list(range(len(sets)))
+    monkeypatch.setattr(simhash, "PART_ROWS", 3)
+    base = words(7, 60)
+    rows = [(i, " ".join([*base[:59], f"end{i}"])) for i in range(20)]
+    assert {r.component for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
