@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +18,8 @@ from .common import release, stored
 from .language import held_out
 
 SAMPLES = 3
-#: Customers of a dish that sit down anew together; see seat.
-SMALL = 12
+#: Dishes of up to SMALL customers are drawn from a table of Stirling numbers, others from one of their ratios; its rows go up to LARGE. See seat.
+SMALL, LARGE = 12, 1 << 14
 THETA, THETA_ROOT = 2.0, 20.0
 END, START = np.uint64(0x1E0D5EED00000001), np.uint64(0x57A7700000000001)
 
@@ -48,13 +51,60 @@ def arrangements(discount: float) -> np.ndarray:
     return s
 
 
+@lru_cache(8)
+def _ratios(discount: float, width: int, sizes: bytes) -> np.ndarray:
+    """For each of the rising sizes c, log(S(c, t) / S(c, 1) * discount**(t - 1) * (t - 1)!) for t = 1..width; it rises to 0 with c."""
+    wanted = np.frombuffer(sizes, dtype=np.int64)
+    q, out, c = np.zeros(width, dtype=np.longdouble), np.empty((len(wanted), width)), 1
+    q[0] = 1
+    rate = discount * np.arange(1, width).astype(np.longdouble)
+    for k, size in enumerate(wanted.tolist()):
+        while c < size:
+            top = min(c + 1, width)  # no more tables than customers
+            q[1:top] += rate[: top - 1] / (c - discount) * (q[: top - 1] - q[1:top])
+            c += 1
+        with np.errstate(divide="ignore"):
+            out[k] = np.log(q)
+    return out
+
+
+def _seat_many(keys: np.ndarray, c: np.ndarray, weight: np.ndarray, discount: float, sample: int) -> np.ndarray:
+    """Tables of dishes of more than SMALL customers; see seat."""
+    x, extra = np.maximum(weight, 1e-300) / discount, np.zeros(len(c), dtype=np.int64)
+    far = np.flatnonzero(c > LARGE)
+    if len(far):
+        gamma = lambda v: np.array([math.lgamma(y) for y in v.tolist()])
+        share = np.exp(gamma(c[far] - 2 * discount) - gamma(c[far] - discount) + math.lgamma(LARGE - discount) - math.lgamma(LARGE - 2 * discount))
+        extra[far] = _poisson(x[far] * (1 - share), uniform(keys[far], sample, 100, 0))
+        x[far] *= share
+    c = np.minimum(c, LARGE)
+    found = np.empty(len(c), dtype=np.int64)
+    u = uniform(keys, sample, 0, 0)
+    widths = 64 * 4 ** np.ceil(np.maximum(0, np.log(np.minimum(c, x + 10 * np.sqrt(x) + 40) / 64) / np.log(4))).astype(np.int64)
+    for width in np.unique(widths).tolist():
+        of = np.flatnonzero(widths == width)
+        sizes, row = np.unique(c[of], return_inverse=True)
+        t = np.arange(width)
+        ratios = _ratios(discount, width, sizes.astype(np.int64).tobytes()) - np.array([math.lgamma(y + 1) for y in t.tolist()])
+        step = max(1, (1 << 19) // width)
+        for at in range(0, len(of), step):
+            some = of[at : at + step]
+            p = ratios[row[at : at + step]] + t * np.log(x[some])[:, None]
+            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
+            found[some] = 1 + (p[:, :-1] < (u[some] * p[:, -1])[:, None]).sum(axis=1)
+    return found + extra
+
+
 def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: float, sample: int) -> np.ndarray:
     """Tables of each dish (a word in a restaurant) with ``counts`` customers; ``weight`` is that of a new table serving it.
 
     A blocked Gibbs step: all customers of a dish sit down anew at once, given the others. A table of n attracts with n - discount, a new one
-    with ``weight``, so t tables have the probability S(c, t) weight**t over its sum. One customer has one table. Of more than SMALL
-    customers, those after the first SMALL sit down in passing: doubling by doubling, the number of new tables is Poisson
-    with the mean that the weights give.
+    with ``weight``, so t tables have the probability S(c, t) weight**t over its sum. One customer has one table. S(c, t) is a
+    table of generalised Stirling numbers up to SMALL customers; beyond, S(c, t) / S(c, 1) is held in logarithms, scaled to lie near 1. With the scaled
+    ratio t - 1 is a Poisson number of mean weight / discount, weighted by the chance that a chain that loses one of n with probability
+    n discount / (c - discount) at c customers has lost all when one customer is left. From LARGE customers up
+    the losses of one chain are taken as independent of each other, which puts the tables added there at a Poisson number; the variance is then off by less
+    than a share of tables * discount**2 / LARGE.
     """
     tables = np.minimum(counts, 1)
     some = np.flatnonzero(counts > 1)
@@ -65,7 +115,7 @@ def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: flo
     by_size = np.argsort(c, kind="stable")
     sizes = c[by_size]
     for size in range(2, SMALL + 1):
-        at = by_size[np.searchsorted(sizes, size) : (np.searchsorted(sizes, size, "right") if size < SMALL else None)]
+        at = by_size[np.searchsorted(sizes, size) : np.searchsorted(sizes, size, "right")]
         if not len(at):
             continue
         total, power, sums = np.zeros(len(at)), np.ones(len(at)), []
@@ -75,15 +125,9 @@ def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: flo
             sums.append(total)
         drawn = uniform(k[at], sample, 0, 0) * total
         found[at] = 1 + sum((x < drawn).astype(np.int64) for x in sums[:-1])
-    low = float(SMALL)
     big = np.flatnonzero(c > SMALL)
-    step = 0
-    while len(big):
-        high = np.minimum(c[big], low * 2)
-        mean = a[big] * np.log1p(np.maximum(high - low, 0) / np.maximum(low - discount * found[big] + a[big], 1e-9))
-        found[big] += np.minimum(_poisson(mean, uniform(k[big], sample, 100, step)), (high - low).astype(np.int64))
-        low, step = low * 2, step + 1
-        big = big[c[big] > low]
+    if len(big):
+        found[big] = _seat_many(k[big], c[big], a[big], discount, sample)
     tables[some] = np.minimum(found, c)
     return tables
 
@@ -101,8 +145,8 @@ def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
         left &= u > total
     far = mean > 50
     if far.any():
-        x = np.clip(u[far], 1e-12, 1 - 1e-12)
-        z = np.sign(x - 0.5) * np.sqrt(np.maximum(0, -np.log(4 * x * (1 - x)) * np.pi / 4 * 2)) / np.sqrt(np.pi / 2)  # close enough to the normal quantile
+        normal = NormalDist()
+        z = np.array([normal.inv_cdf(x) for x in np.clip(u[far], 1e-12, 1 - 1e-12).tolist()])
         out[far] = np.maximum(0, np.round(mean[far] + z * np.sqrt(mean[far]))).astype(np.int64)
     return out
 

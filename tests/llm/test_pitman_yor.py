@@ -63,3 +63,25 @@ def test_seating_follows_exact_distribution():
     w = np.array([a * (1 - d) * (2 - d), 3 * a * a * (1 - d), a**3])
     got = np.bincount(tables, minlength=4)[1:4] / n
     assert np.abs(got - w / w.sum()).max() < 0.02
+
+
+def test_many_customers_follow_the_same_law():
+    """The shares of all numbers of tables at 13, 100 and 1000 customers by S(c, t) * weight**t, and the limit of very many customers."""
+    n = 40_000
+    keys = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for d, a in ((0.7, 0.5), (0.7, 5.0), (0.3, 40.0), (0.9, 0.1)):
+        logs = np.array([0.0])  # of S(c, t), t = 1..c
+        for c in range(1, 1000):
+            with np.errstate(divide="ignore"):
+                joined = np.log(np.maximum(c - d * np.arange(1, c + 1), 0)) + logs
+            logs = np.logaddexp(np.append(joined, -np.inf), np.append(-np.inf, logs))
+            if c + 1 in (13, 100, 1000):
+                p = logs + np.arange(1, c + 2) * math.log(a)
+                p = np.exp(p - p.max())
+                p /= p.sum()
+                got = np.bincount(py.seat(keys, np.full(n, c + 1), np.full(n, a), d, 1), minlength=c + 2)[1:] / n
+                assert np.abs(np.cumsum(got) - np.cumsum(p)).max() < 0.015, (d, a, c + 1)
+    tables = py.seat(keys, np.full(n, 10**9), np.full(n, 5.0), 0.7, 1)
+    assert abs(tables.mean() - 1 - 5 / 0.7) < 0.06 and abs(tables.var() - 5 / 0.7) < 0.3
+    tables = [py.seat(keys, np.full(n, c), np.full(n, 60.0), 0.6, 1).mean() for c in (py.LARGE, py.LARGE + 1, 2 * py.LARGE)]
+    assert abs(tables[1] - tables[0]) < 0.2 and 0 <= tables[2] - tables[0] < 3
