@@ -18,6 +18,8 @@ from .common import release, stored
 from .language import held_out
 
 SAMPLES = 3
+#: Global sweeps after the first seating: in each, every dish is drawn anew given the seatings of the one before.
+SWEEPS = 3
 #: Dishes of up to SMALL customers are drawn from a table of Stirling numbers, others from one of their ratios; its rows go up to LARGE. See seat.
 SMALL, LARGE = 12, 1 << 14
 THETA, THETA_ROOT = 2.0, 20.0
@@ -272,23 +274,52 @@ def discounts(totals: list[float]) -> tuple[float, float]:
     return of(totals[2], totals[3]), of(totals[6], totals[7])
 
 
+def root_weights(customers: np.ndarray, tables: np.ndarray, c: float | np.ndarray, t: float | np.ndarray, discount: float, v: float) -> np.ndarray:
+    """The root's predictive probabilities of words that have so many of its c customers and t tables."""
+    return (np.maximum(customers - discount * tables, 0) + (THETA_ROOT + discount * t) / (v + 1)) / (THETA_ROOT + c)
+
+
 class State:
-    """What a block knows after the first exchange: global counts, and seatings of its bigrams that every block draws alike."""
+    """What a block knows after the first exchange: global counts, and seatings of its bigrams that every block draws alike.
 
-    def __init__(self, tokens: Tokens, replies: pa.Table, totals: list[float]):
+    ``rounds`` are the root's customers and tables after each round, for each sample; ``replies`` has, under kind 2 + round, each word's customers and
+    tables in the root and the tables of its restaurant.
+    """
+
+    def __init__(self, tokens: Tokens, replies: pa.Table, totals: list[float], rounds: list[list[float]]):
         self.n, self.v = totals[0], totals[1]
         self.root, self.discount = discounts(totals)
         word, pair = _read(replies, 0, 1)[0], _read(replies, 1, 1)[0]
         self.word, self.owned_word, self.pair, self.owned = word >> 1, word & 1, pair >> 1, pair & 1
-        self.tokens = tokens
-
-    def seating(self, sample: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """Tables of the block's bigrams, or of some of them. A restaurant's number of tables enters a new table's weight by its expected value under the process."""
+        self.tokens, self.rounds, self.got = tokens, rounds, [_read(replies, 2 + k, 3 * SAMPLES) for k in range(len(rounds))]
+
+    def base(self, sample: int, turn: int, words: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
+        """The root's predictive probabilities of words after a round; ``own`` of its customers leave first, and a word's tables with the last of them."""
+        customers, tables = self.got[turn][3 * sample][words] - own, self.got[turn][3 * sample + 1][words]
+        kept = np.minimum(tables, np.maximum(customers, 0))
+        c, t = self.rounds[turn][2 * sample : 2 * sample + 2]
+        return root_weights(customers, kept, c - own, t - (tables - kept), self.root, self.v)
+
+    def seating(self, sample: int, some: np.ndarray | slice = slice(None), turns: int | None = None) -> np.ndarray:
+        """Tables of the block's bigrams, or of some of them, after the given number of sweeps (all that the rounds allow).
+
+        The first seating has no other to go by: a restaurant's number of tables enters a new table's weight by its expected value under the
+        process, and words by their counts. In each sweep, a dish is drawn given the round before: the tables of the other dishes of
+        its restaurant and the root's predictive probability, both without the dish's own. The sweep draws all dishes at a time.
+        """
         t = self.tokens
-        context = self.word[t.pair_context[some]].astype(np.float64)
-        base = (self.word[t.pair_word[some]] + 1.0) / (self.n + self.v + 1)
-        weight = (THETA + self.discount * np.maximum(context, 1) ** self.discount) * base
-        return seat(t.pairs[some], self.pair[some], weight, self.discount, sample)
+        tables = np.minimum(self.pair[some], 1)
+        many = np.flatnonzero(self.pair[some] > 1)  # one customer has one table
+        keys, counts, word, context = (x[some][many] for x in (t.pairs, self.pair, t.pair_word, t.pair_context))
+        base = (self.word[word] + 1.0) / (self.n + self.v + 1)
+        weight = (THETA + self.discount * np.maximum(self.word[context].astype(np.float64), 1) ** self.discount) * base
+        own = seat(keys, counts, weight, self.discount, sample)
+        for turn in range(len(self.rounds) if turns is None else turns):
+            others = np.maximum(self.got[turn][3 * sample + 2][context] - own, 0)
+            weight = (THETA + self.discount * others) * self.base(sample, turn, word, own)
+            own = seat(keys, counts, weight, self.discount, 1000 * (turn + 1) + sample)
+        tables[many] = own
+        return tables
 
 
 def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +331,7 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
 
     Rows lie in blocks. A block sends its distinct words and bigrams with their training counts, by key group, and
     gets their global counts back in its own order; then it sends the tables of the bigrams it is first to have, and gets the root's
-    customers and tables back. Keys are 64-bit digests. A word that a third of all tokens are costs a number per block.
+    customers and tables and the restaurants' tables back, once for the first seating and once for each of SWEEPS sweeps. Keys are 64-bit digests. A word that a third of all tokens are costs a number per block.
 
     Null texts are empty (one token, the end); null ids keep their rows; an empty table gives no rows; with no training rows all words are
     unknown. Only the two named columns and ``held`` are read.
@@ -318,45 +349,46 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     def first_answer(table: pa.Table) -> pa.Table:
         return _answer(table, 1, _first_merge(table.column("kind")[0].as_py()))
 
-    def second(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _table([], _REQUEST)
-        tokens = Tokens(table)
-        state = State(tokens, replies, replies.column("all")[0].as_py())
-        values, own = [], np.flatnonzero(state.owned)
-        for s in range(SAMPLES):
-            tables = state.seating(s, own)
-            values += [np.bincount(x[own], tables, len(tokens.words)) for x in (tokens.pair_word, tokens.pair_context)]
-        return _table(_send(table.column("block")[0].as_py(), 0, tokens.words, values, n), _REQUEST)
+    def second(totals: list[float], rounds: list[list[float]]) -> Callable:
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return _table([], _REQUEST)
+            tokens = Tokens(table)
+            state = State(tokens, replies, totals, rounds)
+            values, own = [], np.flatnonzero(state.owned)
+            for s in range(SAMPLES):
+                tables = state.seating(s, own)
+                values += [np.bincount(x[own], tables, len(tokens.words)) for x in (tokens.pair_word, tokens.pair_context)]
+            return _table(_send(table.column("block")[0].as_py(), 0, tokens.words, values, n), _REQUEST)
+
+        return run
 
-    def second_answer(table: pa.Table) -> pa.Table:
-        root = table.column("discount")[0].as_py()
+    def second_answer(totals: list[float], rounds: list[list[float]]) -> Callable:
+        root = discounts(totals)[0]
 
         def merge(every, sums, inverse, owner, stacked):
-            replies, totals = [], []
+            replies, found = [], []
             for s in range(SAMPLES):
                 customers, tables_of = sums[2 * s], sums[2 * s + 1]
-                tables = seat(every, customers, np.full(len(every), root), root, 50 + s)
+                before = rounds[-1][2 * s + 1] if rounds else totals[1]  # the root's tables; at first one for each word
+                weight = np.full(len(every), (THETA_ROOT + root * before) / (totals[1] + 1))
+                tables = seat(every, customers, weight, root, 1000 * len(rounds) + 50 + s)
                 replies += [customers[inverse], tables[inverse], tables_of[inverse]]
-                totals += [float(customers.sum()), float(tables.sum())]
-            return np.array(replies), totals
+                found += [float(customers.sum()), float(tables.sum())]
+            return np.array(replies), found
 
-        return _answer(table, 2 * SAMPLES, merge)
+        return lambda table: _answer(table, 2 * SAMPLES, merge)
 
-    def score(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def score(table: pa.Table, replies: pa.Table, totals: list[float], rounds: list[list[float]]) -> pa.Table:
         tokens = Tokens(table)
-        totals, roots = replies.column("all")[0].as_py(), replies.column("roots")[0].as_py()
-        state = State(tokens, replies, totals)
-        got = _read(replies, 2, 3 * SAMPLES)
+        state = State(tokens, replies, totals, rounds)
+        last = len(rounds) - 1
         mean = np.zeros(len(tokens.pairs))
         count = state.word[tokens.pair_context]
         for s in range(SAMPLES):
-            customers, tables, tables_of = got[3 * s : 3 * s + 3]
-            c, t = roots[2 * s], roots[2 * s + 1]
-            base = (np.maximum(customers - state.root * tables, 0) + (THETA_ROOT + state.root * t) / (state.v + 1)) / (THETA_ROOT + c)
-            held_tables = tables_of[tokens.pair_context]
-            own = state.seating(s)
-            mean += (np.maximum(state.pair - state.discount * own, 0) + (THETA + state.discount * held_tables) * base[tokens.pair_word]) / (THETA + count)
+            held_tables = state.got[last][3 * s + 2][tokens.pair_context]
+            own = state.seating(s, turns=last)  # the seating that the last round counted
+            mean += (np.maximum(state.pair - state.discount * own, 0) + (THETA + state.discount * held_tables) * state.base(s, last, tokens.pair_word)) / (THETA + count)
         each = np.log10(mean / SAMPLES)[tokens.pair]
         known = state.word[tokens.word]
         simple = np.log10((known + 1.0) / (state.n + state.v + 1))
@@ -364,22 +396,18 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
         return pa.table([table.column("id"), table.column("held_out"), pa.array(tokens.sizes, pa.int64()), pa.array(total((known > 0).astype(np.int64)), pa.int64()), pa.array([int(state.n)] * table.num_rows, pa.int64()), pa.array(total(simple)), pa.array(total(each))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def score_or_none(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return score(table, replies) if table.num_rows else pa.table([pa.array([], table.schema.field("id").type), *(pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    def summed(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.agg(F.array(*[F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0.0)) for k in range(size)]).alias(name))
-
-    r1 = docs.groupBy("block").applyInArrow(first, _REQUEST).groupBy("kind", "part").applyInArrow(first_answer, _REPLY)
-    r1 = stored(r1)
-    all_ = summed(r1, 8, "all")
-    known = r1.drop("totals").crossJoin(F.broadcast(all_))  # one row
-    sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(second, _REQUEST)
-    one, two = F.get("all", F.lit(2)), F.get("all", F.lit(3))
-    root = all_.select(F.when((one > 0) & (two > 0), F.least(F.lit(0.95), F.greatest(F.lit(0.05), one / (one + 2 * two)))).otherwise(0.5).alias("discount"))
-    r2 = sent.crossJoin(F.broadcast(root)).groupBy("kind", "part").applyInArrow(second_answer, _REPLY)
-    r2 = stored(r2)
-    roots = summed(r2, 2 * SAMPLES, "roots")
-    replies = known.unionByName(r2.withColumn("kind", F.lit(2)).drop("totals").crossJoin(F.broadcast(all_))).crossJoin(F.broadcast(roots))
+        return score(table, replies, all_, rounds) if table.num_rows else pa.table([pa.array([], table.schema.field("id").type), *(pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def summed(df: DataFrame, size: int) -> list[float]:
+        return list(df.agg(*[F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0.0)) for k in range(size)]).first())  # one row
+
+    r1 = stored(docs.groupBy("block").applyInArrow(first, _REQUEST).groupBy("kind", "part").applyInArrow(first_answer, _REPLY))
+    all_, rounds, replies = summed(r1, 8), [], r1.drop("totals")
+    for k in range(SWEEPS + 1):
+        sent = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(second(all_, list(rounds)), _REQUEST)
+        r2 = stored(sent.groupBy("kind", "part").applyInArrow(second_answer(all_, list(rounds)), _REPLY))
+        rounds.append(summed(r2, 2 * SAMPLES))
+        replies = replies.unionByName(r2.withColumn("kind", F.lit(2 + k)).drop("totals"))
     return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_or_none, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 

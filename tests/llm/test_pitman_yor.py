@@ -85,3 +85,26 @@ def test_many_customers_follow_the_same_law():
     assert abs(tables.mean() - 1 - 5 / 0.7) < 0.06 and abs(tables.var() - 5 / 0.7) < 0.3
     tables = [py.seat(keys, np.full(n, c), np.full(n, 60.0), 0.6, 1).mean() for c in (py.LARGE, py.LARGE + 1, 2 * py.LARGE)]
     assert abs(tables[1] - tables[0]) < 0.2 and 0 <= tables[2] - tables[0] < 3
+
+
+def test_sweeps_follow_the_other_seatings():
+    """A dish's tables in a sweep follow the tables of its restaurant in the round before, not the word counts alone."""
+    n = 4000
+    text = " ".join(f"a w{i} a w{i} a w{i}" for i in range(n))
+    tokens = py.Tokens(py.pa.table({"text": [text], "held_out": [False]}))
+    words, pairs = len(tokens.words), len(tokens.pairs)
+    word = np.bincount(tokens.word, minlength=words)
+    count = np.bincount(tokens.pair, minlength=pairs)
+    plain = lambda v: py._planes(np.concatenate(v).astype(np.int64))
+    means = {}
+    for name, held in (("few", 10), ("more tables", 10**6)):
+        got = [np.ones(words), np.ones(words), np.full(words, held)] * py.SAMPLES
+        rows = [(0, 0, 0, plain([word * 2 + 1]), None), (1, 0, 0, plain([count * 2 + 1]), None), (2, 0, 0, plain(got), None)]
+        rounds = [[float(words), float(words)] * py.SAMPLES]
+        totals = [float(len(tokens.word)), float(words), 0.0, 0.0, float(len(tokens.word)), float(pairs), 1.0, 1.0]
+        state = py.State(tokens, py._table(rows, py._REPLY), totals, rounds)
+        many = count > 1
+        means[name] = state.seating(0)[many].mean()
+        first = state.seating(0, turns=0)
+        assert (first[~many] == 1).all()
+    assert means["more tables"] > means["few"] + 0.2
