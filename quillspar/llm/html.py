@@ -59,7 +59,7 @@ class Page:
     """The block elements of a page in order, and the text runs that lie in them.
 
     Inline elements belong to the block around them. Missing end tags are supplied where HTML lets them be left out; an
-    end tag that matches nothing open is ignored; elements deeper than MAX_DEPTH join the one at that depth.
+    end tag that matches nothing open is ignored; elements of any depth are kept, the depth feature alone ends at MAX_DEPTH.
     """
 
     def __init__(self, html: str):
@@ -85,6 +85,16 @@ class Page:
                 if open_links:
                     links += len(piece.strip())
 
+        places: dict[str, list[int]] = {}  # rising stack heights of the open elements of a name, so that a tag's work doesn't grow with the depth
+
+        def nearest(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def close(k: int) -> None:
+            for _, t in stack[k:]:
+                places[t].pop()
+            del stack[k:]
+
         hidden: list[int] = []  # stack heights at which a hidden element was opened
         while at < n:
             m = _TAG.search(html, at)
@@ -100,18 +110,17 @@ class Page:
             if m[1]:
                 if tag == "a":
                     open_links = 0
-                elif tag == "p" and not any(t == "p" for _, t in stack):
+                elif tag == "p" and not places.get("p"):
                     flush()
                 elif tag not in _INLINE:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][1] == tag:
-                            flush()
-                            del stack[k:]
-                            open_links = 0
-                            while hidden and hidden[-1] >= len(stack):
-                                hidden.pop()
-                            gone = len(hidden)
-                            break
+                    k = nearest((tag,))
+                    if k:
+                        flush()
+                        close(k)
+                        open_links = 0
+                        while hidden and hidden[-1] >= len(stack):
+                            hidden.pop()
+                        gone = len(hidden)
                 continue
             if tag in _INLINE:
                 if tag == "a":
@@ -128,21 +137,15 @@ class Page:
             if tag == "hr":
                 continue
             if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][1] in ("table", "td", "th", "li", "article", "section", "div", "aside", "blockquote"):
-                        break
+                k = nearest(("p",))
+                if k > nearest(("table", "td", "th", "li", "article", "section", "div", "aside", "blockquote")):
+                    close(k)
             if tag in _PEERS:
-                close, within = _PEERS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] in within:
+                peers, within = _PEERS[tag]
+                while (k := nearest(peers)) > nearest(within):
+                    close(k)
+                    if tag not in ("tr", "tbody", "tfoot"):
                         break
-                    if stack[k][1] in close:
-                        del stack[k:]
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
             open_links = 0
             while hidden and hidden[-1] >= len(stack):
                 hidden.pop()
@@ -150,13 +153,13 @@ class Page:
             if unseen or tag in _DROPPED:
                 hidden.append(len(stack))
             gone = len(hidden)
-            if len(stack) < MAX_DEPTH:
-                node = len(self.tags)
-                self.tags.append(tag)
-                self.parents.append(stack[-1][0])
-                self.depths.append(len(stack))
-                self.cues.append(cues)
-                stack.append((node, tag))
+            node = len(self.tags)
+            self.tags.append(tag)
+            self.parents.append(stack[-1][0])
+            self.depths.append(min(len(stack), MAX_DEPTH))
+            self.cues.append(cues)
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((node, tag))
         flush()
 
     def features(self) -> np.ndarray:

@@ -80,3 +80,13 @@ def test_trees_learn():
     y = (x[:, 0] > 0) ^ (x[:, 3] > 0.5)
     m = html.BoostedTrees(trees=30).fit(x[:1500], y[:1500])
     assert ((m.predict(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+
+
+def test_deep_pages():
+    """Elements deeper than any cap keep their names, ancestors and hiding."""
+    page = html.Page("<div>" * 600 + "<article class=comment><div hidden><p>secret</p><p>more of it</p></div><p>seen</p></article><p>after</p>" + "</div>" * 600 + "<p>outside</p>")
+    assert [run for _, run, _ in page.runs] == ["seen", "after", "outside"]
+    above = [page.tags[page.parents[node]] for node, _, _ in page.runs]
+    assert above == ["article", "div", "#page"]
+    assert max(page.depths) == html.MAX_DEPTH
+    assert len(html.Page("<li><ul>" + "<x>" * 50_000 + "<li></li></y>" * 50_000).tags) == 100_003  # in time that grows with the page alone
