@@ -1,4 +1,4 @@
-"""Removal of word sequences that an earlier document has, by prefix-partitioned suffix groups."""
+"""Removal of word sequences that an earlier document has, by digests of fixed windows in groups of bounded size."""
 
 from __future__ import annotations
 
@@ -35,11 +35,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     being judged on the input. ``kept`` joins the other words by one space; ``spans`` are the maximal removed runs as
     (start, length) in words.
 
-    A suffix of a document stands for its first ``window`` words, that is for the node of that depth in the suffix tree of the
-    corpus; its path is held as a 64-bit digest. Documents lie in blocks that rise with the id, so a block sends each
-    distinct node once, without positions. Key prefixes split the nodes into groups of bounded size; within a
-    sorted group, a node met from several blocks is an internal node, and it is sent back to all its blocks but the first.
-    Nodes repeated within a block are found when the block is read again. A passage that every document has costs a
+    Fixed windows stand in for the suffix trees of the method; each is held as a 64-bit digest. Documents lie in blocks that rise with the id, so a
+    block sends each distinct window once, without positions. Equal ranges of the digest split the windows into groups of bounded size; within a
+    sorted group, a window met from several blocks is sent back to all its blocks but the first.
+    Windows repeated within a block are found when the block is read again. A passage that every document has costs a
     key per block.
 
     Nulls and empty texts have no words: counts 0, kept ''. A null id counts as larger than all ids (rows of null id don't
