@@ -9,6 +9,8 @@ from .common import cut, only
 
 #: Tokens of a window, and how many of them must be plain words.
 WINDOW, LITERALS = 8, 5
+#: Items left without such a window are searched word for word: whole from LEAST tokens up, by windows of MOST if longer.
+LEAST, MOST = 5, 16
 #: A template index of at most as many rows (of some 20 bytes) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 UNITS = tuple("mm cm dm m km g kg mg t s ms min h hz khz mhz ghz v mv kv a ma w kw mw kwh j kj n pa kpa mpa bar psi k c f l ml ft in mi mph kmh lb oz usd eur gbp percent degrees seconds minutes hours days weeks months years meters metres kilometers kilometres grams kilograms miles feet inches dollars euros pounds liters litres".split())
@@ -111,6 +113,42 @@ def templates(benchmark: DataFrame, item_col: str, text_col: str, window: int, l
     return items.where(F.size(F.filter("want", lambda x: ~_is_slot(x))) >= literals)
 
 
+def _has_window(canon: Column, window: int, literals: int) -> Column:
+    """Whether templates keeps a window of these tokens."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(canon) - window + 1, F.lit(1)))
+    return F.exists(starts, lambda i: F.size(F.filter(F.slice(canon, i, window), lambda x: ~_is_slot(x))) >= literals)
+
+
+def _without_window(benchmark: DataFrame, item_col: str, text_col: str, window: int, literals: int) -> DataFrame:
+    items = only(benchmark, item=item_col, text=text_col).where("item is not null and text is not null").withColumn("raw", raw_tokens(F.col("text")))
+    items = items.select("item", canonical_tokens(F.col("raw")).alias("canon"), plain_tokens(F.col("raw")).alias("plain"))
+    return items.where(~_has_window(F.col("canon"), window, literals)).select("item", "plain")
+
+
+def unsearchable(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", exact: bool = False, window: int = WINDOW, literals: int = LITERALS) -> int:
+    """How many items can't be found: those without a window of enough plain words, or with ``exact`` those of them with fewer than LEAST tokens."""
+    return _without_window(benchmark, item_col, text_col, window, literals).where(F.size("plain") < LEAST if exact else F.lit(True)).count()
+
+
+def _exact_pairs(keyed: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, window: int, literals: int) -> DataFrame | None:
+    """(id, h, item) where a row has an item without window, or MOST tokens of it, token for token in lower case; None if there are no such items."""
+    items = _without_window(benchmark, item_col, item_text, window, literals).where(F.size("plain") >= LEAST)
+    lengths = sorted(r.n for r in items.select(F.least(F.size("plain"), F.lit(MOST)).alias("n")).distinct().collect())  # at most MOST values
+    if not lengths:
+        return None
+    wanted = _exploded(_with_hashes(items, lengths, "plain"), lengths, lambda n: F.size("plain") >= n if n == MOST else F.size("plain") == n)
+    wanted = wanted.select("item", "len", "hash", F.slice("plain", F.col("pos") + 1, F.col("len")).alias("want")).distinct()
+    index = wanted.select("len", "hash").distinct()
+    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = _canonical_rows(keyed).select("id", "h", "plain")
+    found = _exploded(_with_hashes(rows, lengths, "plain").drop("plain"), lengths)
+    hits = cut(found.join(F.broadcast(index) if small else index, ["len", "hash"]).distinct())
+    sources = keyed.join(hits.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct(), same_row(F.col("id"), F.col("h")), "left_semi").dropDuplicates(["id", "h"])
+    sources = _canonical_rows(sources).select(F.col("id").alias("i"), F.col("h").alias("g"), "plain")
+    seen = hits.join(sources, same_row(F.col("id"), F.col("h"))).select("id", "h", "len", "hash", F.slice("plain", F.col("pos") + 1, F.col("len")).alias("have"))
+    return seen.join(wanted, ["len", "hash"]).where(F.col("have") == F.col("want")).select("id", "h", "item")
+
+
 def _canonical_rows(keyed: DataFrame) -> DataFrame:
     return keyed.where("text is not null").select("id", "h", raw_tokens(F.col("text")).alias("raw")).select("id", "h", canonical_tokens(F.col("raw")).alias("canon"), plain_tokens(F.col("raw")).alias("plain"))
 
@@ -120,7 +158,7 @@ def same_row(id_col: Column, h: Column) -> Column:
     return id_col.eqNullSafe(F.col("i")) & (h == F.col("g"))
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, exact: bool = False) -> DataFrame:
     """The contaminated rows alone: (i, g, n_windows, items), i being the id and g xxhash64 of the text. See contaminated."""
     wanted = templates(benchmark.where(F.col(f"`{item_col}`").isNotNull()), item_col, item_text, window, literals)
     keyed = only(docs, id=id_col, text=text_col).withColumn("h", F.xxhash64("text"))
@@ -135,10 +173,13 @@ def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     seen = seen.select("id", "h", "pos", "len", "hash", F.slice("canon", F.col("pos") + 1, F.col("len")).alias("have"), _slots(F.col("canon"), F.col("plain"), F.col("pos"), F.col("len")).alias("values"))
     pairs = seen.join(wanted.select("item", "len", "hash", "want", "slots"), ["len", "hash"]).where(F.col("have") == F.col("want"))
     pairs = pairs.where(F.size(F.array_distinct(F.arrays_zip("slots", "values"))) == F.size(F.array_distinct("slots")))
+    pairs = pairs.select("id", "h", "item")
+    more = _exact_pairs(keyed, benchmark, item_col, item_text, window, literals) if exact else None
+    pairs = pairs if more is None else pairs.unionByName(more)
     return pairs.groupBy("id", "h").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("items")).select(F.col("id").alias("i"), F.col("h").alias("g"), "n_windows", "items")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, exact: bool = False) -> DataFrame:
     """Per row of ``docs``: (id, contaminated, n_windows, items).
 
     A row is contaminated if one of its windows has the template of a window of an item, and each value under the item's placeholders
@@ -147,18 +188,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows against an empty benchmark are clean; repeated rows are judged alike; a null id keeps its row; items of null text or null id
     are left out; only the named columns are read.
 
+    Windows of fewer than ``literals`` plain words are not searched. An item that has no other is found only with ``exact``, and then token for token in lower
+    case, numbers and names too: whole, or any MOST tokens of it if it is longer; one of fewer than LEAST tokens is never found (see unsearchable).
+
     Windows are matched by hash first and by their tokens for the few rows that hit. Nothing depends on how often a window occurs: templates
     are made distinct before the join.
     """
-    flags = flagged(docs, benchmark, id_col, text_col, item_col, item_text, window, literals)
+    flags = flagged(docs, benchmark, id_col, text_col, item_col, item_text, window, literals, exact)
     keyed = only(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("h"))
     out = keyed.join(flags, same_row(F.col("id"), F.col("h")), "left")
     return out.select("id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("items", F.array().cast(dict(flags.dtypes)["items"])).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and others) that are not contaminated, all columns kept."""
-    return docs.join(flagged(docs, benchmark).select("i", "g"), same_row(F.col("doc_id"), F.xxhash64("text")), "left_anti")
+    """The rows of ``docs`` (doc_id, text and others) that are not contaminated, all columns kept. Items without a window are searched too."""
+    return docs.join(flagged(docs, benchmark, exact=True).select("i", "g"), same_row(F.col("doc_id"), F.xxhash64("text")), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,15 @@ def test_slots_must_agree(spark):
     docs = [(1, "take 7 of the red balls and 7 of the blue"), (2, "take 7 of the red balls and 9 of the blue")]
     out = {r.id: r.contaminated for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, window=10).collect()}
     assert out == {1: True, 2: False}
+
+
+def test_items_without_a_window_are_found_word_for_word(spark):
+    long = " ".join(f"{k} km" for k in range(30))
+    bench = spark.createDataFrame([(1, "What is 12 times 7?"), (2, long), (3, "12 13 14"), (4, ITEM)], "item_id long, text string")
+    docs = [(1, "He asked: what is 12 times 7? Nobody knew."), (2, "He asked what is 12 times 8 of them"), (3, "so " + " ".join(long.split()[7:27])), (4, "12 13 14"), (5, ITEM), (6, "1 km 5 km " * 10), (None, "What IS 12 times 7")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: r["items"] for r in dc.contaminated(rows, bench, exact=True).collect() if r.contaminated}
+    assert got == {1: [1], 3: [2], 5: [4], None: [1]}
+    assert sorted(r.doc_id for r in dc.drop_contaminated(rows, bench).collect()) == [2, 4, 6]
+    assert (dc.unsearchable(bench), dc.unsearchable(bench, exact=True)) == (3, 1)
+    assert dc.unsearchable(spark.read.parquet(f"{SF}/benchmark.parquet")) == 0
