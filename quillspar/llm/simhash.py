@@ -258,7 +258,12 @@ def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float
     out: list[tuple[np.ndarray, np.ndarray]] = []
     loose = least - SLACK
     most = int(BITS * math.acos(2 * loose / (1 + loose)) / math.pi) + 1  # sets of unlike sizes must be nearer than equal ones
-    i, step = np.arange(len(key)), 1
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        root = stars(len(key), *(np.concatenate(x) for x in zip(*out, strict=True)))
+        moved = np.flatnonzero(root != np.arange(len(key)))
+        return moved, root[moved]
+
+    i, step, held = np.arange(len(key)), 1, 0
     while True:
         i = i[i + step < len(key)]
         i = i[key[i] == key[i + step]]
@@ -274,13 +279,12 @@ def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float
             near[near] = similarity(apart[near], sizes[a[near]], sizes[b[near]]) >= loose
             near |= np.minimum(sizes[a], sizes[b]) < SHORT
             out.append((a[near], b[near]))
+            held += len(out[-1][0])
+            if held > len(key) + (1 << 18):  # stars say the same in a link for each row
+                out = [joined()]
+                held = len(out[0][0])
         step += 1
-    if not out:
-        return i, i
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    root = stars(len(key), a, b)
-    moved = np.flatnonzero(root != np.arange(len(key)))
-    return moved, root[moved]
+    return joined() if out else (i, i)
 
 
 def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
