@@ -11,22 +11,96 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from .blocks import block_count, id_blocks
+from .blocks import block_count, grouped, id_blocks, mix
 from .common import hold, only, shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
-#: Texts whose split at spaces is known to keep the pieces apart; see Encoder.
-_PLAIN = r"^[\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{24f}]*$"
-_SPECIAL = r" [ \t\n\r]|<\|"
+#: Finds a character whose class may differ between pattern engines, or a special token's string; such texts go to the library whole.
+_ODD = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{24f}]|<\|"
 _KNOWN = 400_000
-_MARKS = string.punctuation
+_SLOTS = 1 << 20
+_SPACE, _WHITE, _LETTER, _DIGIT, _OTHER, _EDGE = range(6)
+
+
+def _byte_classes() -> np.ndarray:
+    """The class of each byte of a text without _ODD characters; bytes of longer characters count as letters (see _classes)."""
+    out = np.full(256, _OTHER, dtype=np.uint8)
+    out[0x80:] = _LETTER
+    for c, kind in ((string.ascii_letters, _LETTER), (string.digits, _DIGIT), ("\t\n\r", _WHITE), (" ", _SPACE), ("\0", _EDGE)):
+        out[list(c.encode())] = kind
+    return out
+
+
+_CLASS = _byte_classes()
+#: Of the characters U+00A1 to U+00BF and of the two signs among the letters up to U+024F: their classes by second byte.
+_SIGNS = {0xC2: {b: _LETTER if b in (0xAA, 0xB5, 0xBA) else _DIGIT if b in (0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE) else _OTHER for b in range(0x80, 0xC0)}, 0xC3: {0x97: _OTHER, 0xB7: _OTHER}}
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    out = _CLASS[data]
+    for lead, kinds in _SIGNS.items():
+        at = np.flatnonzero(data == lead)
+        if not len(at):
+            continue
+        table = np.full(256, _LETTER, dtype=np.uint8)
+        table[list(kinds)] = list(kinds.values())
+        out[at] = out[at + 1] = table[data[at + 1]]
+    return out
+
+
+def cut_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the pieces that the vocabulary's pattern cuts texts into, which end with a zero byte each.
+
+    A piece is a run of letters, of digits or of other signs, with one space before it if there is one; 's 't 'm 'd 're 've 'll are pieces of
+    their own where an apostrophe begins a piece; of white space, the last character before such a run stands alone (or is the run's space), and what is before it is one piece.
+    """
+    kind = _classes(data)
+    white = kind <= _WHITE
+    group = np.where(white, np.uint8(_WHITE), kind)
+    start = np.ones(len(data), dtype=bool)
+    np.not_equal(group[1:], group[:-1], out=start[1:])
+    after = np.flatnonzero(white[:-1] & ~white[1:] & (kind[1:] != _EDGE)) + 1
+    start[after - 1] = True
+    start[after[data[after - 1] == 0x20]] = False
+    marks = np.flatnonzero((data == 0x27) & start)
+    marks = marks[kind[marks + 1] == _LETTER]
+    if len(marks):
+        one, two = data[marks + 1], data[np.minimum(marks + 2, len(data) - 1)]
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+        start[marks[short | long] + 1] = False
+        for hit, n in ((short, 2), (long, 3)):
+            rest = marks[hit] + n
+            start[rest[kind[rest] == _LETTER]] = True
+    edge = kind == _EDGE
+    events = np.flatnonzero(start | edge)
+    own = ~edge[events]
+    ends = np.append(events[1:], len(data))
+    return events[own], ends[own]
+
+
+def _piece_keys(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit keys of byte ranges, by words of eight bytes; ``data`` has eight bytes more than the ranges."""
+    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    size = ends - starts
+    low = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+    keys = mix(words[starts] & low[np.minimum(size, 8)]) + size.astype(np.uint64)
+    left, at = np.flatnonzero(size > 8), 8
+    while len(left) and at < 64:
+        keys[left] = mix(keys[left] * np.uint64(0x9E3779B97F4A7C15) ^ (words[starts[left] + at] & low[np.minimum(size[left] - at, 8)]))
+        at += 8
+        left = left[size[left] > at]
+    for k in left.tolist():
+        keys[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]])
+    return keys
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,20 +110,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-#: For texts of space-headed words set apart by line ends.
-_LETTERS = _byte_letters() | {10: "\n"}
+#: For pieces set apart by zero bytes.
+_LETTERS = _byte_letters() | {0: "\n"}
 
 
 class Encoder:
     """Ids of a byte-level vocabulary, by the tokenizers library.
 
-    The library's pattern cuts a text into pieces, each of which is encoded for itself, and no piece has a space but in front (or is
-    white space alone). So a text without white space after a space falls, at its spaces, into chunks that are encoded
-    alike wherever they stand. Chunks are made distinct by Arrow, new ones go to the library (a word and the marks after it apart, as
-    its pattern has them; words without the pattern, which has no more to do), and the ids of chunks seen
-    before are kept: about _KNOWN of them, then the half met most often stays. Texts with characters beyond the Latin blocks, where character
-    classes might differ between regular expression engines, with control characters, with runs of spaces or with a special token's string
-    go to the library whole.
+    The vocabulary's pattern cuts a text into pieces, each of which is encoded for itself. Here texts are cut by array operations, and only pieces that
+    are new go to the library, which then has no pattern to match; the ids of pieces seen before are kept by a 64-bit key: about _KNOWN of them,
+    then the half met most often stays. Texts with characters beyond the Latin blocks, where character classes might differ between regular
+    expression engines, with control characters or with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str = VOCABULARY, end: int = END):
@@ -66,121 +137,119 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.pool, self.starts, self.lengths, self.met = (np.zeros(0, dtype=k) for k in (np.uint16, np.int64, np.int64, np.int32))
+        self.pool, self.starts, self.lengths, self.met, self.keys = (np.zeros(0, dtype=k) for k in (np.uint16, np.int64, np.int64, np.int64, np.uint64))
+        self.place = np.zeros(2 * _SLOTS, dtype=np.int32)  # slot + 1 of a key at one of its two places, if there is room
+        self.rising = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))  # all keys in order, and their slots
 
     def _thin(self) -> None:
-        """Keep the chunks met most often, half of _KNOWN at most and none met but once."""
+        """Keep the pieces met most often, half of _KNOWN at most and none met but once."""
         best = np.argsort(-self.met, kind="stable")[: _KNOWN // 2]
         best = np.sort(best[self.met[best] > 1])
-        keys = list(self.slots)  # in order of their slots
-        chunks = [self.pool[a : a + n] for a, n in zip(self.starts[best].tolist(), self.lengths[best].tolist(), strict=True)]
-        met = self.met[best] // 2
+        ids, keys, lengths, met = self._gather(best), self.keys[best], self.lengths[best], self.met[best] // 2
         self.clear()
-        if len(best):
-            self._learn([keys[k] for k in best.tolist()], np.concatenate(chunks), np.array([len(c) for c in chunks], dtype=np.int64))
-            self.met = met
+        self._learn(keys, ids, lengths)
+        self.met = met
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint16)
 
-    def _learn(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.slots |= zip(keys, range(len(self.starts), len(self.starts) + len(keys)), strict=True)
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.keys)
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.met = np.concatenate((self.met, np.zeros(len(keys), dtype=np.int32)))
+        self.met = np.concatenate((self.met, np.zeros(len(keys), dtype=np.int64)))
         self.pool = np.concatenate((self.pool, ids))
-
-    def _learn_alone(self, keys: list[str], texts: list[str]) -> None:
-        ids = self._whole(texts)
-        self._learn(keys, np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64))
-
-    def _learn_slabs(self, words: pa.Array, bare: bool) -> None:
-        """Chunks of a space and a word, encoded some hundred at a time as one text and cut by byte counts."""
-        keys = words.to_pylist()
-        if not keys:
-            return
+        self.keys = np.concatenate((self.keys, keys))
+        at = np.argsort(self.keys, kind="stable")
+        self.rising = self.keys[at], at
+        left = np.arange(len(keys))
+        for place in self._places(keys):
+            free = left[self.place[place[left]] == 0]
+            self.place[place[free]] = free + first + 1
+            left = left[self.place[place[left]] != left + first + 1]
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys & np.uint64(_SLOTS - 1)).astype(np.int64), (keys >> np.uint64(40) & np.uint64(_SLOTS - 1)).astype(np.int64) + _SLOTS
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of keys, -1 where a key is new."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        first, second = self._places(keys)
+        slots = self.place[first].astype(np.int64) - 1
+        left = np.flatnonzero((slots < 0) | (self.keys[slots] != keys))
+        slots[left] = self.place[second[left]].astype(np.int64) - 1
+        left = left[(slots[left] < 0) | (self.keys[slots[left]] != keys[left])]
+        known, at = self.rising
+        found = np.minimum(np.searchsorted(known, keys[left]), len(known) - 1)
+        slots[left] = np.where(known[found] == keys[left], at[found], -1)
+        return slots
+
+    def _encode_pieces(self, keys: np.ndarray, found: list[bytes]) -> None:
+        """Learn pieces, encoded some hundred at a time as one text and cut by byte counts."""
         slabs = []
-        for k in range(0, len(keys), 256):
-            if not bare:
-                slabs.append(" " + " ".join(keys[k : k + 256]))
-                continue
-            text = " " + "\n ".join(keys[k : k + 256])
-            slabs.append(text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS))
-        found = (self.bare if bare else self.tokenizer).encode_batch_fast(slabs, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, dtype=np.uint16) for e in found])
-        sizes = pc.add(pc.binary_length(words), 1).to_numpy(zero_copy_only=False)
+        for k in range(0, len(found), 256):
+            text = b"\0".join(found[k : k + 256])
+            if text.isascii():
+                slabs.append(text.decode().replace("\n", _LETTERS[10]).replace("\0", "\n").replace(" ", _LETTERS[32]).replace("\t", _LETTERS[9]).replace("\r", _LETTERS[13]))
+            else:
+                slabs.append(text.decode("latin-1").translate(_LETTERS))
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint16) for e in self.bare.encode_batch_fast(slabs, add_special_tokens=False)])
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1
         self._learn(keys, ids, np.diff(ends, prepend=0))
 
-    def _learn_words(self, words: pa.Array) -> None:
-        """New chunks of a space and a word of ``words``, words ending in marks being put together from two known ones."""
-        cores = pc.utf8_rtrim(words, _MARKS)
-        alpha, same = pc.utf8_is_alpha(cores), pc.equal(cores, words)
-        self._learn_slabs(words.filter(pc.and_(alpha, same)), True)
-        self._learn_slabs(words.filter(pc.invert(alpha)), False)
-        both = pc.and_(alpha, pc.invert(same))
-        words, cores = words.filter(both), cores.filter(both)
-        if not len(words):
-            return
-        missing = [c for c in cores.unique().to_pylist() if c not in self.slots]
-        ascii_first = sorted(missing, key=str.isascii, reverse=True)
-        self._learn_slabs(pa.array(ascii_first, pa.string()), True)
-        keys, stems = words.to_pylist(), cores.to_pylist()
-        tails = [w[len(c) :] for w, c in zip(keys, stems, strict=True)]
-        new = [t for t in dict.fromkeys(tails) if f"\1{t}" not in self.slots]
-        if new:
-            self._learn_alone([f"\1{t}" for t in new], new)
-        slots = self.slots
-        known = {t: slots[f"\1{t}"] for t in set(tails)}
-        pairs = np.array([[slots[c] for c in stems], [known[t] for t in tails]], dtype=np.int64).T
-        self._learn(keys, self._gather(pairs.ravel()), self.lengths[pairs].sum(axis=1))
-
     def _gather(self, slots: np.ndarray) -> np.ndarray:
         lengths = self.lengths[slots]
         ends = np.cumsum(lengths)
-        return self.pool[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(ends[-1])]
+        return self.pool[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _by_pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the number of its ids, and all ids."""
+        data = b"\0".join(texts) + bytes(9)
+        starts, ends = cut_pieces(np.frombuffer(data, dtype=np.uint8, count=len(data) - 8))
+        keys = _piece_keys(data, starts, ends)
+        if len(self.keys) > _KNOWN:
+            self._thin()
+        slots = self._find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh, first, inverse = grouped(keys[new])
+            at = new[first]
+            found = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            order = np.argsort([not x.isascii() for x in found], kind="stable")  # slabs of ASCII alone are made faster
+            slot = np.empty(len(order), dtype=np.int64)
+            slot[order] = np.arange(len(self.keys), len(self.keys) + len(order))
+            slots[new] = slot[inverse]
+            self._encode_pieces(fresh[order], [found[k] for k in order.tolist()])
+        self.met += np.bincount(slots, minlength=len(self.met))
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        edges = np.concatenate(([0], np.cumsum(self.lengths[slots])))
+        cuts = edges[np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))]
+        return np.diff(cuts), self._gather(slots)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text (null: empty) the number of its ids with the end id, and all ids one after the other."""
         texts = texts.fill_null("")
-        plain = pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(pc.match_substring_regex(texts, _SPECIAL))).to_numpy(zero_copy_only=False)
-        out: list[np.ndarray | None] = [None] * len(texts)
-        rest = np.flatnonzero(~plain)
-        for k in rest.tolist():
-            out[k] = self._whole([texts[k].as_py()])[0]
-        some = np.flatnonzero(plain)
-        if len(some):
-            lists = pc.split_pattern(texts.take(pa.array(some)), " ")
-            offsets = lists.offsets.to_numpy()
-            coded = lists.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy()
-            words = coded.dictionary.to_pylist()
-            firsts = [f"\0{words[c]}" for c in codes[offsets[:-1] - offsets[0]].tolist()]
-            if len(self.slots) > _KNOWN:
-                self._thin()
-            fresh = [w for w in words if w and w not in self.slots]
-            self._learn_words(pa.array(sorted(fresh, key=str.isascii, reverse=True), pa.string()))
-            new = list(dict.fromkeys(w for w in firsts if w not in self.slots))
-            if "" not in self.slots:
-                self._learn_alone([""], [" "])
-            if new:
-                self._learn_alone(new, [w[1:] for w in new])
-            distinct = np.array([self.slots[w] for w in words], dtype=np.int64)
-            self.met[distinct] += 1
-            slots = distinct[codes]
-            slots[offsets[:-1] - offsets[0]] = [self.slots[w] for w in firsts]
-            ids = self._gather(slots)
-            cuts = np.concatenate(([0], np.cumsum(self.lengths[slots])))[offsets - offsets[0]]
-            for k, low, high in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[k] = ids[low:high]
-        lengths = np.array([len(x) + 1 for x in out], dtype=np.int64)
-        ids = np.full(int(lengths.sum()), self.end, dtype=np.uint16)
-        at = 0
-        for x in out:
-            ids[at : at + len(x)] = x
-            at += len(x) + 1
-        return lengths, ids
+        odd = pc.match_substring_regex(texts, _ODD)
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        plain = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        ids = np.zeros(0, dtype=np.uint16)
+        if len(plain):
+            lengths[plain], ids = self._by_pieces(texts.filter(pc.invert(odd)).cast(pa.binary()).to_pylist())
+        whole = {k: self._whole(texts[k].as_py()) for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        for k, x in whole.items():
+            lengths[k] = len(x)
+        lengths += 1
+        ends = np.cumsum(lengths)
+        out = np.full(int(ends[-1]) if len(ends) else 0, self.end, dtype=np.uint16)
+        inside = np.ones(len(out), dtype=bool)
+        inside[ends - 1] = False
+        for k, x in whole.items():
+            out[ends[k] - lengths[k] : ends[k] - 1] = x
+            inside[ends[k] - lengths[k] : ends[k]] = False
+        out[inside] = ids
+        return lengths, out
 
 
 def pieces(column: pa.ChunkedArray | pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
