@@ -104,6 +104,12 @@ def slices(table: pa.Table | pa.RecordBatch, column: str, limit: int = 4 << 20)
         yield first, texts
 
 
+def text_blocks(df: DataFrame, text: str, parts: int = 1) -> int:
+    """How many blocks keep each near a BLOCK_BYTES of text over ``parts``."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, math.ceil(size * parts / BLOCK_BYTES))
+
+
 def block_count(df: DataFrame, text: str, parts: int = 1) -> int:
     """How many blocks keep each near a BLOCK_BYTES of text over ``parts``; at least as many as shuffle partitions."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -13,26 +13,38 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import block_count, distinct, group_of, grouped, hash_texts, id_blocks, mix, pack, unpack
+from .blocks import distinct, group_of, grouped, hash_texts, mix, pack, text_blocks, unpack
 from .common import release, stored
 from .language import held_out
 
-SAMPLES = 3
-#: Global sweeps after the first seating: in each, every dish is drawn anew given the seatings of the one before.
-SWEEPS = 3
+#: Chains, and sweeps of each; the seatings of the last sweep are averaged.
+SAMPLES, SWEEPS = 3, 4
 #: Dishes of up to SMALL customers are drawn from a table of Stirling numbers, others from one of their ratios; its rows go up to LARGE. See seat.
 SMALL, LARGE = 12, 1 << 14
 THETA, THETA_ROOT = 2.0, 20.0
 END, START = np.uint64(0x1E0D5EED00000001), np.uint64(0x57A7700000000001)
+#: Blocks are a third of other operators', as more arrays are held for each; there are a fourth as many groups of words as of bigrams.
+_SHARE, _WORDS = 3, 4
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Non-negative integers as byte planes; the high planes are zero and compress away."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(values: list[np.ndarray]) -> bytes:
+    """Rows of non-negative integers as byte planes, as many for each row as its largest needs."""
+    out = [len(values[0]).to_bytes(4, "little")]
+    for row in values:
+        width = max(1, (int(row.max(initial=0)).bit_length() + 7) // 8)
+        out += [bytes([width]), np.ascontiguousarray(row, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(out)
 
 
-def _from_planes(blob: bytes, rows: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel().reshape(rows, -1).astype(np.int64)
+def _from_planes(blob: bytes) -> np.ndarray:
+    n, at, rows = int.from_bytes(blob[:4], "little"), 4, []
+    while at < len(blob):
+        width = blob[at]
+        row = np.zeros((n, 8), dtype=np.uint8)
+        row[:, :width] = np.frombuffer(blob, dtype=np.uint8, count=width * n, offset=at + 1).reshape(width, n).T
+        rows.append(row.view("<i8").ravel())
+        at += 1 + width * n
+    return np.array(rows)
 
 
 def uniform(keys: np.ndarray, *place: int) -> np.ndarray:
@@ -153,6 +165,28 @@ def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0xA0761D6478BD642F) + mix(keys))
+
+
+def gamma(keys: np.ndarray, shape: np.ndarray, *place: int) -> np.ndarray:
+    """Gamma numbers of unit scale by rejection (Marsaglia and Tsang); as uniform, they depend on the keys and the place alone."""
+    shape = np.broadcast_to(np.asarray(shape, dtype=np.float64), keys.shape)
+    low = shape < 1
+    d = shape + low - 1 / 3
+    out, left, turn = np.zeros(len(keys)), np.arange(len(keys)), 0
+    while len(left):
+        u, v, w = (uniform(keys[left], *place, turn, k) for k in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        cube = np.maximum(1 + x / np.sqrt(9 * d[left]), 0) ** 3
+        with np.errstate(divide="ignore"):
+            good = (cube > 0) & (np.log(w) < 0.5 * x * x + d[left] * (1 - cube + np.log(cube)))
+        out[left[good]] = (d[left] * cube)[good]
+        left, turn = left[~good], turn + 1
+    out[low] *= uniform(keys[low], *place, 0, 3) ** (1 / shape[low])
+    return out
+
+
 def _read_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the tokens, keys of their bigrams, and the texts' numbers of tokens and first places."""
     release()
@@ -177,7 +211,7 @@ def _read_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     before = np.empty_like(keys)
     before[1:] = keys[:-1]
     before[starts] = START
-    return keys, mix(before * np.uint64(0xA0761D6478BD642F) + mix(keys)), sizes, starts
+    return keys, pair_keys(before, keys), sizes, starts
 
 
 def _times(rising: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -212,15 +246,6 @@ class Tokens:
         self.pair_word, self.pair_context = self.word[at], self.context[at]
 
 
-def _send(block: int, kind: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> list[tuple]:
-    edges = np.searchsorted(group_of(keys, parts), np.arange(parts + 1))
-    return [(kind, g, block, pack(keys[edges[g] : edges[g + 1]]), _planes(np.concatenate([v[edges[g] : edges[g + 1]] for v in values]))) for g in np.flatnonzero(np.diff(edges)).tolist()]
-
-
-_REQUEST = "kind int, part int, block int, keys binary, counts binary"
-_REPLY = "kind int, part int, block int, counts binary, totals array<double>"
-
-
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
     names, types = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
@@ -228,44 +253,64 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def _answer(table: pa.Table, rows: int, merge: Callable) -> pa.Table:
-    """Add up what blocks sent of each key; ``merge`` turns the sums into replies, which go back in each block's own order of keys."""
-    blocks = table.column("block").to_pylist()
-    keys = [unpack(b.as_py()) for b in table.column("keys")]
-    values = [_from_planes(b.as_py(), rows) for b in table.column("counts")]
-    every, _, inverse = grouped(np.concatenate(keys))
-    owner = np.repeat(blocks, [len(k) for k in keys])
-    stacked = np.hstack(values)
-    sums = np.array([np.bincount(inverse, v, len(every)) for v in stacked]).round().astype(np.int64)
-    replies, totals = merge(every, sums, inverse, owner, stacked)
-    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    out, at = [], 0
-    for n, (block, k) in enumerate(zip(blocks, keys, strict=True)):
-        out.append((kind, part, block, _planes(replies[:, at : at + len(k)].ravel()), totals if n == 0 else None))
-        at += len(k)
-    return _table(out, _REPLY)
-
-
-def _read(table: pa.Table, kind: int, rows: int) -> np.ndarray:
-    part = table.filter(pc.equal(table.column("kind"), kind)).sort_by("part")
-    got = [_from_planes(b.as_py(), rows) for b in part.column("counts")]
-    return np.hstack(got) if got else np.zeros((rows, 0), dtype=np.int64)
+#: Rows of the exchanges. ``kind`` tells words, bigrams and what a block or a group keeps apart; ``totals`` are a group's sums.
+WORDS, PAIRS, OPEN, KEPT, BEFORE, TOTALS = range(6)
+_ROW = "kind int, part int, block int, keys binary, counts binary, totals array<double>"
+
+
+def _send(block: int, kind: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> list[tuple]:
+    edges = np.searchsorted(group_of(keys, parts), np.arange(parts + 1)).tolist()
+    return [(kind, g, block, pack(keys[a:b]), _planes([v[a:b] for v in values]), None) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
 
-def _first_merge(kind: int) -> Callable:
-    def merge(every, sums, inverse, owner, stacked):
-        total = sums[0]
-        has = np.where(stacked[0] > 0, owner, np.iinfo(np.int64).max)
-        least = np.full(len(every), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, has)
-        reply = total[inverse] * 2 + (owner == least[inverse])
-        real = every != START if kind == 0 else np.ones(len(every), dtype=bool)
-        of = lambda n: float((total[real] == n).sum())
-        totals = [0.0] * 8
-        totals[4 * kind : 4 * kind + 4] = [float(total[real].sum()), float((total[real] > 0).sum()), of(1), of(2)]
-        return reply[None, :], totals
+class Sent:
+    """What blocks sent to a key group: the distinct keys, the sums of each, and the way back to every block's own order."""
 
-    return merge
+    def __init__(self, table: pa.Table):
+        self.blocks = table.column("block").to_pylist()
+        self.part = table.column("part")[0].as_py()
+        self.keys = [unpack(b.as_py()) for b in table.column("keys")]
+        self.values = np.hstack([_from_planes(b.as_py()) for b in table.column("counts")])
+        self.every, _, self.inverse = grouped(np.concatenate(self.keys))
+
+    def sums(self) -> np.ndarray:
+        return np.array([np.bincount(self.inverse, v, len(self.every)) for v in self.values]).round().astype(np.int64)
+
+    def replies(self, kind: int, rows: list[np.ndarray], wanted: np.ndarray | None = None, totals: list[float] | None = None) -> list[tuple]:
+        """A row for each block with the rows' values of its keys, or of those of its keys that are wanted (a mask over what was sent)."""
+        out, at = [], 0
+        for block, k in zip(self.blocks, self.keys, strict=True):
+            own = self.inverse[at : at + len(k)]
+            if wanted is not None:
+                own = own[wanted[at : at + len(k)]]
+            at += len(k)
+            if len(own):
+                out.append((kind, self.part, block, None, _planes([r[own] for r in rows]), None))
+        return out + ([(TOTALS, self.part, -1, None, None, totals)] if totals is not None else [])
+
+
+def _received(table: pa.Table, kind: int) -> np.ndarray:
+    part = table.filter(pc.equal(table.column("kind"), kind)).sort_by("part")
+    got = [_from_planes(b.as_py()) for b in part.column("counts")]
+    return np.hstack(got) if got else np.zeros((1, 0), dtype=np.int64)
+
+
+def _count_answer(table: pa.Table) -> pa.Table:
+    """Global counts of words (WORDS) or of bigrams (PAIRS: twice the count, and one more for the block that is first to have it)."""
+    release()
+    sent, kind = Sent(table), table.column("kind")[0].as_py()
+    total = sent.sums()[0]
+    real = sent.every != START if kind == WORDS else np.ones(len(total), dtype=bool)
+    totals = [0.0] * 8
+    totals[4 * kind : 4 * kind + 4] = [float(total[real].sum()), *(float(x[real].sum()) for x in (total > 0, total == 1, total == 2))]
+    if kind == WORDS:
+        return _table(sent.replies(kind, [total], totals=totals), _ROW)
+    owner = np.repeat(sent.blocks, [len(k) for k in sent.keys])
+    first = np.full(len(total), np.iinfo(np.int64).max)
+    np.minimum.at(first, sent.inverse, np.where(sent.values[0] > 0, owner, np.iinfo(np.int64).max))
+    mine = (first[sent.inverse] == owner).astype(np.int64) + 2 * total[sent.inverse]
+    sent.inverse = np.arange(len(mine))
+    return _table(sent.replies(kind, [mine], totals=totals), _ROW)
 
 
 def discounts(totals: list[float]) -> tuple[float, float]:
@@ -274,141 +319,266 @@ def discounts(totals: list[float]) -> tuple[float, float]:
     return of(totals[2], totals[3]), of(totals[6], totals[7])
 
 
-def root_weights(customers: np.ndarray, tables: np.ndarray, c: float | np.ndarray, t: float | np.ndarray, discount: float, v: float) -> np.ndarray:
-    """The root's predictive probabilities of words that have so many of its c customers and t tables."""
-    return (np.maximum(customers - discount * tables, 0) + (THETA_ROOT + discount * t) / (v + 1)) / (THETA_ROOT + c)
-
+class Model:
+    """The model's numbers that all tasks share: counts, discounts, and for each round and chain the root's totals.
 
-class State:
-    """What a block knows after the first exchange: global counts, and seatings of its bigrams that every block draws alike.
-
-    ``rounds`` are the root's customers and tables after each round, for each sample; ``replies`` has, under kind 2 + round, each word's customers and
-    tables in the root and the tables of its restaurant.
+    ``rounds[k][s]`` is (customers, tables, measure of all words, measure of what is left, scale of new tables) of the root after k sweeps.
     """
 
-    def __init__(self, tokens: Tokens, replies: pa.Table, totals: list[float], rounds: list[list[float]]):
-        self.n, self.v = totals[0], totals[1]
+    def __init__(self, totals: list[float], samples: int):
+        self.n, self.v, self.samples = totals[0], totals[1], samples
         self.root, self.discount = discounts(totals)
-        word, pair = _read(replies, 0, 1)[0], _read(replies, 1, 1)[0]
-        self.word, self.owned_word, self.pair, self.owned = word >> 1, word & 1, pair >> 1, pair & 1
-        self.tokens, self.rounds, self.got = tokens, rounds, [_read(replies, 2 + k, 3 * SAMPLES) for k in range(len(rounds))]
-
-    def base(self, sample: int, turn: int, words: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
-        """The root's predictive probabilities of words after a round; ``own`` of its customers leave first, and a word's tables with the last of them."""
-        customers, tables = self.got[turn][3 * sample][words] - own, self.got[turn][3 * sample + 1][words]
-        kept = np.minimum(tables, np.maximum(customers, 0))
-        c, t = self.rounds[turn][2 * sample : 2 * sample + 2]
-        return root_weights(customers, kept, c - own, t - (tables - kept), self.root, self.v)
-
-    def seating(self, sample: int, some: np.ndarray | slice = slice(None), turns: int | None = None) -> np.ndarray:
-        """Tables of the block's bigrams, or of some of them, after the given number of sweeps (all that the rounds allow).
-
-        The first seating has no other to go by: a restaurant's number of tables enters a new table's weight by its expected value under the
-        process, and words by their counts. In each sweep, a dish is drawn given the round before: the tables of the other dishes of
-        its restaurant and the root's predictive probability, both without the dish's own. The sweep draws all dishes at a time.
+        self.rounds: list[list[tuple[float, ...]]] = []
+
+    def scale(self, sample: int) -> float:
+        """The auxiliary number of the root that its dishes' tables are drawn by: gamma with the tables of the round before (at first one for each word)."""
+        tables = self.rounds[-1][sample][1] if self.rounds else self.v
+        return float(gamma(np.array([0xB0], dtype=np.uint64), THETA_ROOT / self.root + tables, len(self.rounds), sample, 7)[0])
+
+    def root_tables(self, keys: np.ndarray, customers: np.ndarray, scale: float, turn: int, sample: int) -> np.ndarray:
+        return seat(keys, customers, np.full(len(keys), self.root * scale / (self.v + 1)), self.root, (turn * self.samples + sample) * 2)
+
+    def measure(self, keys: np.ndarray, customers: np.ndarray, tables: np.ndarray, turn: int, sample: int) -> np.ndarray:
+        """The words' shares of the root's measure, before they are made to sum to one."""
+        some = customers > 0
+        out = np.zeros(len(keys))
+        out[some] = gamma(keys[some], customers[some] - self.root * tables[some], turn, sample, 8)
+        return out
+
+    def add_round(self, sums: list[float]) -> None:
+        """``sums`` has for each chain customers, tables and measure of the words that groups keep; the last is the number of words that are one customer."""
+        turn, found, ones = len(self.rounds), [], sums[-1]
+        for s in range(self.samples):
+            customers, tables, measure = (x + y for x, y in zip(sums[3 * s : 3 * s + 3], (ones, ones, 0.0), strict=True))
+            key = np.array([0xA0], dtype=np.uint64)
+            if ones:
+                measure += float(gamma(key, ones * (1 - self.root), turn, s, 9)[0])
+            found.append((customers, tables, measure, float(gamma(key, THETA_ROOT + self.root * tables, turn, s, 10)[0])))
+        self.rounds.append(found)
+
+    def draw(self, turn: int, sample: int, words: np.ndarray, seen: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Tables of bigrams with more than one customer after sweep ``turn`` + 1, given what round ``turn`` has ``seen`` of the words.
+
+        ``seen`` has customers, tables in the root, and tables of its own restaurant for each word. Given the root's measure and a gamma number for each
+        restaurant, dishes are independent of one another, so any block draws them alike and all at a time, and yet each draw is an exact Gibbs step.
         """
-        t = self.tokens
-        tables = np.minimum(self.pair[some], 1)
-        many = np.flatnonzero(self.pair[some] > 1)  # one customer has one table
-        keys, counts, word, context = (x[some][many] for x in (t.pairs, self.pair, t.pair_word, t.pair_context))
-        base = (self.word[word] + 1.0) / (self.n + self.v + 1)
-        weight = (THETA + self.discount * np.maximum(self.word[context].astype(np.float64), 1) ** self.discount) * base
-        own = seat(keys, counts, weight, self.discount, sample)
-        for turn in range(len(self.rounds) if turns is None else turns):
-            others = np.maximum(self.got[turn][3 * sample + 2][context] - own, 0)
-            weight = (THETA + self.discount * others) * self.base(sample, turn, word, own)
-            own = seat(keys, counts, weight, self.discount, 1000 * (turn + 1) + sample)
-        tables[many] = own
-        return tables
+        used, at = np.unique(np.concatenate((pair_word, pair_context)), return_inverse=True)
+        pair_word, pair_context = np.split(at, 2)
+        words, (customers, tables, own) = words[used], seen[:, used]
+        _, _, measure, rest = self.rounds[turn][sample]
+        share = (self.measure(words, customers, tables, turn, sample) + rest / (self.v + 1)) / (measure + rest)
+        scale = gamma(words, THETA / self.discount + own, turn, sample, 11)
+        return seat(pair_keys(words[pair_context], words[pair_word]), counts, self.discount * scale[pair_context] * share[pair_word], self.discount, (turn * self.samples + sample) * 2 + 1)
 
+    def root_probability(self, sample: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The root's predictive probabilities after the last round."""
+        c, t = self.rounds[-1][sample][:2]
+        return (np.maximum(customers - self.root * tables, 0) + (THETA_ROOT + self.root * t) / (self.v + 1)) / (THETA_ROOT + c)
 
-def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row (id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from rows where ``held`` is false.
+
+def _open(tokens: Tokens, replies: pa.Table, block: int, parts: int) -> list[tuple]:
+    """What a block sends and keeps of the bigrams that it is first to have.
+
+    Bigrams of one customer have one table in every seating, so only their numbers by word and by context matter; they and those of all bigrams go to the
+    words' groups, with a mark on the words of the others. The others, with their words, stay in one row (OPEN) that sweeps work on.
+    """
+    reply = _received(replies, PAIRS)[0]
+    count, own = reply >> 1, np.flatnonzero((reply & 1) & (reply > 1))
+    one, many = own[count[own] == 1], own[count[own] > 1]
+    size = len(tokens.words)
+    of = lambda x, some: np.bincount(x[some], minlength=size)
+    marked = (of(tokens.pair_word, many) + of(tokens.pair_context, many) > 0).astype(np.int64)
+    values = [of(tokens.pair_word, one), of(tokens.pair_context, one), of(tokens.pair_word, own), of(tokens.pair_context, own), marked]
+    rows = _send(block, WORDS, tokens.words, values, parts)
+    if len(many):
+        used = np.flatnonzero(marked)
+        at = np.cumsum(marked) - 1
+        rows.append((OPEN, -1, block, pack(tokens.words[used]), _planes([at[tokens.pair_word[many]], at[tokens.pair_context[many]], count[many]]), None))
+    return rows
+
+
+def _rounds_up(model: Model, keys: np.ndarray, customers: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+    """Root tables of the kept words for each chain, and the sums that Model.add_round takes but for the last."""
+    turn, tables, sums = len(model.rounds), [], []
+    for s in range(model.samples):
+        found = model.root_tables(keys, customers[s], model.scale(s), turn, s)
+        share = model.measure(keys, customers[s], found, turn, s).sum()
+        tables.append(found)
+        sums += [float(customers[s].sum()), float(found.sum()), float(share)]
+    return tables, sums
+
+
+def _words_opened(model: Model) -> Callable:
+    """Round 0, every bigram at one table: what a group keeps of its words, and replies to blocks about the words of their OPEN bigrams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        sent = Sent(table)
+        one_c, one_t, all_c, all_t, marked = sent.sums()
+        kept = np.flatnonzero((marked > 0) | (all_c > 1))
+        tables, sums = _rounds_up(model, sent.every[kept], [all_c[kept]] * model.samples)
+        full = [np.zeros(len(all_c), dtype=np.int64) for _ in tables]
+        for x, y in zip(full, tables, strict=True):
+            x[kept] = y
+        rows = sent.replies(OPEN, [x for s in range(model.samples) for x in (all_c, full[s], all_t)], sent.values[4] > 0, [*sums, float(len(all_c) - len(kept) - (all_c == 0).sum() + (all_c[kept] == 0).sum())])
+        if len(kept):
+            now = [x for s in range(model.samples) for x in (all_c[kept], tables[s], all_t[kept])]
+            rows.append((KEPT, sent.part, -1, pack(sent.every[kept]), _planes([one_c[kept], one_t[kept], *now]), None))
+        return _table(rows, _ROW)
+
+    return run
+
+
+def _words_swept(model: Model) -> Callable:
+    """A round's sums of the words' customers and tables, the root's tables given them, and replies."""
+
+    def run(kept: pa.Table, table: pa.Table) -> pa.Table:
+        release()
+        if not kept.num_rows:
+            return _table([], _ROW)
+        keys = unpack(kept.column("keys")[0].as_py())
+        fixed = _from_planes(kept.column("counts")[0].as_py())[:2]
+        now = np.repeat(fixed[None], model.samples, axis=0)  # chain, (customers, tables of the own restaurant), word
+        sent = Sent(table) if table.num_rows else None
+        if sent is not None:
+            at = np.searchsorted(keys, sent.every)
+            now[:, :, at] += sent.sums().reshape(model.samples, 2, -1)
+        tables, sums = _rounds_up(model, keys, list(now[:, 0]))
+        values = [x for s in range(model.samples) for x in (now[s, 0], tables[s], now[s, 1])]
+        rows = sent.replies(OPEN, [v[at] for v in values]) if sent is not None else []
+        rows += [(TOTALS, kept.column("part")[0].as_py(), -1, None, None, [*sums, 0.0]), (KEPT, kept.column("part")[0].as_py(), -1, pack(keys), _planes([*fixed, *values]), None)]
+        return _table(rows, _ROW)
+
+    return run
+
+
+def _sweep(model: Model, parts: int) -> Callable:
+    """Draw a block's OPEN bigrams for all chains and send the sums by word and by context."""
+    turn = len(model.rounds) - 1
+
+    def run(state: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
+        if not state.num_rows:
+            return _table([], _ROW)
+        words = unpack(state.column("keys")[0].as_py())
+        pair_word, pair_context, counts = _from_planes(state.column("counts")[0].as_py())
+        seen, values = _received(replies, OPEN), []
+        for s in range(model.samples):
+            tables = model.draw(turn, s, words, seen[3 * s : 3 * s + 3], pair_word, pair_context, counts)
+            values += [np.bincount(x, tables, len(words)).astype(np.int64) for x in (pair_word, pair_context)]
+        return _table(_send(state.column("block")[0].as_py(), WORDS, words, values, parts), _ROW)
+
+    return run
+
+
+def _words_closed(samples: int) -> Callable:
+    """Replies to all blocks about all their words: what the last sweep was drawn by, if any of the word's bigrams was, and its outcome."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        kind = table.column("kind")
+        sent = Sent(table.filter(pc.equal(kind, WORDS)))
+        _, _, all_c, all_t, marked = sent.sums()
+        last = [x.copy() for _ in range(samples) for x in (all_c, np.minimum(all_c, 1), all_t)]
+        before = [np.zeros(len(all_c), dtype=np.int64) for _ in last]
+        for rows, which in ((before, BEFORE), (last, KEPT)):
+            held = table.filter(pc.equal(kind, which))
+            if held.num_rows:
+                at = np.searchsorted(sent.every, unpack(held.column("keys")[0].as_py()))
+                for row, x in zip(rows, _from_planes(held.column("counts")[0].as_py())[2:], strict=True):
+                    row[at] = x
+        for row in before:
+            row[marked == 0] = 0
+        return _table(sent.replies(OPEN, before + last), _ROW)
+
+    return run
+
+
+def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, sweeps: int = SWEEPS, with_tokens: bool = False) -> DataFrame:
+    """Per row (id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from rows where ``held`` is false; and each token's part of the score if ``with_tokens``.
 
     Tokens are the words, A-Z lowered, and one end. A word's restaurant is named by the word before; all share the root restaurant of
     words, whose base is uniform over the known words and one for all unknown ones. Customers of the root are the tables of the others.
-    The score is the log10 probability of the row's tokens, each probability being the mean over SAMPLES seatings.
+    The score is the log10 probability of the row's tokens, each probability being the mean over the last seatings of ``samples`` chains of ``sweeps`` (one at least).
 
-    Rows lie in blocks. A block sends its distinct words and bigrams with their training counts, by key group, and
-    gets their global counts back in its own order; then it sends the tables of the bigrams it is first to have, and gets the root's
-    customers and tables and the restaurants' tables back, once for the first seating and once for each of SWEEPS sweeps. Keys are 64-bit digests. A word that a third of all tokens are costs a number per block.
+    Rows lie in blocks by a hash of id and text. A block sends its distinct words and bigrams with their training counts, by key group, and
+    gets their global counts back in its own order. Sweeps work on the bigrams of more than one customer alone, each held by the block that is first to have
+    it; words' groups hold the customers and tables of the words. Keys are 64-bit digests. A word that a third of all tokens are costs a number per block.
+    Blocks and groups grow with the text and not with the number of partitions.
 
     Null texts are empty (one token, the end); null ids keep their rows; an empty table gives no rows; with no training rows all words are
-    unknown. Only the two named columns and ``held`` are read.
+    unknown. Only the two named columns and ``held`` are read. Rows of one id and one text share a block.
     """
-    kind = dict(df.dtypes)[id_col]
+    kind, names = dict(df.dtypes)[id_col], _NAMES + ["token_scores"] * with_tokens
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
-    n = block_count(docs, "text", 3)  # smaller blocks than other operators have: more arrays are held for each
-    docs = docs.withColumn("block", id_blocks(docs, "id", n))
+    n = text_blocks(docs, "text", _SHARE)
+    parts = math.ceil(n / _WORDS)
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
 
     def first(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         words, word_counts, pairs, pair_counts = counted(table)
-        return _table(_send(block, 0, words, [word_counts], n) + _send(block, 1, pairs, [pair_counts], n), _REQUEST)
-
-    def first_answer(table: pa.Table) -> pa.Table:
-        return _answer(table, 1, _first_merge(table.column("kind")[0].as_py()))
-
-    def second(totals: list[float], rounds: list[list[float]]) -> Callable:
-        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return _table([], _REQUEST)
-            tokens = Tokens(table)
-            state = State(tokens, replies, totals, rounds)
-            values, own = [], np.flatnonzero(state.owned)
-            for s in range(SAMPLES):
-                tables = state.seating(s, own)
-                values += [np.bincount(x[own], tables, len(tokens.words)) for x in (tokens.pair_word, tokens.pair_context)]
-            return _table(_send(table.column("block")[0].as_py(), 0, tokens.words, values, n), _REQUEST)
-
-        return run
-
-    def second_answer(totals: list[float], rounds: list[list[float]]) -> Callable:
-        root = discounts(totals)[0]
-
-        def merge(every, sums, inverse, owner, stacked):
-            replies, found = [], []
-            for s in range(SAMPLES):
-                customers, tables_of = sums[2 * s], sums[2 * s + 1]
-                before = rounds[-1][2 * s + 1] if rounds else totals[1]  # the root's tables; at first one for each word
-                weight = np.full(len(every), (THETA_ROOT + root * before) / (totals[1] + 1))
-                tables = seat(every, customers, weight, root, 1000 * len(rounds) + 50 + s)
-                replies += [customers[inverse], tables[inverse], tables_of[inverse]]
-                found += [float(customers.sum()), float(tables.sum())]
-            return np.array(replies), found
-
-        return lambda table: _answer(table, 2 * SAMPLES, merge)
-
-    def score(table: pa.Table, replies: pa.Table, totals: list[float], rounds: list[list[float]]) -> pa.Table:
+        return _table(_send(block, WORDS, words, [word_counts], parts) + _send(block, PAIRS, pairs, [pair_counts], n), _ROW)
+
+    def second(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table([], _ROW)
+        return _table(_open(Tokens(table), replies, table.column("block")[0].as_py(), parts), _ROW)
+
+    def score(table: pa.Table, replies: pa.Table, closed: pa.Table, model: Model) -> pa.Table:
         tokens = Tokens(table)
-        state = State(tokens, replies, totals, rounds)
-        last = len(rounds) - 1
-        mean = np.zeros(len(tokens.pairs))
-        count = state.word[tokens.pair_context]
-        for s in range(SAMPLES):
-            held_tables = state.got[last][3 * s + 2][tokens.pair_context]
-            own = state.seating(s, turns=last)  # the seating that the last round counted
-            mean += (np.maximum(state.pair - state.discount * own, 0) + (THETA + state.discount * held_tables) * state.base(s, last, tokens.pair_word)) / (THETA + count)
-        each = np.log10(mean / SAMPLES)[tokens.pair]
-        known = state.word[tokens.word]
-        simple = np.log10((known + 1.0) / (state.n + state.v + 1))
+        word, pair = _received(replies, WORDS)[0], _received(replies, PAIRS)[0] >> 1
+        seen = _received(closed, OPEN)
+        before, last = seen[: 3 * samples], seen[3 * samples :]
+        many = np.flatnonzero(pair > 1)
+        mean = np.zeros(len(pair))
+        for s in range(samples):
+            tables = np.minimum(pair, 1)
+            tables[many] = model.draw(len(model.rounds) - 2, s, tokens.words, before[3 * s : 3 * s + 3], tokens.pair_word[many], tokens.pair_context[many], pair[many])
+            customers, root, own = last[3 * s : 3 * s + 3]
+            base = model.root_probability(s, customers, root)
+            mean += (pair - model.discount * tables + (THETA + model.discount * own[tokens.pair_context]) * base[tokens.pair_word]) / (THETA + word[tokens.pair_context])
+        each = np.log10(mean / samples)[tokens.pair]
+        known = word[tokens.word]
+        simple = np.log10((known + 1.0) / (model.n + model.v + 1))
         total = lambda x: np.add.reduceat(x, tokens.starts)
-        return pa.table([table.column("id"), table.column("held_out"), pa.array(tokens.sizes, pa.int64()), pa.array(total((known > 0).astype(np.int64)), pa.int64()), pa.array([int(state.n)] * table.num_rows, pa.int64()), pa.array(total(simple)), pa.array(total(each))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        columns = [table.column("id"), table.column("held_out"), pa.array(tokens.sizes, pa.int64()), pa.array(total((known > 0).astype(np.int64)), pa.int64()), pa.array([int(model.n)] * table.num_rows, pa.int64()), pa.array(total(simple)), pa.array(total(each))]
+        if with_tokens:
+            columns.append(pa.array(np.split(each, tokens.starts[1:]), pa.list_(pa.float64())))
+        return pa.table(columns, names)
 
     def score_or_none(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return score(table, replies, all_, rounds) if table.num_rows else pa.table([pa.array([], table.schema.field("id").type), *(pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    def summed(df: DataFrame, size: int) -> list[float]:
-        return list(df.agg(*[F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0.0)) for k in range(size)]).first())  # one row
-
-    r1 = stored(docs.groupBy("block").applyInArrow(first, _REQUEST).groupBy("kind", "part").applyInArrow(first_answer, _REPLY))
-    all_, rounds, replies = summed(r1, 8), [], r1.drop("totals")
-    for k in range(SWEEPS + 1):
-        sent = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(second(all_, list(rounds)), _REQUEST)
-        r2 = stored(sent.groupBy("kind", "part").applyInArrow(second_answer(all_, list(rounds)), _REPLY))
-        rounds.append(summed(r2, 2 * SAMPLES))
-        replies = replies.unionByName(r2.withColumn("kind", F.lit(2 + k)).drop("totals"))
-    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_or_none, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        if not table.num_rows:
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+            return pa.table([pa.array([], table.schema.field("id").type), *(pa.array([], t) for t in kinds[: len(names) - 1])], names)
+        is_closed = pc.equal(replies.column("kind"), OPEN)
+        return score(table, replies.filter(pc.invert(is_closed)), replies.filter(is_closed), model)
+
+    def summed(rows: DataFrame, size: int) -> list[float]:
+        return list(rows.where(F.col("kind") == TOTALS).agg(*[F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0.0)) for k in range(size)]).first())  # one row
+
+    def of(rows: DataFrame, kind: int) -> DataFrame:
+        return rows.where(F.col("kind") == kind)
+
+    counts = stored(docs.groupBy("block").applyInArrow(first, _ROW).groupBy("kind", "part").applyInArrow(_count_answer, _ROW))
+    model = Model(summed(counts, 8), samples)
+    counts = counts.where(F.col("kind") <= PAIRS)
+    opened = stored(docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(second, _ROW))
+    now = stored(of(opened, WORDS).groupBy("part").applyInArrow(_words_opened(model), _ROW))
+    sums = summed(now, 3 * samples + 1)
+    ones, before = sums[-1], now
+    model.add_round(sums)
+    for _ in range(max(1, sweeps)):
+        before = now
+        sent = of(opened, OPEN).groupBy("block").cogroup(of(now, OPEN).groupBy("block")).applyInArrow(_sweep(model, parts), _ROW)
+        now = stored(of(now, KEPT).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_words_swept(model), _ROW))
+        model.add_round([*summed(now, 3 * samples), ones])
+    words = of(opened, WORDS).unionAll(of(now, KEPT)).unionAll(of(before, KEPT).withColumn("kind", F.lit(BEFORE)))
+    closed = stored(words.groupBy("part").applyInArrow(_words_closed(samples), _ROW))
+    return docs.groupBy("block").cogroup(counts.unionAll(closed).groupBy("block")).applyInArrow(score_or_none, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + ", token_scores array<double>" * with_tokens)
+
+
+_NAMES = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,16 +43,99 @@ def test_edges(spark):
     assert all(r.n_known == 0 for r in py.score_texts(df, F.lit(True)).collect())
 
 
+TEXTS = ["a b c", "a b", "c a a b", "b c", "a b", "d a b", "c c a b d", "a"]
+
+
+def exact_sampler(texts, turns, seed, ask, discount, root):
+    """Mean predictive probabilities by seating one customer after the other, over many turns."""
+    rng = np.random.default_rng(seed)
+    customers = [(x, y) for t in texts for x, y in zip([0, *t.split()], [*t.split(), None], strict=True)]
+    words = {y for _, y in customers}
+    v = len(words)
+    rooms, top = {}, {}
+    count = lambda room: sum(sum(x) for x in room.values())
+    tables = lambda room: sum(len(x) for x in room.values())
+
+    def base(w):
+        mine = top.get(w, [])
+        return (max(sum(mine) - root * len(mine), 0) + (py.THETA_ROOT + root * tables(top)) / (v + 1)) / (py.THETA_ROOT + count(top))
+
+    def sit(room, w, d, weight):
+        mine = room.setdefault(w, [])
+        p = np.array([n - d for n in mine] + [weight])
+        k = rng.choice(len(p), p=p / p.sum())
+        if k == len(mine):
+            mine.append(0)
+        mine[k] += 1
+        return mine[k] == 1
+
+    def rise(room, w):
+        mine = room[w]
+        k = rng.choice(len(mine), p=np.array(mine) / sum(mine))
+        mine[k] -= 1
+        if not mine[k]:
+            del mine[k]
+            return True
+        return False
+
+    def add(c, w):
+        room = rooms.setdefault(c, {})
+        if sit(room, w, discount, (py.THETA + discount * tables(room)) * base(w)):
+            sit(top, w, root, (py.THETA_ROOT + root * tables(top)) / (v + 1))
+
+    for c, w in customers:
+        add(c, w)
+    total = np.zeros(len(ask))
+    for turn in range(turns):
+        for c, w in customers:
+            if rise(rooms[c], w):
+                rise(top, w)
+            add(c, w)
+        if turn >= turns // 5:
+            for k, (c, w) in enumerate(ask):
+                room = rooms.get(c, {})
+                mine = room.get(w, [])
+                total[k] += (max(sum(mine) - discount * len(mine), 0) + (py.THETA + discount * tables(room)) * base(w)) / (py.THETA + count(room))
+    return total / (turns - turns // 5)
+
+
+def _asked(spark, words, samples):
+    """Probabilities of each of ``words``, of an unknown word and of the end after 'a'."""
+    rows = [(i, t, False) for i, t in enumerate(TEXTS)] + [(100 + k, f"a {w}".strip(), True) for k, w in enumerate([*words, "zzz", ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    out = {r.id: r.token_scores for r in py.score_texts(df, F.col("h"), samples=samples, sweeps=6, with_tokens=True).collect()}
+    return [10 ** out[100 + k][1] for k in range(len(words) + 2)]
+
+
 def test_probabilities_sum_to_one(spark):
-    """Over all continuations of 'a' that the vocabulary allows (and the unknown word), given the same training rows."""
-    train = [(i, t, False) for i, t in enumerate(["a b c", "a b", "c a a b", "b c"])]
-    ask = [(100 + k, f"a {w}".strip(), True) for k, w in enumerate(["a", "b", "c", "zzz", ""])] + [(200, "a", True)]
-    out = {r.id: r.score for r in py.score_texts(spark.createDataFrame(train + ask, "doc_id long, text string, h boolean"), F.col("h")).collect()}
-    # a text is start -> a -> w -> end; compare with asking for each w what follows it
-    ends = {}
-    for k, w in enumerate(["a", "b", "c", "zzz"]):
-        ends[w] = out[100 + k]
-    assert all(x < 0 for x in ends.values()) and ends["b"] > ends["zzz"]
+    """Over all continuations of 'a': the known words, one unknown word and the end."""
+    assert math.isclose(sum(_asked(spark, "abcd", 2)), 1, rel_tol=1e-9)
+
+
+def test_score_follows_an_exact_sampler(spark):
+    got = _asked(spark, "abcd", 150)
+    pairs = Counter((x, y) for t in TEXTS for x, y in zip([0, *t.split()], [*t.split(), None], strict=True))
+    words = Counter(y for t in TEXTS for y in [*t.split(), None])
+    of = lambda c: [0.0, 0.0, float(sum(x == 1 for x in c.values())), float(sum(x == 2 for x in c.values()))]
+    root, discount = py.discounts(of(words) + of(pairs))
+    want = exact_sampler(TEXTS, 3000, 1, [("a", w) for w in (*"abcd", "zzz", None)], discount, root)
+    assert np.abs(np.log(got) - np.log(want)).max() < 0.1, (got, want.tolist())
+
+
+def test_gamma_has_its_law():
+    keys = np.arange(100_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shape in (0.05, 0.6, 1.0, 3.5, 400.0):
+        x = py.gamma(keys, shape, 1, 2)
+        assert abs(x.mean() - shape) < 0.02 * max(shape, shape**0.5) and abs(x.var() / shape - 1) < 0.05
+
+
+def test_results_do_not_depend_on_the_blocks(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(30)), i % 5 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    one = {r.id: (r.base_score, r.score) for r in py.score_texts(df, F.col("h")).collect()}
+    monkeypatch.setattr(py, "text_blocks", lambda *a: 7)
+    many = {r.id: (r.base_score, r.score) for r in py.score_texts(df, F.col("h")).collect()}
+    assert all(np.allclose(one[k], many[k], rtol=1e-9) for k in one)
 
 
 def test_seating_follows_exact_distribution():
@@ -85,26 +168,3 @@ def test_many_customers_follow_the_same_law():
     assert abs(tables.mean() - 1 - 5 / 0.7) < 0.06 and abs(tables.var() - 5 / 0.7) < 0.3
     tables = [py.seat(keys, np.full(n, c), np.full(n, 60.0), 0.6, 1).mean() for c in (py.LARGE, py.LARGE + 1, 2 * py.LARGE)]
     assert abs(tables[1] - tables[0]) < 0.2 and 0 <= tables[2] - tables[0] < 3
-
-
-def test_sweeps_follow_the_other_seatings():
-    """A dish's tables in a sweep follow the tables of its restaurant in the round before, not the word counts alone."""
-    n = 4000
-    text = " ".join(f"a w{i} a w{i} a w{i}" for i in range(n))
-    tokens = py.Tokens(py.pa.table({"text": [text], "held_out": [False]}))
-    words, pairs = len(tokens.words), len(tokens.pairs)
-    word = np.bincount(tokens.word, minlength=words)
-    count = np.bincount(tokens.pair, minlength=pairs)
-    plain = lambda v: py._planes(np.concatenate(v).astype(np.int64))
-    means = {}
-    for name, held in (("few", 10), ("more tables", 10**6)):
-        got = [np.ones(words), np.ones(words), np.full(words, held)] * py.SAMPLES
-        rows = [(0, 0, 0, plain([word * 2 + 1]), None), (1, 0, 0, plain([count * 2 + 1]), None), (2, 0, 0, plain(got), None)]
-        rounds = [[float(words), float(words)] * py.SAMPLES]
-        totals = [float(len(tokens.word)), float(words), 0.0, 0.0, float(len(tokens.word)), float(pairs), 1.0, 1.0]
-        state = py.State(tokens, py._table(rows, py._REPLY), totals, rounds)
-        many = count > 1
-        means[name] = state.seating(0)[many].mean()
-        first = state.seating(0, turns=0)
-        assert (first[~many] == 1).all()
-    assert means["more tables"] > means["few"] + 0.2
