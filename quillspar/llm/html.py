@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import only
 
-_TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))""", re.S)
+#: Quotes are quotes after an equals sign alone.
+_TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)*)(?:>|\Z))""", re.S)
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("script style noscript template title textarea select button iframe svg canvas object audio video math head datalist".split())
+_DROPPED = frozenset("script style noscript template title textarea select button iframe svg canvas object audio video math datalist".split())
 _RAW = frozenset("script style noscript textarea title iframe noframes xmp template svg".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr area base col embed input link meta param source track map".split())
 _CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -35,35 +37,36 @@ _WORDS = {
     "share": r"share|sharing|social|follow|related|recommended|more|trending|popular|tags?|author-?box|byline|meta|recirc\w*|read-?next",
     "main": r"article|articlebody|content|post|entry|story|main|text|body|copy|prose|document|page-?content|blog-?post|news",
 }
-_CUES = tuple(_WORDS)
+_CUES = (*_WORDS, "hidden")
 _CUE = [re.compile(rf"(?:^|[^a-z])(?:{w})(?:[^a-z]|$)") for w in _WORDS.values()]
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 MAX_DEPTH = 512
 
 
 @lru_cache(50_000)
-def _cues(attributes: str) -> tuple[tuple[int, ...], bool]:
-    """For an element's attributes, which cue words its class, id, role, itemprop or label has; whether it is hidden."""
-    names, hidden = [], False
+def _cues(attributes: str) -> tuple[int, ...]:
+    """For an element's attributes, which cue words its class, id, role, itemprop or label has, and last whether it is hidden."""
+    names, hidden = [], 0
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role", "itemprop", "aria-label", "data-component", "data-testid"):
             names.append(_CAMEL.sub(r"\1-\2", unescape(value)).lower())
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            hidden = True
+            hidden = 1
     joined = " ".join(names).replace("_", "-")
-    return tuple(int(c.search(joined) is not None) for c in _CUE) if joined else (0,) * len(_CUE), hidden
+    return (*(int(c.search(joined) is not None) for c in _CUE), hidden) if joined else (0,) * len(_CUE) + (hidden,)
 
 
 class Page:
     """The block elements of a page in order, and the text runs that lie in them.
 
     Inline elements belong to the block around them. Missing end tags are supplied where HTML lets them be left out; an
-    end tag that matches nothing open is ignored; elements of any depth are kept, the depth feature alone ends at MAX_DEPTH.
+    end tag that matches nothing open is ignored; elements of any depth are kept, the depth feature alone ends at MAX_DEPTH. Text hidden by an attribute or a
+    style is kept: that an element is hidden is a feature of its node.
     """
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.depths, self.cues = ["#page"], [-1], [0], [_cues("")[0]]
+        self.tags, self.parents, self.depths, self.cues = ["#page"], [-1], [0], [_cues("")]
         self.runs: list[tuple[int, str, int]] = []  # (node, text, characters in links)
         stack, text, links, open_links, gone = [(0, "#page")], [], 0, 0, 0
         at, n, lowered = 0, len(html), None
@@ -128,6 +131,10 @@ class Page:
                 elif tag == "br" and not gone:
                     text.append("\n")
                 continue
+            if tag in ("svg", "math") and _CLOSED.search(m[3]):
+                continue
+            if tag == "head":  # what a head may hold has no text, and its end tag may be left out
+                continue
             if tag in _RAW:
                 lowered = html.lower() if lowered is None else lowered
                 end = lowered.find(f"</{tag}", at)
@@ -149,15 +156,14 @@ class Page:
             open_links = 0
             while hidden and hidden[-1] >= len(stack):
                 hidden.pop()
-            cues, unseen = _cues(m[3]) if m[3] else (_cues("")[0], False)
-            if unseen or tag in _DROPPED:
+            if tag in _DROPPED:
                 hidden.append(len(stack))
             gone = len(hidden)
             node = len(self.tags)
             self.tags.append(tag)
             self.parents.append(stack[-1][0])
             self.depths.append(min(len(stack), MAX_DEPTH))
-            self.cues.append(cues)
+            self.cues.append(_cues(m[3]))
             places.setdefault(tag, []).append(len(stack))
             stack.append((node, tag))
         flush()

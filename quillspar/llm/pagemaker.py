@@ -41,7 +41,17 @@ class Maker:
             return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
         return self.r.choice([" | ", " ", "<br>"]).join(items) if form == 2 else "".join(f"<div>{i}</div>" for i in items)
 
+    def hide(self, element: str, chance: float) -> str:
+        """The element, by chance hidden as scripts hide what they show later."""
+        if self.r.random() >= chance or not element.startswith("<"):
+            return element
+        end = next(k for k, c in enumerate(element) if c in " >")
+        return f"{element[:end]} {self.r.choice(['hidden', 'aria-hidden=true', 'style=display:none'])}{element[end:]}"
+
     def clutter(self, kind: str) -> str:
+        return self.hide(self.shown(kind), 0.15 if kind == "notice" else 0.03)
+
+    def shown(self, kind: str) -> str:
         r = self.r
         short = lambda: self.sentences(1, 3)
         if kind == "nav":
@@ -127,6 +137,7 @@ class Maker:
             body = f"<main>{r.choice([body, f'<article>{body}</article>', f'<section>{body}</section>'])}</main>"
         elif wrap < 6:
             body = f"<div{self.attr('content', 'post', 'entry-content', 'article-body', 'story', 'text', 'main', 'page-content')}>{body}</div>"
+        body = self.hide(body, 0.02) if wrap < 6 else body
         kinds = ["nav", "header", "advert", "notice", "form", "side", "related"]
         before = [self.clutter(r.choice(kinds)) for _ in range(r.randint(0, 4))]
         after = [self.clutter(r.choice(["comments", "comments", "side", "related", "advert", "form", "notice", "nav"])) for _ in range(r.randint(0, 4))]

@@ -54,6 +54,32 @@ def test_page_parts(model):
     assert text.split("\n\n") == ["A title & more", "First paragraph with enough words to be a paragraph, it says.", "Second one, unclosed, with a link inside it and words.", "One item of the list.", "Another item of it.", "Last paragraph of the text, which ends here."]
 
 
+ARTICLE = "".join(f"<p>Paragraph number {k} says enough words to be taken for one, and then it ends.</p>" for k in range(4))
+PARAGRAPHS = "\n\n".join(f"Paragraph number {k} says enough words to be taken for one, and then it ends." for k in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body>{}",
+    "<title>x</title><article>{}</article>",
+    "<html><head><title>x</title><body><svg width=1 /><main>{}</main>",
+    "<html><body><math/><div class=content>{}</div></body></html>",
+    "<body><nav><a href=foo'bar>one</a> <a href=x>two</a></nav><article>{}</article><footer>it's old</footer>",
+    "<body><article data-x=\"a>b\" data-y='c>d' data-z=e\"f>{}</article></body>",
+    "<body><div style='display:none' class=cookie-banner><p>We use cookies.</p></div><article aria-hidden=true>{}</article></body>",
+])
+def test_layouts(model, page):
+    page = html.Page(page.format(ARTICLE))
+    assert html.main_text(page, model.predict(page.features())) == PARAGRAPHS
+
+
+def test_markup_is_read_by_the_rules():
+    runs = lambda x: [run for _, run, _ in html.Page(x).runs]
+    assert runs("<html><head><title>x</title><body><p>hello") == ["hello"]
+    assert runs("<svg width=1 /><p>after") == ["after"] and runs("<svg width=1/><p>in it</p></svg><p>after") == ["after"]
+    assert runs("<p><a href=foo'bar>a</a> b <a href=it's>c</a> d") == ["a b c d"]
+    assert runs('<p title="a>b" x = \'c>d\'>e') == ["e"] and runs("<p hidden>shown later") == ["shown later"]
+
+
 def test_decode_has_no_contradiction():
     parents = [-1, 0, 1, 1, 0]
     keep = html.decode(parents, np.array([3.0, -2.0, 1.0, -4.0, 2.0]), np.ones(5))
@@ -83,8 +109,8 @@ def test_trees_learn():
 
 
 def test_deep_pages():
-    """Elements deeper than any cap keep their names, ancestors and hiding."""
-    page = html.Page("<div>" * 600 + "<article class=comment><div hidden><p>secret</p><p>more of it</p></div><p>seen</p></article><p>after</p>" + "</div>" * 600 + "<p>outside</p>")
+    """Elements deeper than any cap keep their names, ancestors and dropped parts."""
+    page = html.Page("<div>" * 600 + "<article class=comment><object><p>secret</p><p>more of it</p></object><p>seen</p></article><p>after</p>" + "</div>" * 600 + "<p>outside</p>")
     assert [run for _, run, _ in page.runs] == ["seen", "after", "outside"]
     above = [page.tags[page.parents[node]] for node, _, _ in page.runs]
     assert above == ["article", "div", "#page"]
