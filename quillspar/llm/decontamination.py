@@ -35,7 +35,7 @@ def _canonical(x: Column, before: Column) -> Column:
 
     A number is <num>, a unit word right after a number <unit>, a capitalised word inside a sentence <name>. Words all in capitals are plain.
     """
-    rest = F.substring(x, 2, 1 << 20)
+    rest = F.substr(x, F.lit(2))
     name = (F.length(x) > 1) & (rest == F.lower(rest)) & before.isNotNull() & ~_is_mark(before)
     low = F.lower(x)
     word = F.when(low.isin(*UNITS), F.when(_is_number(F.coalesce(before, F.lit(""))), F.lit("<unit>")).otherwise(low))

@@ -81,14 +81,14 @@ def _signed(x: int) -> int:
 
 
 def local_links(key: np.ndarray, near: np.ndarray, fps: np.ndarray, pivots: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key at most ``max_bits`` apart; rows are sorted by key and then by ``near``, the distance to pivot 0.
+    """Links between rows of equal key that connect exactly those linked by distances up to ``max_bits``; rows are sorted by key and then by ``near``, the distance to pivot 0.
 
     A pair whose distances to some pivot differ by more than max_bits can't be that near (triangle inequality). The
     sort by the first pivot bounds the pairs looked at; the table of the other pivots discards most of what is left,
-    and survivors are verified on all 64 bits.
+    and survivors are verified on all 64 bits. Pairs are turned into stars before they are many more than rows.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    i, step, table = np.arange(len(fps)), 1, None
+    i, step, table, held = np.arange(len(fps)), 1, None, 0
     while True:
         i = i[i + step < len(fps)]
         j = i + step
@@ -102,10 +102,21 @@ def local_links(key: np.ndarray, near: np.ndarray, fps: np.ndarray, pivots: np.n
         a, b = i[kept], j[kept]
         close = popcount(fps[a] ^ fps[b]) <= max_bits
         out.append((a[close], b[close]))
+        held += len(out[-1][0])
+        if held > len(fps) + (1 << 18):
+            out = [_stars_of(len(fps), out)]
+            held = len(out[0][0])
         step += 1
     return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (i, i)
 
 
+def _stars_of(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same components by at most one link for each of n rows: (row, smallest row of its component)."""
+    root = stars(n, *(np.concatenate(x) for x in zip(*links, strict=True)))
+    moved = np.flatnonzero(root != np.arange(n))
+    return moved, root[moved]
+
+
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For links between rows 0..n-1, the smallest row of each row's component."""
     label = np.arange(n)
@@ -126,7 +137,7 @@ def links(fps: DataFrame, max_bits: int = 4, column: str = "fp") -> DataFrame:
 
     ``fps`` holds each fingerprint once. Candidates agree on a set of whole blocks (see block_masks); within such a
     group the pivot tables decide which pairs are verified. A group gives a star for each of its components, not all its pairs,
-    so the output is linear in the input. A task holds 8 bytes for each fingerprint of the group it is at.
+    so the output is linear in the input. A task holds some numbers for each fingerprint of the group it is at (17 bytes are its pivot table).
     """
     masks, pivots = block_masks(max_bits), pivot_fingerprints()
     rows = fps.select(F.col(column).alias("fp")).where("fp is not null")
@@ -237,7 +248,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def long_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, digest, fp, n, keys): digest of the set of shingles, long fingerprint, number of distinct shingles and band keys of each row's whole text."""
+    """Rows (id, h, digest, fp, n, keys): xxhash64 of the text, digest of the set of shingles, long fingerprint, number of distinct shingles and band keys of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -245,9 +256,10 @@ def long_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -
             for first, sets in _shingle_sets(batch, shingle):
                 fps, keys = zip(*[long_fingerprint(own) for own in sets], strict=True)
                 columns = [pa.array([_digest(own) for own in sets], pa.binary()), pa.array(fps, pa.binary()), pa.array([len(own) for own in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(sets)), *columns], ["id", "digest", "fp", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(sets)) for c in ("id", "h")] + columns, ["id", "h", "digest", "fp", "n", "keys"])
 
-    return only(df, id=id_col, text=text_col).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, digest binary, fp binary, n int, keys array<bigint>")
+    rows = only(df, id=id_col, text=text_col).withColumn("h", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, h bigint, digest binary, fp binary, n int, keys array<bigint>")
 
 
 def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -258,11 +270,6 @@ def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float
     out: list[tuple[np.ndarray, np.ndarray]] = []
     loose = least - SLACK
     most = int(BITS * math.acos(2 * loose / (1 + loose)) / math.pi) + 1  # sets of unlike sizes must be nearer than equal ones
-    def joined() -> tuple[np.ndarray, np.ndarray]:
-        root = stars(len(key), *(np.concatenate(x) for x in zip(*out, strict=True)))
-        moved = np.flatnonzero(root != np.arange(len(key)))
-        return moved, root[moved]
-
     i, step, held = np.arange(len(key)), 1, 0
     while True:
         i = i[i + step < len(key)]
@@ -281,10 +288,10 @@ def band_links(key: np.ndarray, fps: np.ndarray, sizes: np.ndarray, least: float
             out.append((a[near], b[near]))
             held += len(out[-1][0])
             if held > len(key) + (1 << 18):  # stars say the same in a link for each row
-                out = [joined()]
+                out = [_stars_of(len(key), out)]
                 held = len(out[0][0])
         step += 1
-    return joined() if out else (i, i)
+    return _stars_of(len(key), out) if out else (i, i)
 
 
 def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -385,18 +392,8 @@ def _verified(df: DataFrame, groups: DataFrame, shingle: int, least: float) -> D
     return whole if shared.isEmpty() else whole.unionAll(components(shared, "node", "root"))
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """One row per input row: (id, component), rows being linked if their sets of word shingles have a similarity of ``least`` or more.
-
-    64 bits don't tell a similarity of 0.8 from one of 0.7 (fingerprints then differ in 8 to 12 of them, give or take 4), and at that
-    distance pivots discard nothing. So fingerprints have 2048 bits here, and are a loose filter only: candidates agree on a band of minimum
-    hashes, which at 0.8 is missed once in 200 times, those far apart by their bits are discarded, and what is left makes loose groups.
-    Within a loose group all pairs are verified by the exact similarity of their 64-bit shingle hashes. Texts of equal sets are taken once,
-    by a digest of the set; groups give stars, not pairs.
-
-    Texts of fewer words than a shingle are one shingle; wordless and null texts are alike. A null id keeps its row and takes its component
-    from the others (null if none has an id). Empty tables give empty results; only the two named columns are read.
-    """
+def _rooted(df: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Rows (id, h, digest, first, root): rows of one root are near copies, by near_copies; ``first`` is the smallest id of the digest."""
     release()  # what earlier stages left in the driver
     docs = cut(long_fingerprints(df, id_col, text_col, shingle))
     first = cut(docs.groupBy("digest").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")).withColumn("node", F.xxhash64("digest")))
@@ -418,24 +415,46 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     groups = cut(first.join(loose.hint("merge"), "node").select(F.col("first").alias("id"), "digest", "node", "n", "root"))
     roots = _verified(only(df, id=id_col, text=text_col), groups, shingle, least).withColumnRenamed("node", "of")
     named = cut(first.join(roots, F.col("node") == F.col("of"), "left").select("digest", "first", F.coalesce("root", "node").alias("root")))
-    least_ids = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(least_ids, "root", "left").select("digest", "component")
-    return docs.select("id", "digest").join(named, "digest", "left").select("id", "component")
+    return docs.select("id", "h", "digest").join(named, "digest", "left")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per input row: (id, component), rows being linked if their sets of word shingles have a similarity of ``least`` or more.
+
+    64 bits don't tell a similarity of 0.8 from one of 0.7 (fingerprints then differ in 8 to 12 of them, give or take 4), and at that
+    distance pivots discard nothing. So fingerprints have 2048 bits here, and are a loose filter only: candidates agree on a band of minimum
+    hashes, which at 0.8 is missed once in 200 times, those far apart by their bits are discarded, and what is left makes loose groups.
+    Within a loose group all pairs are verified by the exact similarity of their 64-bit shingle hashes. Texts of equal sets are taken once,
+    by a digest of the set; groups give stars, not pairs.
+
+    Texts of fewer words than a shingle are one shingle; wordless and null texts are alike. A null id keeps its row and takes its component
+    from the others (null if none has an id). Empty tables give empty results; only the two named columns are read.
+    """
+    rows = cut(_rooted(df, id_col, text_col, shingle, least))
+    least_ids = rows.groupBy("root").agg(F.min("first").alias("component"))
+    return rows.join(least_ids, "root", "left").select("id", "component")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and others) without near copies of a row of smaller id, all columns kept.
+    """The rows of ``docs`` (doc_id, text and others) without near copies of another row, all columns kept.
 
-    Of repeated rows (same id) one stays; rows of null id stay, as nothing tells them apart. An empty table stays empty.
+    Of each group the row of smallest id stays (of smallest text hash, where texts of one id are near copies); a row of null id comes after all others, and such
+    rows alone are copies of one another only if their sets of shingles are equal. Of rows of one id and one text the one of smallest hash of all its columns stays. Rows of
+    one id whose texts differ are judged each by its text. An empty table stays empty.
     """
-    found = near_copies(docs, "doc_id", "text", shingle, least).where("id is not null")
-    found = cut(found.groupBy("id").agg(F.count("*").alias("n"), F.min("component").alias("component")))
-    gone, again = found.where("component <> id").select(F.col("id").alias("gone")), found.where("n > 1").select(F.col("id").alias("again"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    found = cut(_rooted(docs, "doc_id", "text", shingle, least).groupBy("id", "h").agg(F.count("*").alias("n"), F.min("root").alias("root")))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
+    judged = found.join(best, "root").select(F.col("id").alias("i"), F.col("h").alias("g"), "n", (order != F.col("best")).alias("gone"))
+    judged = cut(judged.select("i", "g", "n", F.coalesce("gone", F.lit(True)).alias("gone")))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("g"))
+    kept = docs.join(judged.where("gone").select("i", "g"), same, "left_anti")
+    again = judged.where("not gone and n > 1").select("i", "g")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionAll(twice)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = kept.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("g")).agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    return kept.join(again, same, "left_anti").unionAll(twice)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,10 @@ def test_items_without_a_window_are_found_word_for_word(spark):
     assert sorted(r.doc_id for r in dc.drop_contaminated(rows, bench).collect()) == [2, 4, 6]
     assert (dc.unsearchable(bench), dc.unsearchable(bench, exact=True)) == (3, 1)
     assert dc.unsearchable(spark.read.parquet(f"{SF}/benchmark.parquet")) == 0
+
+
+def test_a_long_word_is_judged_whole(spark):
+    """A capital after the first million characters makes a word no name, however long it is."""
+    word = "X" + "a" * (1 << 20) + "B"
+    df = spark.createDataFrame([(f"see {word} here",)], "text string").select(dc.raw_tokens(dc.F.col("text")).alias("raw"))
+    assert df.select(dc.canonical_tokens(dc.F.col("raw"))).first()[0] == ["see", word.lower(), "here"]
