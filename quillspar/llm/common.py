@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,12 +46,14 @@ def release() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in ``spark.checkpoint.dir``. Where the setting is absent (local sessions, tests) a
-    temporary folder of this machine takes its place, which is right only because everything runs here.
+    It is the one named in ``spark.checkpoint.dir``. Where the setting is absent and all runs in this process (a local master) a
+    temporary folder of this machine takes its place; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if path is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(context, "_quillspar_dir", None)
         if path is None:
             path = context._quillspar_dir = tempfile.mkdtemp(prefix="quillspar-")
@@ -65,13 +68,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a compressed table written in the shared folder, so that they are made once."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The same rows from a compressed table written in the shared folder (at ``path`` if given), so that they are made once."""
+    path = path or new_path(df.sparkSession, "stored")
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A name in the shared folder that is not taken."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path of the shared folder and is read no more."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver find the shuffles that no plan refers to any more: their files go from the executors' disks once it does."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,17 +10,18 @@ from statistics import NormalDist
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import distinct, group_of, grouped, hash_texts, mix, pack, text_blocks, unpack
-from .common import release, stored
+from .common import new_path, release, remove, stored
 from .language import held_out
 
 #: Chains, and sweeps of each; the seatings of the last sweep are averaged.
-SAMPLES, SWEEPS = 3, 4
+SAMPLES, SWEEPS = 3, 3
 #: Dishes of up to SMALL customers are drawn from a table of Stirling numbers, others from one of their ratios; its rows go up to LARGE. See seat.
-SMALL, LARGE = 12, 1 << 14
+SMALL, LARGE = 12, 1 << 11
 THETA, THETA_ROOT = 2.0, 20.0
 END, START = np.uint64(0x1E0D5EED00000001), np.uint64(0x57A7700000000001)
 #: Blocks are a third of other operators', as more arrays are held for each; there are a fourth as many groups of words as of bigrams.
@@ -28,15 +29,16 @@ _SHARE, _WORDS = 3, 4
 
 
 def _planes(values: list[np.ndarray]) -> bytes:
-    """Rows of non-negative integers as byte planes, as many for each row as its largest needs."""
+    """Rows of non-negative integers as byte planes, as many for each row as its largest needs, squeezed."""
     out = [len(values[0]).to_bytes(4, "little")]
     for row in values:
         width = max(1, (int(row.max(initial=0)).bit_length() + 7) // 8)
         out += [bytes([width]), np.ascontiguousarray(row, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return b"".join(out)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _from_planes(blob: bytes) -> np.ndarray:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     n, at, rows = int.from_bytes(blob[:4], "little"), 4, []
     while at < len(blob):
         width = blob[at]
@@ -66,19 +68,16 @@ def arrangements(discount: float) -> np.ndarray:
 
 
 @lru_cache(8)
-def _ratios(discount: float, width: int, sizes: bytes) -> np.ndarray:
-    """For each of the rising sizes c, log(S(c, t) / S(c, 1) * discount**(t - 1) * (t - 1)!) for t = 1..width; it rises to 0 with c."""
-    wanted = np.frombuffer(sizes, dtype=np.int64)
-    q, out, c = np.zeros(width, dtype=np.longdouble), np.empty((len(wanted), width)), 1
-    q[0] = 1
+def _ratios(discount: float, width: int) -> np.ndarray:
+    """In row c, up to LARGE, log(S(c, t) / S(c, 1) * discount**(t - 1) * (t - 1)!) for t = 1..width; it rises to 0 with c."""
+    q, out = np.zeros(width, dtype=np.longdouble), np.full((LARGE + 1, width), -np.inf)
+    q[0], out[1, 0] = 1, 0
     rate = discount * np.arange(1, width).astype(np.longdouble)
-    for k, size in enumerate(wanted.tolist()):
-        while c < size:
-            top = min(c + 1, width)  # no more tables than customers
-            q[1:top] += rate[: top - 1] / (c - discount) * (q[: top - 1] - q[1:top])
-            c += 1
+    for c in range(1, LARGE):
+        top = min(c + 1, width)  # no more tables than customers
+        q[1:top] += rate[: top - 1] / (c - discount) * (q[: top - 1] - q[1:top])
         with np.errstate(divide="ignore"):
-            out[k] = np.log(q)
+            out[c + 1, :top] = np.log(q[:top])
     return out
 
 
@@ -94,16 +93,15 @@ def _seat_many(keys: np.ndarray, c: np.ndarray, weight: np.ndarray, discount: fl
     c = np.minimum(c, LARGE)
     found = np.empty(len(c), dtype=np.int64)
     u = uniform(keys, sample, 0, 0)
-    widths = 64 * 4 ** np.ceil(np.maximum(0, np.log(np.minimum(c, x + 10 * np.sqrt(x) + 40) / 64) / np.log(4))).astype(np.int64)
+    widths = np.minimum(LARGE, 64 * 4 ** np.ceil(np.maximum(0, np.log(np.minimum(c, x + 10 * np.sqrt(x) + 40) / 64) / np.log(4))).astype(np.int64))
     for width in np.unique(widths).tolist():
         of = np.flatnonzero(widths == width)
-        sizes, row = np.unique(c[of], return_inverse=True)
         t = np.arange(width)
-        ratios = _ratios(discount, width, sizes.astype(np.int64).tobytes()) - np.array([math.lgamma(y + 1) for y in t.tolist()])
+        ratios, ways = _ratios(discount, width), np.array([math.lgamma(y + 1) for y in t.tolist()])
         step = max(1, (1 << 19) // width)
         for at in range(0, len(of), step):
             some = of[at : at + step]
-            p = ratios[row[at : at + step]] + t * np.log(x[some])[:, None]
+            p = ratios[c[some]] - ways + t * np.log(x[some])[:, None]
             p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
             found[some] = 1 + (p[:, :-1] < (u[some] * p[:, -1])[:, None]).sum(axis=1)
     return found + extra
@@ -564,17 +562,21 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     model = Model(summed(counts, 8), samples)
     counts = counts.where(F.col("kind") <= PAIRS)
     opened = stored(docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(second, _ROW))
-    now = stored(of(opened, WORDS).groupBy("part").applyInArrow(_words_opened(model), _ROW))
+    place = new_path(df.sparkSession, "sweeps")
+    now = stored(of(opened, WORDS).groupBy("part").applyInArrow(_words_opened(model), _ROW), f"{place}/0")
     sums = summed(now, 3 * samples + 1)
     ones, before = sums[-1], now
     model.add_round(sums)
-    for _ in range(max(1, sweeps)):
+    for k in range(1, max(1, sweeps) + 1):
         before = now
         sent = of(opened, OPEN).groupBy("block").cogroup(of(now, OPEN).groupBy("block")).applyInArrow(_sweep(model, parts), _ROW)
-        now = stored(of(now, KEPT).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_words_swept(model), _ROW))
+        now = stored(of(now, KEPT).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_words_swept(model), _ROW), f"{place}/{k}")
         model.add_round([*summed(now, 3 * samples), ones])
+        if k > 1:
+            remove(df.sparkSession, f"{place}/{k - 2}")
     words = of(opened, WORDS).unionAll(of(now, KEPT)).unionAll(of(before, KEPT).withColumn("kind", F.lit(BEFORE)))
     closed = stored(words.groupBy("part").applyInArrow(_words_closed(samples), _ROW))
+    remove(df.sparkSession, place)
     return docs.groupBy("block").cogroup(counts.unionAll(closed).groupBy("block")).applyInArrow(score_or_none, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + ", token_scores array<double>" * with_tokens)
 
 
