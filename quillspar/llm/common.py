@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -89,8 +90,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let the driver find the shuffles that no plan refers to any more: their files go from the executors' disks once it does."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver find the shuffles that no plan refers to any more: their files go from the executors' disks once it does.
+
+    What has just ended is referred to by objects that the first collection frees, so there are two.
+    """
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:
