@@ -28,6 +28,35 @@ def embed(text: Column, dimension: int = DIMENSION) -> Column:
     return embed_with(lambda: lambda texts: [hashed_vector(t, dimension) for t in texts])(text)
 
 
+def dense_model(name: str, dimension: int, batch: int = 8, max_length: int = 8192) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """What sets up a dense embedding model in a task, from files that are there before any network is asked. Needs the model's library on the executors."""
+
+    def load() -> Callable[[list[str]], list[np.ndarray]]:
+        import os
+
+        os.environ.setdefault("HF_HUB_OFFLINE", "1")
+        from FlagEmbedding import BGEM3FlagModel
+
+        model = BGEM3FlagModel(name, use_fp16=False)
+
+        def run(texts: list[str]) -> list[np.ndarray]:
+            found = np.asarray(model.encode(texts, batch_size=batch, max_length=max_length)["dense_vecs"], dtype=np.float32)
+            if found.shape != (len(texts), dimension):
+                raise ValueError(f"the model gives vectors of {found.shape[-1]} numbers, not {dimension}")
+            return list(found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12))
+
+        return run
+
+    return load
+
+
+def provider(backend: str = "fake", name: str = "BAAI/bge-m3", dimension: int = 1024) -> Callable[[Column], Column]:
+    """The column function of the configured backend: hashed vectors ('fake'), or a dense model that each task sets up once."""
+    if backend.lower() == "fake":
+        return lambda text: embed(text, dimension)
+    return embed_with(dense_model(name, dimension), 8)
+
+
 def embed_with(load: Callable[[], Callable[[list[str]], list[np.ndarray]]], batch: int = 64) -> Callable[[Column], Column]:
     """A column function by a model that ``load`` sets up once in each task; it takes ``batch`` texts at a time."""
 

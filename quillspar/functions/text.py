@@ -16,11 +16,15 @@ MODEL_LABEL = r"(?iU)(?:型号|产品型号|Model|Part\s*Number|P/N)\s*[:：]\s*
 MODEL_DESIGNATOR = r"\b([A-Z]{1,6}[-_]?\d{2,6}[A-Z0-9\-_.]*)\b"
 NOT_MODELS = r"^v\d|^\d+[.]\d+|^[a-z]{1,3}\d{1,2}$"
 NOT_MODEL_PREFIXES = (
-    "iso iec ieee ansi din jis gb gbt en ul ce fcc rohs reach mil nema rs ip usb hdmi vga tcp udp i2c spi can uart pwm adc dac led lcd pcb "
-    "utf ascii gbk big euc v ver rev rel dc ac db hz khz mhz ghz kb mb gb tb kib mib gib bit byte api sdk ide cli gui ui url uri "
-    "pdf doc xls ppt csv xml json html cpu gpu ram rom ssd hdd lan wan wifi bt ble nfc rfid id sn pn no nr"
-).split()
+    "iso", "iec", "ieee", "ansi", "din", "jis", "gb", "gbt", "en", "ul", "ce", "fcc", "rohs", "reach", "mil", "nema", "rs", "ip", "usb", "hdmi", "vga",
+    "tcp", "udp", "i2c", "spi", "can", "uart", "pwm", "adc", "dac", "led", "lcd", "pcb", "utf", "ascii", "gbk", "big", "euc", "v", "ver", "rev", "rel",
+    "dc", "ac", "db", "hz", "khz", "mhz", "ghz", "kb", "mb", "tb", "kib", "mib", "gib", "bit", "byte", "api", "sdk", "ide", "cli", "gui", "ui", "url", "uri",
+    "pdf", "doc", "xls", "ppt", "csv", "xml", "json", "html", "cpu", "gpu", "ram", "rom", "ssd", "hdd", "lan", "wan", "wifi", "bt", "ble", "nfc", "rfid",
+    "id", "sn", "pn", "no", "nr",
+)
 TRIM = " ;,，。"
+#: A space that doesn't stay between two tokens.
+GLUED = r"(?<=[\x{4e00}-\x{9fff}(\[{/\-]) | (?=[\x{4e00}-\x{9fff},.!?;:%)\]}])"
 
 
 def strip(x: Column) -> Column:
@@ -39,18 +43,8 @@ def search_tokens(text: Column) -> Column:
 
 
 def untokenize(tokens: Column) -> Column:
-    """Readable text of tokens: no space beside CJK, before closing marks or after opening ones.
-
-    ``tokens`` is looked into for each token, so it must be a column or a lambda's variable, not an expression.
-    """
-    han = lambda c: c.between("\u4e00", "\u9fff")
-
-    def one(t: Column, i: Column) -> Column:
-        head, tail = F.substring(t, 1, 1), F.substring(F.get(tokens, i - 1), -1, 1)
-        glued = han(head) | han(tail) | head.isin(*",.!?;:%)]}") | tail.isin(*"([{/-")
-        return F.when((i == 0) | glued, t).otherwise(F.concat(F.lit(" "), t))
-
-    return F.array_join(F.transform(tokens, one), "")
+    """Readable text of tokens, which have no white space: no space beside CJK, before closing marks or after opening ones."""
+    return F.regexp_replace(F.array_join(tokens, " "), GLUED, "")
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:

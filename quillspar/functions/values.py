@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,26 +33,35 @@ PAIR = r"(?U)^([^:：]{2,60})\s*[:：]\s*(.{1,180})$"
 TABLE_CONFIDENCE, PAIR_CONFIDENCE, CONFIRMED = 0.85, 0.80, 0.05
 
 
-def field_of(name: Column) -> Column:
-    """The field whose label the name contains, null if none."""
-    low = F.lower(F.regexp_replace(strip(name), r"(?U)\s+", " "))
+def folded(name: Column) -> Column:
+    """A name as labels are looked for in it: lower case, white space made single."""
+    return F.lower(F.regexp_replace(strip(name), r"(?U)\s+", " "))
+
+
+def field_in(low: Column) -> Column:
+    """The field whose label a folded name contains, null if none. ``low`` should be a column, as it is looked into for every label."""
     out = None
     for field, labels in FIELDS.items():
-        hit = low.rlike("|".join(sorted({x.lower() for x in labels})))
+        hit = reduce(lambda a, b: a | b, [low.contains(x) for x in sorted({x.lower() for x in labels})])
         out = F.when(hit, field) if out is None else out.when(hit, field)
     return out
 
 
+def field_of(name: Column) -> Column:
+    """The field whose label the name contains, null if none."""
+    return field_in(folded(name))
+
+
 def value_of(text: Column) -> Column:
     """The number (or range) that a value begins with; the whole value if it isn't a number with a unit."""
     clean = strip(text)
-    return F.when(clean.rlike(VALUE), strip(F.regexp_extract(clean, VALUE, 1))).otherwise(clean)
+    number = F.regexp_extract(clean, VALUE, 1)  # never empty where the pattern matches
+    return F.when(number != "", strip(number)).otherwise(clean)
 
 
 def unit_of(text: Column) -> Column:
     """The unit after the number, null if none."""
-    clean = strip(text)
-    return F.when(clean.rlike(VALUE), F.nullif(strip(F.regexp_extract(clean, VALUE, 2)), F.lit("")))
+    return F.nullif(strip(F.regexp_extract(strip(text), VALUE, 2)), F.lit(""))
 
 
 def pair_name(line: Column) -> Column:

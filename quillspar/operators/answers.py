@@ -8,12 +8,15 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reports import ERRORS, FAILED
+
 # Messages and cuts.
 NO_EVIDENCE = "未在已入库文档中找到依据。"
 SYSTEM = '你是专业传感器技术文档检索问答助手。必须严格基于用户提供的【来源片段】回答。禁止使用来源片段之外的知识补充事实。如果来源不足，明确说"未在已入库文档中找到依据"。每条关键结论后必须标注来源编号，例如 [S1]。'
 QUESTION, PASSAGES = "问题：", "【来源片段】"
 WITHOUT_MODEL = ("未配置可用的大模型提供方（当前 LLM_PROVIDER=", "），无法生成自然语言回答。\n\n已完成本地检索，请根据下方来源片段核对：\n")
 CONTEXT_CHARS, FALLBACK_CHARS = 1800, 1200
+EMPTY, CHECK_SOURCES, ANSWERING = "（模型未返回内容）", "已返回本地检索来源，请人工核对。", "大模型问答"
 
 
 class Client(Protocol):
@@ -67,10 +70,22 @@ def answer_stream(question: str, results: DataFrame, client: Client) -> Iterator
     if not rows or not rows.context:
         yield NO_EVIDENCE
         return
+    said = False
     try:
-        yield from client.chat(messages(question, rows.context))
+        for piece in client.chat(messages(question, rows.context)):
+            said = said or bool(piece)
+            yield piece
     except Exception as error:  # a client may fail in any way; the reader is told
-        yield f"\n{error}"
+        said = True
+        yield f"\n\n{_classified(str(error))}\n\n{CHECK_SOURCES}"
+    if not said:
+        yield EMPTY
+
+
+def _classified(message: str) -> str:
+    """reports.error_class of one message, on the driver."""
+    heading = next((h for h, words in ERRORS if any(w in message.lower() for w in words)), ANSWERING + FAILED)
+    return f"{heading}：{message}"
 
 
 def answer(question: str, results: DataFrame, client: Client) -> str:

@@ -17,11 +17,12 @@ def segment(content: Column, content_type: str | Column = "text", page: Column |
     return F.struct(content.alias("content"), kind.alias("content_type"), (F.lit(None).cast("int") if page is None else page.cast("int")).alias("page_number"))
 
 
-def chunk(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, segments: str = "segments") -> DataFrame:
+def chunk(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, segments: str = "segments", with_content: bool = True) -> DataFrame:
     """The rows of ``df`` with ``segments`` exploded: (chunk_index, content, content_type, page_number, token_offset, n_tokens) beside the other columns.
 
     Text is cut into windows of max(64, size) tokens that overlap by ``overlap``, at most half of a window. Tables and code of up to
     2 * size tokens stay whole, also if blank. Chunks are numbered from 0 within a row, in segment order. Null or empty segments give no chunks.
+    Without ``with_content`` the texts are not made and content is left out.
     """
     window = max(64, size)
     lap = min(max(0, overlap), window // 2)
@@ -29,10 +30,10 @@ def chunk(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, s
 
     def cut(s: Column) -> Column:
         n = F.size(s["tokens"])
-        whole = F.struct(s["content"].alias("content"), s["content_type"].alias("content_type"), s["page_number"].alias("page_number"), F.lit(0).alias("token_offset"), n.alias("n_tokens"))
+        whole = F.struct(*[s["content"].alias("content")] * with_content, s["content_type"].alias("content_type"), s["page_number"].alias("page_number"), F.lit(0).alias("token_offset"), n.alias("n_tokens"))
 
         def piece(w: Column) -> Column:
-            return F.struct(T.untokenize(w["tokens"]).alias("content"), s["content_type"].alias("content_type"), s["page_number"].alias("page_number"), w["at"].alias("token_offset"), F.size(w["tokens"]).alias("n_tokens"))
+            return F.struct(*[T.untokenize(w["tokens"]).alias("content")] * with_content, s["content_type"].alias("content_type"), s["page_number"].alias("page_number"), w["at"].alias("token_offset"), F.size(w["tokens"]).alias("n_tokens"))
 
         keep = s["content_type"].isin(*KEPT_WHOLE) & (n <= 2 * size)
         windows = F.transform(T.window_starts(n, window, lap), lambda at: F.struct(at.alias("at"), F.slice(s["tokens"], at + 1, window).alias("tokens")))

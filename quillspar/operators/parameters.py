@@ -26,10 +26,11 @@ def extract(chunks: DataFrame) -> DataFrame:
     text = F.col("source_text")
     cells = F.transform(F.split(F.regexp_replace(text, r"^\|+|\|+$", ""), r"\|", -1), T.strip)
     rows = rows.withColumn("cells", F.when(F.col("table") & text.startswith("|") & ~text.contains("---"), cells))
-    from_table = F.struct(F.lit(0).alias("kind"), F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("found"), F.lit(V.TABLE_CONFIDENCE).alias("confidence"))
-    from_pair = F.struct(F.lit(1).alias("kind"), V.pair_name(text).alias("name"), V.pair_value(text).alias("found"), F.lit(V.PAIR_CONFIDENCE).alias("confidence"))
+    from_table = F.struct(F.lit(0).alias("kind"), F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("found"), F.lit(V.TABLE_CONFIDENCE).alias("confidence"), V.folded(F.get("cells", F.lit(0))).alias("low"))
+    from_pair = F.struct(F.lit(1).alias("kind"), V.pair_name(text).alias("name"), V.pair_value(text).alias("found"), F.lit(V.PAIR_CONFIDENCE).alias("confidence"), V.folded(V.pair_name(text)).alias("low"))
     both = rows.select("document_id", "chunk_index", "page_number", "line", "source_text", F.explode_outer(F.array(from_table, from_pair)).alias("p")).where("p.name <> '' and p.found <> ''")
-    both = both.select("document_id", "chunk_index", "page_number", "line", "source_text", "p.*").withColumn("normalized_name", V.field_of(F.col("name"))).where("normalized_name is not null")
+    # a generator, through which the filter doesn't go, so that fields are looked up once
+    both = both.select("document_id", "chunk_index", "page_number", "line", "source_text", "p.*", F.explode_outer(F.array(V.field_in(F.col("p.low")))).alias("normalized_name")).where("normalized_name is not null")
     return both.select("document_id", *_ORDER, "name", "normalized_name", V.value_of(F.col("found")).alias("value"), V.unit_of(F.col("found")).alias("unit"), "source_text", "page_number", "confidence")
 
 

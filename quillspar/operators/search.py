@@ -68,20 +68,35 @@ def semantic(vectors: DataFrame, query: DataFrame, k: int = TOP_K, key: str = "c
     return top(scored.where("score is not null"), k, key)
 
 
-def corpus_stats(tokenized: DataFrame) -> DataFrame:
-    """One row (n, avgdl) of a table with ``tokens``."""
-    return tokenized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+def term_counts(tokenized: DataFrame) -> DataFrame:
+    """(term, df, size): in how many rows each term is; the row of term null counts all rows, and all their tokens as ``size``.
+
+    One pass: terms are made distinct in their rows and summed in part before the shuffle. Rows without terms count.
+    """
+    size = F.size("tokens")
+    every = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), size.cast("long").alias("size"))), F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("size"))))
+    return tokenized.select(F.explode_outer(every).alias("t")).groupBy("t.term").agg(F.count("*").alias("df"), F.sum("t.size").alias("size"))
+
+
+def raw_weight(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def term_weights(tokenized: DataFrame) -> DataFrame:
-    """(term, raw, n, avgdl): raw inverse frequency of each term beside the corpus' figures.
+def corpus_facts(tokenized: DataFrame, asked: list[str]) -> DataFrame:
+    """One row (n, avgdl, terms, mean, raws): rows, mean length, terms, their mean raw weight, and a map of the asked terms' raw weights.
 
-    Terms are made distinct in their rows and summed in part before the shuffle. Rows without terms count.
+    A term's raw weight depends on n, so terms are first counted by their df; as many rows as there are values of df in a corpus meet in one task.
     """
-    terms = tokenized.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term is not null")
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
-    rows = counts.join(F.broadcast(corpus_stats(tokenized)))  # one row
-    return rows.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "n", "avgdl")
+    counts = term_counts(tokenized)
+    wanted = F.when(F.col("term").isin(*asked), F.col("term"))
+    by_df = counts.groupBy(F.col("term").isNull().alias("whole"), "df").agg(F.count("*").alias("times"), F.max("size").alias("size"), F.collect_list(wanted).alias("found"))
+    one = by_df.agg(F.max(F.when(F.col("whole"), F.struct("df", "size"))).alias("all"), F.collect_list(F.when(~F.col("whole"), F.struct("df", "times", "found"))).alias("rest"))
+    n = F.col("all.df")
+    weights = one.select(n.alias("n"), (F.col("all.size") / n).alias("avgdl"), F.transform("rest", lambda r: F.struct(raw_weight(n, r["df"]).alias("raw"), r["times"].alias("times"), r["found"].alias("found"))).alias("rest"))
+    total = F.aggregate("rest", F.lit(0.0), lambda s, r: s + r["raw"] * r["times"])
+    terms = F.aggregate("rest", F.lit(0).cast("long"), lambda s, r: s + r["times"])
+    raws = F.map_from_entries(F.flatten(F.transform("rest", lambda r: F.transform(r["found"], lambda t: F.struct(t.alias("term"), r["raw"].alias("raw"))))))
+    return weights.select("n", "avgdl", terms.alias("terms"), F.when(terms > 0, total / terms).alias("mean"), raws.alias("raws"))
 
 
 def bm25(corpus: DataFrame, query: str, content: str = "content") -> DataFrame:
@@ -90,14 +105,14 @@ def bm25(corpus: DataFrame, query: str, content: str = "content") -> DataFrame:
     Frequencies are those of ``corpus`` as it is, so filters change them. A term in over half of the rows has a negative weight, which a
     quarter of the mean weight of all terms replaces. Query terms count as often as they occur. An empty query gives no rows.
 
-    Only the terms' frequencies are shuffled; rows are scored where they are read, against the few weights of the query's terms.
+    Two passes over the rows: one counts terms, of which the frequencies alone are shuffled; one scores rows where they are read, against the few
+    weights of the query's terms.
     """
     asked = re.findall("[一-鿿]|[a-z0-9_./%+\\-]+", query.lower())
     if not asked:
         return corpus.withColumn("score", F.lit(0.0)).limit(0)
     tokenized = corpus.withColumn("tokens", T.search_tokens(F.coalesce(F.col(content), F.lit(""))))
-    wanted = F.when(F.col("term").isin(*set(asked)), F.struct("term", "raw"))
-    facts = term_weights(tokenized).agg(F.max("n").alias("n"), F.max("avgdl").alias("avgdl"), F.avg("raw").alias("mean"), F.map_from_entries(F.collect_list(wanted)).alias("raws"))
+    facts = corpus_facts(tokenized, sorted(set(asked)))
     rows = tokenized.join(F.broadcast(facts))  # one row, whose map holds the query's terms alone
     length = K1 * (1 - B + B * F.size("tokens") / F.col("avgdl"))
     score = F.lit(0.0)

@@ -46,6 +46,21 @@ class Store:
         options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(context.makeQualified(draft), context.makeQualified(target), options)
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """The same rows from a table that no manifest names: what a run makes once and reads again. ``sweep`` removes such tables."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def sweep(self) -> None:
+        """Remove staged tables and versions that the manifest doesn't name, when no run is on."""
+        named = set(self._manifest().values())
+        self._fs.delete(self._path(f"{self.root}/_staged"), True)
+        for table in {v.rsplit("/", 1)[0] for v in named}:
+            for found in self._fs.listStatus(self._path(table)):
+                if not any(str(found.getPath()).endswith(v.removeprefix("file://")) for v in named):
+                    self._fs.delete(found.getPath(), True)
+
     def delete(self, keys: DataFrame, key: str, *tables: str) -> None:
         """Remove the rows of these keys from all the tables at once."""
         self.publish(**{t: self.read(t).join(keys.select(key), key, "left_anti") for t in tables})

@@ -49,17 +49,20 @@ def reusable(documents: DataFrame, chunks: DataFrame, target: Column) -> DataFra
     return ready.groupBy("file_hash").agg(F.min_by("document_id", F.struct("imported_at", "document_id")).alias("reuse_id"))
 
 
-def import_plan(scan: DataFrame, documents: DataFrame, chunks: DataFrame, target: str) -> DataFrame:
+def import_plan(scan: DataFrame, documents: DataFrame, chunks: DataFrame, target: str | Column) -> DataFrame:
     """The action for each scanned file (file_path, file_hash): (file_path, action, result, document_id, reuse_id).
 
     In this order: an unchanged published file is skipped; one whose indexing broke off with chunks kept is resumed; content that another
     published document has is reused; a published document of other content is updated, one in another state rebuilt; the rest are imported. Null
-    hashes (unreadable files) fail, and their documents stay.
+    hashes (unreadable files) fail, and their documents stay. ``target`` is the index profile wanted, or a column of it over file_type, which then both tables have.
+    Of documents that share a path the one of smallest id is taken.
     """
-    profile = F.lit(target)
+    profile = F.lit(target) if isinstance(target, str) else target
+    taken = ["file_hash"] if isinstance(target, str) else ["file_hash", "file_type"]
+    documents = documents.groupBy("file_path").agg(F.min_by(F.struct(*[c for c in documents.columns if c != "file_path"]), "document_id").alias("d")).select("file_path", "d.*")
     existing = documents.select("file_path", F.col("document_id").alias("existing_id"), F.col("file_hash").alias("old_hash"), "status", "index_profile")
     kept = chunks.select(F.col("document_id").alias("existing_id")).distinct().withColumn("has_chunks", F.lit(True))
-    rows = scan.select("file_path", "file_hash").join(existing, "file_path", "left").join(kept, "existing_id", "left").join(reusable(documents, chunks, profile), "file_hash", "left")
+    rows = scan.select("file_path", *taken).join(existing, "file_path", "left").join(kept, "existing_id", "left").join(reusable(documents, chunks, profile), "file_hash", "left")
     there, same = F.col("existing_id").isNotNull(), F.coalesce(F.col("old_hash") == F.col("file_hash"), F.lit(False))
     serves = there & profile_satisfies(F.col("index_profile"), profile)
     published = F.coalesce(F.col("status") == "imported", F.lit(False))

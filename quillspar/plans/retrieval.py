@@ -45,7 +45,7 @@ def tokenize_counts(spark, sf_dir):
 
 
 def chunk_windows(spark, sf_dir):
-    return D.chunks(spark, sf_dir).select("document_id", "chunk_index", "token_offset", "n_tokens")
+    return D.chunks(spark, sf_dir, with_content=False).select("document_id", "chunk_index", "token_offset", "n_tokens")
 
 
 def chunk_text(spark, sf_dir):
@@ -59,8 +59,7 @@ def preserve_or_split(spark, sf_dir):
 
 def bm25_stats(spark, sf_dir):
     tokens = D.chunks(spark, sf_dir).select(T.search_tokens(F.col("content")).alias("tokens"))
-    weights = search.term_weights(tokens)
-    return weights.agg(F.max("n").alias("n"), F.round(F.max("avgdl"), 6).alias("avgdl"), F.count("*").alias("terms"), F.round(F.avg("raw"), 6).alias("mean_weight"))
+    return search.corpus_facts(tokens, []).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", F.round("mean", 6).alias("mean_weight"))
 
 
 def bm25_topk(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,9 +20,8 @@ def listing(files: DataFrame) -> DataFrame:
 
     ``reason`` is why a file isn't imported (null for a file that is); the hash is the MD5 of the content.
     """
-    path = F.regexp_replace("path", "^file:(//)?(?=/)", "")
     return files.select(
-        path.alias("file_path"),
+        plain_path(F.col("path")).alias("file_path"),
         P.name_of(F.col("path")).alias("filename"),
         P.file_type(F.col("path")).alias("file_type"),
         F.col("length").alias("size_bytes"),
@@ -31,6 +31,15 @@ def listing(files: DataFrame) -> DataFrame:
     )
 
 
+def plain_path(path: Column) -> Column:
+    """A path without the scheme of the local file system."""
+    return F.regexp_replace(path, "^file:(//)?(?=/)", "")
+
+
+def plain_root(root: str) -> str:
+    return re.sub("^file:(//)?(?=/)", "", root)
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """All files below a folder (or one file) with their content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
