@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from mimetypes import MimeTypes
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ PDF, WORD = [".pdf"], [".docx"]
 TEXT = [".txt", ".md", ".json", ".yaml", ".yml"]
 CODE = [".py", ".c", ".cc", ".cpp", ".h", ".hpp", ".java", ".js", ".ts", ".cs", ".go", ".rs", ".m", ".matlab"]
 CAPTURE = [".cap", ".pcap", ".pcapng"]
-AUDIO = ".aac .ac3 .aif .aiff .alac .amr .ape .au .flac .m4a .m4b .mid .midi .mka .mp3 .oga .ogg .opus .ra .wav .weba .wma".split()
-VIDEO = ".3g2 .3gp .asf .avi .divx .dv .f4v .flv .m2ts .m4v .mkv .mov .mp4 .mpeg .mpg .mts .mxf .ogv .rm .rmvb .vob .webm .wmv".split()
+AUDIO = [".aac", ".ac3", ".aif", ".aiff", ".alac", ".amr", ".ape", ".au", ".flac", ".m4a", ".m4b", ".mid", ".midi", ".mka", ".mp3", ".oga", ".ogg", ".opus", ".ra", ".wav", ".weba", ".wma"]
+VIDEO = [".3g2", ".3gp", ".asf", ".avi", ".divx", ".dv", ".f4v", ".flv", ".m2ts", ".m4v", ".mkv", ".mov", ".mp4", ".mpeg", ".mpg", ".mts", ".mxf", ".ogv", ".rm", ".rmvb", ".vob", ".webm", ".wmv"]
+#: Suffixes whose registered type is audio or video.
+MEDIA_TYPES = sorted(s for s, kind in MimeTypes().types_map[True].items() if kind.startswith(("audio/", "video/")) and s != ".ts")
 DATABASE = [".bak", ".db", ".ddl", ".dml", ".dump", ".sql", ".sqlite", ".sqlite3", ".sqlite-shm", ".sqlite-wal"]
 DATABASE_FOLDERS = r"(^|/)(\.chroma|data/chroma)(/|$)"
 CSV = [".csv"]
@@ -69,7 +72,7 @@ def is_media(path: Column, header: Column) -> Column:
     known = reduce(lambda a, b: a | b, [h.startswith(x) for x in MEDIA_HEADERS])
     riff = h.startswith("52494646") & F.substring(h, 17, 8).isin("57415645", "41564920")
     magic = known | riff | (F.substring(h, 9, 8) == "66747970") | is_audio_frame(header) | is_transport_stream(header)
-    return suffix(path).isin(*AUDIO, *VIDEO) | F.coalesce(magic, F.lit(False))
+    return suffix(path).isin(*AUDIO, *VIDEO, *MEDIA_TYPES) | F.coalesce(magic, F.lit(False))
 
 
 def is_database(path: Column) -> Column:

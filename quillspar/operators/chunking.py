@@ -72,6 +72,11 @@ def hints(evidence: DataFrame) -> DataFrame:
     return evidence.select("document_id", T.sensor_model(F.col("evidence")).alias("sensor_model"), T.manufacturer(F.col("evidence")).alias("manufacturer"))
 
 
+def refresh_report(refreshed: DataFrame) -> DataFrame:
+    """One row (scanned, updated) of refreshed documents."""
+    return refreshed.agg(F.count("*").alias("scanned"), F.count_if("changed").alias("updated"))
+
+
 def refresh(documents: DataFrame, found: DataFrame, overwrite: bool = False) -> DataFrame:
     """Documents with refreshed hints and whether a row changed. Without ``overwrite`` only blank values are filled in."""
     new = found.select("document_id", F.col("sensor_model").alias("new_model"), F.col("manufacturer").alias("new_maker"))

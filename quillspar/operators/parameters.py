@@ -34,6 +34,17 @@ def extract(chunks: DataFrame) -> DataFrame:
     return both.select("document_id", *_ORDER, "name", "normalized_name", V.value_of(F.col("found")).alias("value"), V.unit_of(F.col("found")).alias("unit"), "source_text", "page_number", "confidence")
 
 
+def candidates(found: DataFrame, limit: int = 80) -> DataFrame:
+    """The first candidates of each document, in the order they were found: those that a language model is asked about."""
+    turn = F.row_number().over(Window.partitionBy("document_id").orderBy(*_ORDER))
+    return found.withColumn("turn", turn).where(F.col("turn") <= limit).drop("turn")
+
+
+def replaced(stored: DataFrame, found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Stored parameters with those of ``documents`` (document_id) replaced by the ones found anew, none of them staying where none are found."""
+    return stored.join(documents.select("document_id"), "document_id", "left_anti").unionByName(found.join(documents.select("document_id"), "document_id", "left_semi"), allowMissingColumns=True)
+
+
 def dedupe(found: DataFrame) -> DataFrame:
     """The first of equal parameters of a document: same field, same value in any case, same page."""
     rest = [c for c in found.columns if c not in ("document_id", "normalized_name", "page_number")]

@@ -53,6 +53,11 @@ def normalize(v: Column) -> Column:
     return F.transform(clean, lambda x: (x / F.when(norm > 0, norm).otherwise(F.lit(1.0))).cast("float"))
 
 
+def lookup(vectors: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The vectors of the given keys; keys without one give no row."""
+    return vectors.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def top(df: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The k best rows by score with their rank from 1; ties go to the smaller key. Partial top k in each task, then k rows in one."""
     return df.orderBy(F.desc("score"), key).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))

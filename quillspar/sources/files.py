@@ -50,6 +50,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return listing(read_files(spark, root)).where("reason is null")
 
 
+def supported(spark: SparkSession, root: str) -> DataFrame:
+    """The importable files as they are shown: in order of their paths in lower case."""
+    return scan(spark, root).orderBy(F.lower("file_path"), "file_path")
+
+
 def decode(content: Column) -> Column:
     """Text of bytes: UTF-8 if valid, else GB 18030, else Latin-1. Only bytes that aren't UTF-8 go to Python."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(_legacy(F.when(~F.is_valid_utf8(content.cast("string")), content)))

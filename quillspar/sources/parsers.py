@@ -74,18 +74,32 @@ def ocr_pages(texts: list[str], least: int, most: int) -> list[int]:
     return poor if most <= 0 else poor[:most]
 
 
-def pdf(path: str, data: bytes) -> list[dict]:
-    """Text and tables of each page, by a PDF library where one is installed."""
+def pages_to_segments(pages: list[tuple[str, list]], read_page: Callable[[int], str] | None = None, least: int = 80, most: int = 20) -> list[dict]:
+    """Segments of pages (text, tables): of each page its text, its tables, and what ``read_page`` recognises on a page of little text. A page that can't be recognised has no such segment."""
+    poor = set(ocr_pages([t for t, _ in pages], least, most)) if read_page else set()
+    out = []
+    for n, (t, tables) in enumerate(pages, 1):
+        if (t or "").strip():
+            out.append(segment(t, "text", n))
+        out += [segment(m, "table", n) for rows in tables if (m := markdown(rows))]
+        if n in poor:
+            try:
+                seen = "\n".join(dict.fromkeys(x for x in (y.strip() for y in read_page(n).splitlines()) if x))
+            except Exception:  # one page's damage stays with it
+                seen = ""
+            if seen:
+                out.append(segment(seen, "text", n))
+    return out
+
+
+def pdf(path: str, data: bytes, read_page: Callable[[int], str] | None = None) -> list[dict]:
+    """Text and tables of each page, by a PDF library where one is installed; ``read_page`` is a recogniser of pages by number."""
     try:
         import pdfplumber
     except ImportError:
         return _pdf_text(data)
-    out = []
     with pdfplumber.open(io.BytesIO(data)) as doc:
-        for n, page in enumerate(doc.pages, 1):
-            if (t := page.extract_text() or "").strip():
-                out.append(segment(t, "text", n))
-            out += [segment(m, "table", n) for rows in page.extract_tables() if (m := markdown(rows))]
+        out = pages_to_segments([(page.extract_text() or "", page.extract_tables()) for page in doc.pages], read_page)
     return out or _pdf_text(data)
 
 
