@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,9 +112,8 @@ def text_blocks(df: DataFrame, text: str, parts: int = 1) -> int:
 
 
 def block_count(df: DataFrame, text: str, parts: int = 1) -> int:
-    """How many blocks keep each near a BLOCK_BYTES of text over ``parts``; at least as many as shuffle partitions."""
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(partitions(df.sparkSession), math.ceil(size * parts / BLOCK_BYTES))
+    """As text_blocks, but at least as many as shuffle partitions."""
+    return max(partitions(df.sparkSession), text_blocks(df, text, parts))
 
 
 def _search(value: Column, bounds: list, first: int, make) -> Column:
@@ -123,28 +123,50 @@ def _search(value: Column, bounds: list, first: int, make) -> Column:
     return F.when(value < F.lit(bounds[half]), _search(value, bounds[:half], first, make)).otherwise(_search(value, bounds[half + 1 :], first + half + 1, make))
 
 
-def id_blocks(df: DataFrame, column: str, n: int) -> Column:
-    """A block number that rises with an integer id: equal ids share a block, null ids come last.
+def id_blocks(df: DataFrame, column: str, text: str, n: int) -> tuple[Column, list[tuple[int, int]]]:
+    """A block number that rises with an integer id, null ids last, and the (first block, blocks) of ids that lie in several.
 
-    Up to CELLS quantiles of the ids are found on the driver; beyond as many blocks, each cell is divided evenly.
+    Up to CELLS quantiles of the ids are found on the driver; beyond as many blocks, each cell is divided evenly. Rows of an id that fills more than a
+    cell, and rows of null id, are dealt over several blocks by a hash of their texts.
     """
     cells = min(n, CELLS)
     if n <= 1:
-        return F.lit(0)
-    found = df.agg(F.percentile_approx(column, [i / cells for i in range(cells + 1)], 20 * cells)).first()[0]
-    if not found:
-        return F.lit(0)
-    edges = sorted(set(found))
+        return F.lit(0), []
+    found, rows, named = df.agg(F.percentile_approx(column, [i / cells for i in range(cells + 1)], 20 * cells), F.count("*"), F.count(column)).first()
+    times = Counter(found or [])
     parts = math.ceil(n / cells)
-    value = F.col(column)
-
-    def make(cell: int) -> Column:
-        if parts == 1 or not 0 < cell < len(edges):
-            return F.lit(cell * parts).cast("int")
-        low, high = edges[cell - 1], edges[cell]
-        return (F.lit(cell * parts) + F.least(F.lit(parts - 1), F.floor((value - F.lit(low)) * F.lit(float(parts)) / F.lit(float(high - low))))).cast("int")
-
-    return F.when(value.isNull(), F.lit((len(edges) + 2) * parts).cast("int")).otherwise(_search(value, edges, 0, make))
+    value, turn = F.col(column), F.xxhash64(text)
+    bounds, wide = [], {}  # rising lower bounds; place among the ranges -> blocks of an id of its own
+    for edge in sorted(times):
+        if edge not in bounds[-1:]:
+            bounds.append(edge)
+        if times[edge] > 2:
+            wide[len(bounds)] = (times[edge] - 1) * parts
+            if edge + 1 < 1 << 63:
+                bounds.append(edge + 1)
+    sizes = [wide.get(k, parts if 0 < k < len(bounds) else 1) for k in range(len(bounds) + 1)]
+    firsts = [sum(sizes[:k]) for k in range(len(sizes))]
+    nulls = max(1, math.ceil((rows - named) / max(1, rows) * n))
+
+    def make(k: int) -> Column:
+        if k in wide:
+            return (F.lit(firsts[k]) + F.pmod(turn, F.lit(sizes[k]))).cast("int")
+        if sizes[k] == 1:
+            return F.lit(firsts[k]).cast("int")
+        low, high = bounds[k - 1], bounds[k]
+        return (F.lit(firsts[k]) + F.least(F.lit(parts - 1), F.floor((value - F.lit(low)) * F.lit(float(parts)) / F.lit(float(high - low))))).cast("int")
+
+    last = sum(sizes)
+    block = F.when(value.isNull(), (F.lit(last) + F.pmod(turn, F.lit(nulls))).cast("int")).otherwise(_search(value, bounds, 0, make))
+    return block, [(firsts[k], size) for k, size in wide.items()] + [(last, nulls)]
+
+
+def owners(blocks: np.ndarray, wide: list[tuple[int, int]]) -> np.ndarray:
+    """The blocks' numbers, those of the several blocks of one id being made that of the first."""
+    out = blocks.copy()
+    for first, size in wide:
+        out[(blocks >= first) & (blocks < first + size)] = first
+    return out
 
 
 def order(keys: np.ndarray) -> np.ndarray:

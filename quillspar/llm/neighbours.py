@@ -15,10 +15,10 @@ from .common import cut, only
 
 #: Vectors that centroids and the rotation's dimension are taken from, at most (those of smallest id hash). Every vector is indexed.
 SAMPLE = 20_000
-#: Share of the lists that a query looks into.
-PROBED = 0.8
-#: Vectors of a list that one task scans at a time.
-SHARD = 8192
+#: Share of the nearest neighbours within the sample that the lists a query looks into must hold, going by ASKED vectors of it.
+RECALL, ASKED = 0.97, 500
+#: Vectors of a list, and queries, that one task scans at a time.
+SHARD, QUERIES = 8192, 4096
 _EPSILON = 2.1
 _BLOCK = 16
 _DENSE = 0.2
@@ -35,7 +35,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the rows of two equally long arrays of original vectors, in double precision."""
+    """Cosines of the rows of two equally long arrays of original vectors, in double precision. Rows are brought near one by powers of two first, which changes no digit."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))[1]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -64,6 +65,20 @@ def kmeans(x: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return centres
 
 
+def probes_for(x: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many of its nearest lists a query must look into to find that share of its k nearest vectors, measured on unit vectors: some of them asked against all."""
+    asked = x[:: max(1, len(x) // ASKED)]
+    home = (x @ centres.T).argmax(axis=1)
+    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    turn = np.empty_like(order)
+    np.put_along_axis(turn, order, np.arange(order.shape[1])[None, :], axis=1)
+    needed = []
+    for at in range(0, len(asked), 64):
+        near = np.argpartition(-(asked[at : at + 64] @ x.T), min(k + 1, len(x)) - 1, axis=1)[:, : k + 1]  # one of them is the vector itself
+        needed.append(np.take_along_axis(turn[at : at + 64], home[near], axis=1).ravel())
+    return int(np.quantile(np.concatenate(needed), recall, method="higher")) + 1
+
+
 def scan(queries: np.ndarray, qid: np.ndarray, base: np.ndarray, bid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query row, base row) of each query's k nearest among unit, rotated vectors, equal ids apart; ties go to smaller ids.
 
@@ -115,16 +130,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row of ``queries`` the k rows of ``df`` of largest cosine that are found, itself apart.
 
     Vectors that are null or zero, hold a null or a value that is not finite, or differ from the table's most common length take no part,
     nor do null ids. With fewer candidates than k all are given. Ties go to the smaller id. Repeated ids count as rows of their own, never as
-    neighbours of one another. An empty table gives no rows; other columns are not read.
+    neighbours of one another; a query that occurs twice is answered twice. An empty table gives no rows; other columns are not read.
 
     Lists come from k-means over a bounded sample (SAMPLE); every vector is indexed, in list shards of about SHARD vectors, so a
-    vector that a third of the rows share fills many shards and no task. A query goes to the shards of its nearest lists. Small tables are
-    one list, searched wholly.
+    vector that a third of the rows share fills many shards and no task. A query goes to the shards of its nearest lists, of which as many are looked into as
+    find a share ``recall`` of the neighbours within the sample (see probes_for); queries of a list are dealt over shards of about QUERIES too, each of which meets every shard of vectors.
+    Small tables are one list, searched wholly.
     """
     clean = lambda d: only(d, id=id_col, v=vector_col).where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     base = clean(df)
@@ -137,8 +153,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     base = base.where(F.size("v") == dim)
     sample = base.select("v").orderBy(F.xxhash64("id", "v")).limit(SAMPLE).toPandas()["v"]
     turn = rotation(dim)
-    centres = kmeans(_unit(np.array(sample.tolist(), dtype=np.float64)) @ turn, max(1, round(math.sqrt(min(total, 1 << 24)) / 2)))
-    probes = max(1, math.ceil(len(centres) * probed))
+    sample = _unit(np.array(sample.tolist(), dtype=np.float64)) @ turn
+    centres = kmeans(sample, max(1, round(math.sqrt(min(total, 1 << 24)) / 2)))
+    probes = min(len(centres), probes_for(sample, centres, k, recall))
     model = spark.sparkContext.broadcast((turn, centres))  # at most 2048 centroids
 
     def lists(count: int):
@@ -147,28 +164,37 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                 x = _unit(_matrix(batch.column("v"), dim)) @ model.value[0] if batch.num_rows else np.zeros((0, dim))
                 near = np.argsort(-(x @ model.value[1].T), axis=1, kind="stable")[:, :count]
                 rows = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("id").take(pa.array(rows)), batch.column("v").take(pa.array(rows))], ["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), *(batch.column(c).take(pa.array(rows)) for c in ("id", "v", "row"))], ["list", "id", "v", "row"])
 
         return run
 
-    listed = cut(base.mapInArrow(lists(1), "list int, id bigint, v array<double>") if dict(base.dtypes)["v"] == "array<double>" else base.withColumn("v", F.col("v").cast("array<double>")).mapInArrow(lists(1), "list int, id bigint, v array<double>"))
+    kept = "list int, id bigint, v array<double>, row bigint"
+    doubles = F.col("v").cast("array<double>")
+    listed = cut(base.withColumn("v", doubles).withColumn("row", F.lit(0).cast("bigint")).mapInArrow(lists(1), kept)).drop("row")
     shards = {r["list"]: math.ceil(r["count"] / SHARD) for r in listed.groupBy("list").count().collect()}  # at most a row per centroid
     of = F.element_at(F.create_map(*[F.lit(x) for pair in shards.items() for x in pair]), F.col("list"))
     held = listed.withColumn("shard", F.pmod(F.xxhash64("id", "v"), of).cast("int"))
-    asked = clean(queries).where(F.size("v") == dim).withColumn("v", F.col("v").cast("array<double>")).mapInArrow(lists(probes), "list int, id bigint, v array<double>")
-    asked = asked.where(F.col("list").isin(*shards)).withColumn("shard", F.explode(F.sequence(F.lit(0), of - 1)))
+    asked = clean(queries).where(F.size("v") == dim).withColumn("v", doubles).withColumn("row", F.monotonically_increasing_id())
+    asked = cut(asked.mapInArrow(lists(probes), kept)).where(F.col("list").isin(*shards))  # cut, as numbers of rows must stay the same
+    turns = {r["list"]: math.ceil(r["count"] / QUERIES) for r in asked.groupBy("list").count().collect()}  # at most a row per centroid
+    if not turns:
+        return spark.createDataFrame([], schema)
+    turns_of = F.element_at(F.create_map(*[F.lit(x) for pair in turns.items() for x in pair]), F.col("list"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), of - 1))).withColumn("turn", F.pmod(F.xxhash64("row"), turns_of).cast("int"))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.coalesce(turns_of, F.lit(0)) - 1))).where("turn >= 0")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"row": [], "query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             q, b = _matrix(left.column("v"), dim), _matrix(right.column("v"), dim)
             qid, bid = left.column("id").to_numpy(), right.column("id").to_numpy()
             i, j = scan(_unit(q) @ model.value[0], qid, _unit(b) @ model.value[0], bid, k)
-            out = {"query_id": qid[i], "vec_id": bid[j], "score": cosines(q[i], b[j])}
+            out = {"row": left.column("row").to_numpy()[i], "query_id": qid[i], "vec_id": bid[j], "score": cosines(q[i], b[j])}
         return pa.table({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in out.items()})
 
-    found = asked.groupBy("list", "shard").cogroup(held.groupBy("list", "shard")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    group = ("list", "shard", "turn")
+    found = asked.groupBy(*group).cogroup(held.groupBy(*group)).applyInArrow(search, "row bigint, query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

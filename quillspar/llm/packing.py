@@ -16,8 +16,8 @@ from .tokens import END, VOCABULARY, crc32, encoder, pieces
 WINDOW = 1024
 #: Remainders are cut at multiples of this, so that a window takes several pieces and the differencing can even them out.
 PIECE = 256
-#: Documents whose remainders are packed together.
-GROUP = 512
+#: Documents whose remainders are packed together, and ids that they have together, one document more or less.
+GROUP, GROUP_IDS = 512, 1 << 22
 
 
 def differencing(weights: np.ndarray, k: int) -> np.ndarray:
@@ -99,7 +99,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """Encode every row's text (null: empty) with an end id and lay the ids into sequences of at most ``window``.
 
     One row per piece: (id, start in its document, length, ids_crc32, doc_tokens, sequence_id, offset in the sequence), and the piece's
-    ids if ``with_ids``. Rows are encoded and packed where they are read, GROUP at a time, without a shuffle: memory is bounded by a group,
+    ids if ``with_ids``. Rows are encoded and packed where they are read, GROUP at a time (fewer if long), without a shuffle: memory is bounded by a group,
     and a task that runs again packs the same rows anew. Every id lies in one piece; offsets have no gaps.
     Null or repeated row ids do no harm, an empty table gives no pieces, and only the two named columns are read.
     """
@@ -111,6 +111,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         sequence = TaskContext.get().partitionId() << 40
         ids: list = []
         parts: list[np.ndarray] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence
@@ -133,10 +134,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                 for k, part in enumerate(np.split(tokens, np.cumsum(lengths)[:-1])):
                     ids.append(keys[first + k])
                     parts.append(part)
-                    if len(parts) == GROUP:
+                    held += len(part)
+                    if len(parts) == GROUP or held >= GROUP_IDS:
                         yield flush()
                         ids.clear()
                         parts.clear()
+                        held = 0
         if parts:
             yield flush()
 

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import among, block_count, distinct, group_of, grouped, hash_texts, hash_windows, id_blocks, order, pack, slices, unpack
+from .blocks import among, block_count, distinct, group_of, grouped, hash_texts, hash_windows, id_blocks, order, owners, pack, slices, unpack
 from .common import only, release
 
 WINDOW = 13
@@ -42,7 +42,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key per block.
 
     Nulls and empty texts have no words: counts 0, kept ''. A null id counts as larger than all ids (rows of null id don't
-    affect one another); rows of equal id don't remove each other's words. Only the two named columns are read.
+    affect one another); rows of equal id don't remove each other's words. Ids are integers. Only the two named columns are read.
     """
     kind = dict(df.dtypes)[id_col]
     return _removed(only(df, id=id_col, text=text_col), "id", "text", window, None, f"id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,length:bigint>>")
@@ -66,7 +66,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
     """remove_repeats, or strip_repeats if ``whole`` names the columns to return and the one for the length."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = block_count(slim, "text")
-    block = id_blocks(slim, "id", n)
+    block, wide = id_blocks(slim, "id", "text", n)
     slim = slim.withColumn("block", block)
     full = slim if whole is None else docs.withColumn("id", F.col(id_col)).withColumn("block", block).withColumnRenamed(text_col, "text")
 
@@ -88,8 +88,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
         owner = np.repeat(blocks, [len(x) for x in lists])
         at = order(keys)
         keys, owner = keys[at], owner[at]
-        again = np.zeros(len(keys), dtype=bool)
-        again[1:] = keys[1:] == keys[:-1]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        rank = owners(owner, wide)
+        again = rank != rank[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
         keys, owner = keys[again], owner[again]
         at = np.argsort(owner, kind="stable")
         keys, owner = keys[at], owner[at]

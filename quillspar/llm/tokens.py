@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,13 +12,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from .blocks import block_count, grouped, id_blocks, mix
-from .common import hold, only, shared_dir
+from .common import hold, new_path, only
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
@@ -276,6 +275,8 @@ def crc32(ids: np.ndarray) -> int:
 # The file format ---------------------------------------------------------------------------------------------
 
 MAGIC = b"QSVB1\0"
+#: Parts whose running sums of ids a task makes.
+PARTS_OF = 4096
 _WIDTH = np.array([1, 2, 3, 4], dtype=np.int64)
 #: For each control byte: the byte offsets and widths of its four values, and its total.
 _CTRL_WIDTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.int64)
@@ -321,7 +322,7 @@ def _unsqueeze(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=kind)
 
 
-_STAGED = "block int, rows int, ids binary, lengths binary, tokens binary"
+_STAGED = "block int, rows int, ids binary, nulls binary, lengths binary, tokens binary"
 
 
 def stage_tokens(docs: DataFrame, path: str, out: str) -> None:
@@ -333,11 +334,11 @@ def stage_tokens(docs: DataFrame, path: str, out: str) -> None:
         size = 0
 
         def flush():
-            got = [(b, len(x), _squeeze(np.array([i for i, _ in x], dtype="<i8")), _squeeze(np.array([len(t) for _, t in x], dtype="<i8")), _squeeze(np.concatenate([t for _, t in x]))) for b, x in kept.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "rows", "ids", "lengths", "tokens"])
+            got = [(b, len(x), _squeeze(np.array([i or 0 for i, _ in x], dtype="<i8")), _squeeze(np.array([i is None for i, _ in x])), _squeeze(np.array([len(t) for _, t in x], dtype="<i8")), _squeeze(np.concatenate([t for _, t in x]))) for b, x in kept.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["block", "rows", "ids", "nulls", "lengths", "tokens"])
 
         for batch in batches:
-            ids, blocks = batch.column("id").fill_null(NULL_ID).to_pylist(), batch.column("block").to_pylist()
+            ids, blocks = batch.column("id").to_pylist(), batch.column("block").to_pylist()
             for first, texts in pieces(batch.column("text")):
                 lengths, tokens = enc.encode(texts)
                 for k, part in enumerate(np.split(tokens, np.cumsum(lengths)[:-1])):
@@ -353,10 +354,6 @@ def stage_tokens(docs: DataFrame, path: str, out: str) -> None:
     docs.mapInArrow(run, _STAGED).write.option("compression", "uncompressed").parquet(out)
 
 
-#: Stands for a null id inside staged runs; it sorts after all ids.
-NULL_ID = (1 << 63) - 1
-
-
 def rank_table(staged: DataFrame, size: int) -> np.ndarray:
     """Ids in order of falling frequency over all documents (ties: smaller id first)."""
 
@@ -378,14 +375,14 @@ def rank_table(staged: DataFrame, size: int) -> np.ndarray:
 def write_token_files(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> None:
     """Encode all rows and write them to the folder ``out``: ``<out>/segments`` holds the ids, ``<out>/vocabulary`` the rank table.
 
-    A segment is a row (part, segment, ahead, rows, n, ids, lengths, payload): the ids of ``rows`` documents in ascending id order,
+    A segment is a row (part, segment, ahead, rows, n, ids, nulls, lengths, payload): the ids of ``rows`` documents in ascending id order,
     ``n`` in all, each document's ending with id 0, as frequency ranks in the format of pack_ids; ``ahead`` counts the ids of
-    earlier segments of its part. Segments in order of (part, segment) are the whole table in order. Null texts are empty; null
-    ids come last; only the two named columns are read. The container is Parquet, so any store that Spark reaches will do.
+    earlier segments of its part. Segments in order of (part, segment) are the whole table in order. Ids are integers. Null texts are empty; null
+    ids (marked in ``nulls``) come last; rows of one id come in any order; only the two named columns are read. The container is Parquet, so any store that Spark reaches will do.
     """
     spark = df.sparkSession
     docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    docs = docs.withColumn("block", id_blocks(docs, "id", block_count(docs, "text")))
+    docs = docs.withColumn("block", id_blocks(docs, "id", "text", block_count(docs, "text"))[0])
     stage_tokens(docs, path, f"{out}/staged")
     staged = spark.read.schema(_STAGED).parquet(f"{out}/staged")
     order = rank_table(staged, encoder(path).size)
@@ -399,58 +396,67 @@ def write_token_files(df: DataFrame, out: str, id_col: str = "doc_id", text_col:
         lengths = np.concatenate([_unsqueeze(b.as_py(), "<i8") for b in table.column("lengths")])
         tokens = np.concatenate([_unsqueeze(b.as_py(), "<u2") for b in table.column("tokens")])
         starts = np.cumsum(lengths) - lengths
+        nulls = np.concatenate([_unsqueeze(b.as_py(), "?") for b in table.column("nulls")])
         rows, first, size, ahead = [], 0, 0, 0
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((ids, nulls))
         for k, row in enumerate(order.tolist()):
             size += int(lengths[row])
             if size >= 1 << 20 or k + 1 == len(order):
                 part = order[first : k + 1]
                 payload = np.concatenate([tokens[starts[i] : starts[i] + lengths[i]] for i in part.tolist()])
-                rows.append((table.column("block")[0].as_py(), len(rows), ahead, len(part), size, _squeeze(ids[part]), _squeeze(lengths[part]), pack_ids(ranks.value[payload])))
+                rows.append((table.column("block")[0].as_py(), len(rows), ahead, len(part), size, _squeeze(ids[part]), _squeeze(nulls[part]), _squeeze(lengths[part]), pack_ids(ranks.value[payload])))
                 first, size, ahead = k + 1, 0, ahead + size
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "segment", "ahead", "rows", "n", "ids", "lengths", "payload"])
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "segment", "ahead", "rows", "n", "ids", "nulls", "lengths", "payload"])
 
     built = staged.groupBy("block").applyInArrow(build, _SEGMENT)
     built.write.option("compression", "zstd").parquet(f"{out}/segments")
 
 
-_SEGMENT = "part int, segment int, ahead bigint, rows int, n bigint, ids binary, lengths binary, payload binary"
+_SEGMENT = "part int, segment int, ahead bigint, rows int, n bigint, ids binary, nulls binary, lengths binary, payload binary"
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document, in no order: (id, start, n_tokens, ids_crc32), decoded from what write_token_files wrote; ``with_ids`` adds the ids.
 
-    ``start`` counts the ids of all documents before it. Only a total per part passes the driver.
+    ``start`` counts the ids of all documents before it. Only a total for each PARTS_OF parts passes the driver; within them, sums run in a task.
     """
     segments = spark.read.schema(_SEGMENT).parquet(f"{path}/segments")
     head = spark.read.schema("tokens binary").parquet(f"{path}/vocabulary").first()
     ids_of = spark.sparkContext.broadcast(np.frombuffer(head.tokens, dtype="<u4"))
-    totals = {r.part: r.n for r in segments.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    place = new_path(spark, "starts")
+    group = F.floor(F.col("part") / PARTS_OF)
+    segments.groupBy("part").agg(F.sum("n").alias("n")).write.parquet(f"{place}/totals")
+    totals = spark.read.schema("part int, n bigint").parquet(f"{place}/totals")
+    sums = {r.g: r.n for r in totals.groupBy(group.alias("g")).agg(F.sum("n").alias("n")).collect()}
     before, at = {}, 0
-    for part in sorted(totals):
-        before[part] = at
-        at += totals[part]
-    firsts = spark.sparkContext.broadcast(before)
+    for g in sorted(sums):
+        before[g] = at
+        at += sums[g]
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), group) if before else F.lit(0)
+    totals.select("part", (ahead + base).cast("bigint").alias("first")).write.parquet(f"{place}/firsts")
+    segments = segments.join(spark.read.schema("part int, first bigint").parquet(f"{place}/firsts"), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 tokens = ids_of.value[unpack_ids(batch.column("payload")[k].as_py())]
                 ids, lengths = (_unsqueeze(batch.column(c)[k].as_py(), "<i8") for c in ("ids", "lengths"))
-                starts = firsts.value[batch.column("part")[k].as_py()] + batch.column("ahead")[k].as_py() + np.cumsum(lengths) - lengths
+                nulls = _unsqueeze(batch.column("nulls")[k].as_py(), "?")
+                starts = batch.column("first")[k].as_py() + batch.column("ahead")[k].as_py() + np.cumsum(lengths) - lengths
                 parts = np.split(tokens, np.cumsum(lengths)[:-1])
-                columns = [pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([crc32(x) for x in parts], pa.int64())]
+                columns = [pa.array(ids, pa.int64(), mask=nulls), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([crc32(x) for x in parts], pa.int64())]
                 names = ["id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.array([x.tolist() for x in parts], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return segments.select("part", "ahead", "ids", "lengths", "payload").mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    return segments.select("first", "ahead", "ids", "nulls", "lengths", "payload").mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = new_path(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), out)
     return read_token_files(spark, out).withColumnRenamed("id", "doc_id")

@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, release, utf8
+from .common import only, release, stored, utf8
 
 #: Rows in the last category, and rows outside it, that a chain is fitted on, at most.
 SAMPLE = (4000, 16000)
+#: Bytes of features that the driver takes of the sample, at most: the rows of smallest id hashes that fit.
+SAMPLE_BYTES = 96 << 20
 #: Word and stem features of a model, at most; those most telling of the category come first.
 FEATURES = 2048
 FOLDS = 5
@@ -203,14 +205,14 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((cut[best] + low) / 2, 0.05, 0.95))
 
 
-_FEATURES = "labels array<boolean>, hashed binary, shape array<double>"
+_FEATURES = "order bigint, labels array<boolean>, hashed binary, shape array<double>"
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Chain:
     """Fit a chain over boolean columns of ``labels``, in order, on a bounded sample of the labelled rows (see SAMPLE), near copies left out.
 
     Rows with a null text, id or label are left out; the sample is the one of smallest id hashes. It is drawn from the labels alone,
-    so it is the bounded side of a broadcast join. Features are found where the texts are read; the driver gets hashes only. Shape features are
+    so it is the bounded side of a broadcast join. Features are found where the texts are read; the driver gets hashes only, SAMPLE_BYTES of them at most. Shape features are
     for the first category; later ones get its probability.
     """
     keys = labels.select(F.col(id_col).alias("label_id"), F.array(*[F.col(c).cast("boolean") for c in categories]).alias("labels"))
@@ -228,9 +230,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
                 words = terms(t.as_py())
                 hashed.append(np.array(sorted(term_hashes(words)), dtype="<u4").tobytes())
                 shapes.append(dense(t.as_py().encode(), len(words)))
-            yield pa.RecordBatch.from_arrays([batch.column("labels"), pa.array(hashed, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))], ["labels", "hashed", "shape"])
-
-    got = taken.select("labels", "text").mapInArrow(run, _FEATURES).toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("labels"), pa.array(hashed, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))], ["order", "labels", "hashed", "shape"])
+
+    made = stored(taken.select("order", "labels", "text").mapInArrow(run, _FEATURES))
+    sizes = made.select("order", F.octet_length("hashed").alias("size")).orderBy("order").toArrow()  # two numbers for each row of the sample
+    inside = np.cumsum(sizes.column("size").to_numpy()) <= SAMPLE_BYTES
+    if not inside.all():
+        made = made.where(F.col("order") < F.lit(sizes.column("order")[int(np.argmin(inside))].as_py()))
+    got = made.toArrow()
     hashed = [np.frombuffer(h.as_buffer(), dtype="<u4") for h in got.column("hashed")]
     order = sorted(range(len(hashed)), key=lambda k: hashed[k].tobytes())
     order = [order[k] for k in _unlike([hashed[k] for k in order])]

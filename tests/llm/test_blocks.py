@@ -12,3 +12,16 @@ def test_order_and_groups_against_numpy():
             assert (got == want).all()
         some = blocks.distinct(keys[::2])
         assert (blocks.among(blocks.distinct(keys), some) == np.isin(np.unique(keys), some)).all()
+
+
+def test_hot_ids_and_nulls_lie_in_several_blocks(spark):
+    rows = [(7, f"t{i}") for i in range(400)] + [(i, "x") for i in range(100)] + [(None, f"n{i}") for i in range(300)] + [((1 << 63) - 1, "last")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    block, wide = blocks.id_blocks(df, "id", "text", 16)
+    got = [(r.id, r.b) for r in df.select("id", block.alias("b")).collect()]
+    own = blocks.owners(np.array([b for _, b in got]), wide)
+    assert len({b for i, b in got if i == 7}) > 3 and len({b for i, b in got if i is None}) > 3
+    assert len({o for (i, _), o in zip(got, own, strict=True) if i == 7}) == len({o for (i, _), o in zip(got, own, strict=True) if i is None}) == 1
+    rising = sorted({((i is None, i or 0), o) for (i, _), o in zip(got, own.tolist(), strict=True)})
+    assert [o for _, o in rising] == sorted(o for _, o in rising)
+    assert not {b for i, b in got if i == 7} & {b for i, b in got if i != 7}

@@ -58,3 +58,72 @@ def test_toxicity_edges(spark):
     assert out == {1: False, 2: False, 3: True, None: False}
     nothing = toxicity.train(docs, labels.limit(0), ["junk", "toxic"])
     assert [r.toxic for r in toxicity.classify(df, nothing).collect()] == [False] * 4
+
+
+def test_language_repeated_rows_and_bounds(spark):
+    rows = [("the of and is", "en")] * 5 + [("der die das und", "de")] * 4 + [(f"dirty{i}", f"x{i}") for i in range(30)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), classes=2)
+    assert model.languages == ["de", "en"]
+    df = spark.createDataFrame([(1, "die das"), (1, "die das"), (1, "the of")], "doc_id long, text string")
+    assert sorted((r.id, r.lang_pred) for r in language.identify(df, model).collect()) == [(1, "de"), (1, "de"), (1, "en")]
+
+
+def test_language_by_brute_force(spark):
+    """Counts of byte n-grams, log odds for each split of the languages, and the nearest codeword, all in plain Python."""
+    texts = [("the of and is it", "en"), ("der die das und", "de"), ("le la les et", "fr"), ("and the it of", "en"), ("und der das", "de")]
+    model = language.train(spark.createDataFrame(texts, "text string, lang string"))
+
+    def slots(text):
+        data, out = f" {' '.join(text.lower().split())} ".encode(), []
+        for n in language.ORDERS:
+            for i in range(len(data) - n + 1):
+                code = int.from_bytes(data[i : i + n], "big")
+                out.append((code * 2654435761 % 2**32 >> 18) + language.SLOTS * language.ORDERS.index(n))
+        return out
+
+    langs, size = ["de", "en", "fr"], language.SLOTS * 3
+    counts = {x: np.full(size, 0.5) for x in langs}
+    for t, x in texts:
+        np.add.at(counts[x], slots(t), 1)
+    share = {x: counts[x] / counts[x].sum() for x in langs}
+    words = [[1, 1, 1], [-1, 1, -1], [-1, -1, 1]]
+    assert sorted(map(tuple, model.code.T.tolist())) == sorted(map(tuple, np.array(words).T.tolist()))
+    for text in ("the and", "das und die", "les et la", "it is der"):
+        margins, apart = [], []
+        for bit in model.code.T:
+            up, down = (np.mean([share[x] for x, b in zip(langs, bit, strict=True) if b == s], axis=0) for s in (1, -1))
+            odds = np.log(up / down)
+            margins.append(odds[slots(text)].sum() / len(slots(text)) ** 0.5)
+            apart.append(np.mean([max(0, b * (share[x] * odds).sum()) for x, b in zip(langs, bit, strict=True)]))
+        weight = np.array(apart) / np.mean(apart)
+        loss = (weight * np.log1p(np.exp(-model.code * np.array(margins)))).sum(axis=1)
+        p = np.exp(-loss) / np.exp(-loss).sum()
+        found = model.predict(text)
+        assert found[0] == langs[int(p.argmax())] and abs(found[1] - p.max()) < 1e-4
+
+
+def test_toxicity_chain_by_brute_force(spark):
+    """Each link's probability from its weights, one feature at a time; the second link sees the first one's probability and no shape."""
+    spell = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(i, f"{' '.join(spell(7919 * i + k * k) for k in range(1, 9))} {'vile' if i % 2 else 'fine'} {'!!!! ####' if i % 3 == 0 else ''}", i % 3 == 0, i % 2 == 1) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    chain = toxicity.train(docs, spark.createDataFrame([(i, j, t) for i, _, j, t in rows], "doc_id long, junk boolean, toxic boolean"), ["junk", "toxic"])
+    asked = docs.unionAll(docs.limit(3))  # repeated rows are judged alike
+    got = {}
+    for r in toxicity.classify(asked, chain).collect():
+        assert got.setdefault(r.id, r) == r
+    for i, text, _, _ in rows[:40]:
+        words = toxicity.terms(text)
+        have, extra = toxicity.term_hashes(words), toxicity.dense(text.encode(), len(words))
+        for link in chain.links:
+            z = sum(link.weights[c] for h, c in link.columns.items() if h in have) + sum(w * x for w, x in zip(link.weights[len(link.columns) :], [*extra, 1.0], strict=True))
+            p = 1 / (1 + np.exp(-z))
+            assert abs(p - getattr(got[i], f"p_{link.name}")) < 1e-9 and getattr(got[i], link.name) == bool(p > link.threshold)
+            extra = [p]
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} {'vile' if i % 2 else 'fine'}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(60)], "doc_id long, toxic boolean")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
+    assert [r.toxic for r in toxicity.classify(docs.limit(2), toxicity.train(docs, labels, ["toxic"])).collect()] == [False] * 2

@@ -45,6 +45,12 @@ def test_edges(spark):
     got = {q: [r.vec_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] for q in {r.query_id for r in out}}
     assert got == {0: [1, 3, 50, 2], 50: [0, 1, 2, 3]}
     assert nn.nearest(df.limit(0), df, 5).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(i, [1.0, i / 10]) for i in range(1, 8)], "vec_id long, embedding array<double>")
+    out = nn.nearest(twice, twice.where("vec_id = 0"), 5).collect()
+    assert sorted((r.rank, r.vec_id) for r in out) == [(k, k) for k in range(1, 6) for _ in range(2)]
+    far = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 1e-201]), (2, [0.0, 1e300]), (3, [-1e308, 1e308])], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r.score for r in nn.nearest(far, far.where("vec_id = 0"), 5).collect()}
+    assert abs(out[1] - 1 / 1.01**0.5) < 1e-12 and out[2] == 0 and abs(out[3] + 0.5**0.5) < 1e-12
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20_000)], "vec_id long, embedding array<float>")
     out = nn.nearest(same, same.where("vec_id = 100"), 3).orderBy("rank").collect()
     assert [r.vec_id for r in out] == [0, 1, 2]

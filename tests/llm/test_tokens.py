@@ -47,10 +47,10 @@ def test_token_output_whole_table(spark, library):
 
 
 def test_token_output_edges(spark, library, tmp_path):
-    rows = [(5, None, 1), (3, "b c", 2), (None, "q", 3), (4, "", 4), (4, "twice", 5), (1, "é " * 50_000, 6)]
+    rows = [(5, None, 1), (3, "b c", 2), (None, "q", 3), (4, "", 4), (4, "twice", 5), (1, "é " * 50_000, 6), ((1 << 63) - 1, "last", 7)]
     tokens.write_token_files(spark.createDataFrame(rows, "doc_id long, text string, id int"), f"file://{tmp_path}/o")
     out = tokens.read_token_files(spark, f"file://{tmp_path}/o", with_ids=True).orderBy("start").collect()
-    assert [r.id for r in out] == [1, 3, 4, 4, 5, None]
+    assert [r.id for r in out] == [1, 3, 4, 4, 5, (1 << 63) - 1, None]
     assert [r.ids for r in out if r.id in (1, 3, 5)] == [library("é " * 50_000), library("b c"), [0]]
     tokens.write_token_files(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/e")
     assert tokens.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
@@ -88,6 +88,8 @@ def test_packing_whole_table(spark, library):
 
 def test_packing_edges(spark, library):
     rows = [(1, None, 0), (2, "", 0), (3, "a " * 3000, 0), (4, "b", 0)]
+    odd = packing.pack(spark.createDataFrame([(None, "x y"), (None, "x y"), (7, "z"), (7, "z")], "doc_id long, text string")).collect()
+    assert sorted((r.id or 0, r.length) for r in odd) == [(0, 3), (0, 3), (7, 2), (7, 2)] and len({(r.sequence_id, r.offset) for r in odd}) == 4
     df = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, start int")).withColumnRenamed("id", "doc_id")
     check_packing(df.collect(), {r[0]: r[1] for r in rows}, library)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
