@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
-
 BLOCK_BYTES = 12 << 20
 CELLS = 512
 _CHUNK = 1 << 20
@@ -111,11 +109,6 @@ def text_blocks(df: DataFrame, text: str, parts: int = 1) -> int:
     return max(1, math.ceil(size * parts / BLOCK_BYTES))
 
 
-def block_count(df: DataFrame, text: str, parts: int = 1) -> int:
-    """As text_blocks, but at least as many as shuffle partitions."""
-    return max(partitions(df.sparkSession), text_blocks(df, text, parts))
-
-
 def _search(value: Column, bounds: list, first: int, make) -> Column:
     if not bounds:
         return make(first)
@@ -200,15 +193,6 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[new], at[new], inverse
 
 
-def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of the rising ``keys`` are in the rising array ``known``."""
-    at = np.searchsorted(known, keys)
-    out = np.zeros(len(keys), dtype=bool)
-    inside = at < len(known)
-    out[inside] = known[at[inside]] == keys[inside]
-    return out
-
-
 def pack(sorted_keys: np.ndarray) -> bytes:
     """Rising 64-bit keys as byte planes of their differences; the high planes are nearly all zero and compress away."""
     return np.diff(sorted_keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from .blocks import block_count, grouped, id_blocks, mix
+from .blocks import grouped, id_blocks, mix, text_blocks
 from .common import hold, new_path, only
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -382,7 +382,7 @@ def write_token_files(df: DataFrame, out: str, id_col: str = "doc_id", text_col:
     """
     spark = df.sparkSession
     docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    docs = docs.withColumn("block", id_blocks(docs, "id", "text", block_count(docs, "text"))[0])
+    docs = docs.withColumn("block", id_blocks(docs, "id", "text", text_blocks(docs, "text"))[0])
     stage_tokens(docs, path, f"{out}/staged")
     staged = spark.read.schema(_STAGED).parquet(f"{out}/staged")
     order = rank_table(staged, encoder(path).size)

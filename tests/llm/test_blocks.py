@@ -10,8 +10,6 @@ def test_order_and_groups_against_numpy():
         assert (blocks.distinct(keys) == np.unique(keys)).all()
         for got, want in zip(blocks.grouped(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
             assert (got == want).all()
-        some = blocks.distinct(keys[::2])
-        assert (blocks.among(blocks.distinct(keys), some) == np.isin(np.unique(keys), some)).all()
 
 
 def test_hot_ids_and_nulls_lie_in_several_blocks(spark):

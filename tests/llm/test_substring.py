@@ -1,6 +1,10 @@
 import hashlib
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from quillspar.llm import substring
 
 
@@ -42,3 +46,29 @@ def test_edge_cases(spark):
     assert spans[2] == []
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert substring.remove_repeats(spark.createDataFrame([(None, None)], "doc_id long, text string")).count() == 1
+
+
+def test_prefixes_split_and_merge():
+    draw = np.random.default_rng(1)
+    counts = np.zeros(65536, dtype=np.int64)
+    counts[draw.integers(0, 65536, 3000)] = draw.integers(1, 50, 3000)
+    counts[777] = 100_000  # one prefix of two words
+    p = substring.Prefixes(counts, 1000)
+    x = substring.Suffixes(pa.table({"text": pa.array([b""])}), 13)
+    x.symbols = np.repeat(np.arange(65536, dtype=np.uint16), counts)
+    x.third = draw.integers(0, 1 << 64, len(x.symbols), dtype=np.uint64)
+    sizes = np.bincount(p.of(x), minlength=p.groups)
+    assert len(sizes) == p.groups and sizes.max() <= 1100 and p.groups < 2.2 * counts.sum() / 1000
+    assert p.bits[777] == 7 and (p.bits > 0).sum() == 1
+
+
+def test_small_groups_give_the_same(spark, monkeypatch):
+    """Groups of some suffixes, blocks of some documents, and equal high bits of different suffixes."""
+    draw = random.Random(4)
+    rows = [(draw.choice([None, *range(40)]), " ".join(draw.choices("abc", k=draw.randrange(0, 60)))) for _ in range(150)]
+    monkeypatch.setattr(substring, "text_blocks", lambda *a: 9)
+    monkeypatch.setattr(substring.count_prefixes, "__defaults__", (50,))
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=5).collect()
+    assert sorted([(r.id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out], key=str) == brute(rows, 5)
+    high, low = np.array([5, 9, 5, 5, 9, 1], dtype=np.uint64), np.array([2, 0, 1, 2, 0, 7], dtype=np.uint16)
+    assert substring._ordered(high, low).tolist() == [5, 2, 0, 3, 1, 4]
