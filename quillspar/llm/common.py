@@ -99,6 +99,15 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+#: Rows of a side of a join, of some 20 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The rows as the broadcast side of a join if there are BROADCAST_ROWS at most, else as they are, to be joined by a shuffle. They are counted, so they should be made already."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

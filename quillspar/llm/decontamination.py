@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import cut, only, small
 
 #: Tokens of a window, and how many of them must be plain words.
 WINDOW, LITERALS = 8, 5
 #: Items left without such a window are searched word for word: whole from LEAST tokens up, by windows of MOST if longer.
 LEAST, MOST = 5, 16
-#: A template index of at most as many rows (of some 20 bytes) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
 UNITS = tuple("mm cm dm m km g kg mg t s ms min h hz khz mhz ghz v mv kv a ma w kw mw kwh j kj n pa kpa mpa bar psi k c f l ml ft in mi mph kmh lb oz usd eur gbp percent degrees seconds minutes hours days weeks months years meters metres kilometers kilometres grams kilograms miles feet inches dollars euros pounds liters litres".split())
 _TOKEN = r"\p{Nd}+(?:[.,]\p{Nd}+)*|\p{L}+|[.!?\n]"
 
@@ -139,11 +137,10 @@ def _exact_pairs(keyed: DataFrame, benchmark: DataFrame, item_col: str, item_tex
     wanted = _exploded(_with_hashes(items, lengths, "plain"), lengths, lambda n: F.size("plain") >= n if n == MOST else F.size("plain") == n)
     wanted = wanted.select("item", "len", "hash", F.slice("plain", F.col("pos") + 1, F.col("len")).alias("want")).distinct()
     index = wanted.select("len", "hash").distinct()
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = _canonical_rows(keyed).select("id", "h", "plain")
     found = _exploded(_with_hashes(rows, lengths, "plain").drop("plain"), lengths)
-    hits = cut(found.join(F.broadcast(index) if small else index, ["len", "hash"]).distinct())
-    sources = keyed.join(hits.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct(), same_row(F.col("id"), F.col("h")), "left_semi").dropDuplicates(["id", "h"])
+    hits = cut(found.join(small(index), ["len", "hash"]).distinct())
+    sources = _hit_rows(keyed, hits)
     sources = _canonical_rows(sources).select(F.col("id").alias("i"), F.col("h").alias("g"), "plain")
     seen = hits.join(sources, same_row(F.col("id"), F.col("h"))).select("id", "h", "len", "hash", F.slice("plain", F.col("pos") + 1, F.col("len")).alias("have"))
     return seen.join(wanted, ["len", "hash"]).where(F.col("have") == F.col("want")).select("id", "h", "item")
@@ -153,6 +150,12 @@ def _canonical_rows(keyed: DataFrame) -> DataFrame:
     return keyed.where("text is not null").select("id", "h", raw_tokens(F.col("text")).alias("raw")).select("id", "h", canonical_tokens(F.col("raw")).alias("canon"), plain_tokens(F.col("raw")).alias("plain"))
 
 
+def _hit_rows(keyed: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows that hits (id, h) name, once each."""
+    named = hits.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct()
+    return keyed.join(small(named), same_row(F.col("id"), F.col("h")), "left_semi").dropDuplicates(["id", "h"])
+
+
 def same_row(id_col: Column, h: Column) -> Column:
     """Whether a flagged row (i, g) is the row of this id, which may be null, and this hash of the text."""
     return id_col.eqNullSafe(F.col("i")) & (h == F.col("g"))
@@ -164,19 +167,22 @@ def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     keyed = only(docs, id=id_col, text=text_col).withColumn("h", F.xxhash64("text"))
     index = wanted.select("len", "hash").distinct()
     lengths = sorted(r.len for r in index.select("len").distinct().collect())  # at most ``window`` values
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = _exploded(_with_hashes(_canonical_rows(keyed).select("id", "h", "canon"), lengths).drop("canon"), lengths)
-    hits = cut(found.join(F.broadcast(index) if small else index, ["len", "hash"]).distinct())  # few rows, which are read twice
-    sources = keyed.join(hits.select(F.col("id").alias("i"), F.col("h").alias("g")).distinct(), same_row(F.col("id"), F.col("h")), "left_semi").dropDuplicates(["id", "h"])
+    hits = cut(found.join(small(index), ["len", "hash"]).distinct())  # few rows, which are read twice
+    sources = _hit_rows(keyed, hits)
     sources = _canonical_rows(sources).select(F.col("id").alias("i"), F.col("h").alias("g"), "canon", "plain")
     seen = hits.join(sources, same_row(F.col("id"), F.col("h")))
     seen = seen.select("id", "h", "pos", "len", "hash", F.slice("canon", F.col("pos") + 1, F.col("len")).alias("have"), _slots(F.col("canon"), F.col("plain"), F.col("pos"), F.col("len")).alias("values"))
-    pairs = seen.join(wanted.select("item", "len", "hash", "want", "slots"), ["len", "hash"]).where(F.col("have") == F.col("want"))
-    pairs = pairs.where(F.size(F.array_distinct(F.arrays_zip("slots", "values"))) == F.size(F.array_distinct("slots")))
-    pairs = pairs.select("id", "h", "item")
+    # Which slots hold the same value is all that counts of an item's values, so items that share a window and that are one row.
+    pattern = F.transform("slots", lambda x: F.array_position(F.col("slots"), x))
+    shared = wanted.groupBy("len", "hash", "want", pattern.alias("pattern")).agg(F.count("*").alias("times"), F.collect_set("item").alias("items"))
+    pairs = seen.join(shared, ["len", "hash"]).where(F.col("have") == F.col("want"))
+    pairs = pairs.where(F.size(F.array_distinct(F.arrays_zip("pattern", "values"))) == F.size(F.array_distinct("pattern")))
+    pairs = pairs.select("id", "h", "times", "items")
     more = _exact_pairs(keyed, benchmark, item_col, item_text, window, literals) if exact else None
-    pairs = pairs if more is None else pairs.unionByName(more)
-    return pairs.groupBy("id", "h").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("items")).select(F.col("id").alias("i"), F.col("h").alias("g"), "n_windows", "items")
+    pairs = pairs if more is None else pairs.unionByName(more.select("id", "h", F.lit(1).cast("bigint").alias("times"), F.array("item").alias("items")))
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    return pairs.groupBy("id", "h").agg(F.sum("times").alias("n_windows"), every.alias("items")).select(F.col("id").alias("i"), F.col("h").alias("g"), "n_windows", "items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, exact: bool = False) -> DataFrame:
@@ -191,8 +197,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Windows of fewer than ``literals`` plain words are not searched. An item that has no other is found only with ``exact``, and then token for token in lower
     case, numbers and names too: whole, or any MOST tokens of it if it is longer; one of fewer than LEAST tokens is never found (see unsearchable).
 
-    Windows are matched by hash first and by their tokens for the few rows that hit. Nothing depends on how often a window occurs: templates
-    are made distinct before the join.
+    Windows are matched by hash first and by their tokens for the few rows that hit, whose texts alone are moved. Templates are made distinct before the joins, so a
+    window that many items share meets each row once.
     """
     flags = flagged(docs, benchmark, id_col, text_col, item_col, item_text, window, literals, exact)
     keyed = only(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("h"))
@@ -202,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and others) that are not contaminated, all columns kept. Items without a window are searched too."""
-    return docs.join(flagged(docs, benchmark, exact=True).select("i", "g"), same_row(F.col("doc_id"), F.xxhash64("text")), "left_anti")
+    return docs.join(small(cut(flagged(docs, benchmark, exact=True).select("i", "g"))), same_row(F.col("doc_id"), F.xxhash64("text")), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -561,8 +561,8 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     counts = stored(docs.groupBy("block").applyInArrow(first, _ROW).groupBy("kind", "part").applyInArrow(_count_answer, _ROW))
     model = Model(summed(counts, 8), samples)
     counts = counts.where(F.col("kind") <= PAIRS)
-    opened = stored(docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(second, _ROW))
     place = new_path(df.sparkSession, "sweeps")
+    opened = stored(docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(second, _ROW), f"{place}/opened")
     now = stored(of(opened, WORDS).groupBy("part").applyInArrow(_words_opened(model), _ROW), f"{place}/0")
     sums = summed(now, 3 * samples + 1)
     ones, before = sums[-1], now

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import distinct, hash_texts, hash_windows, mix, slices
-from .common import cut, only, partitions, popcount, release, utf8, word_blocks
+from .common import cut, only, partitions, popcount, release, small, utf8, word_blocks
 from .components import components
 
 SEED = 42
@@ -448,8 +448,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame
     judged = found.join(best, "root").select(F.col("id").alias("i"), F.col("h").alias("g"), "n", (order != F.col("best")).alias("gone"))
     judged = cut(judged.select("i", "g", "n", F.coalesce("gone", F.lit(True)).alias("gone")))
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("g"))
-    kept = docs.join(judged.where("gone").select("i", "g"), same, "left_anti")
-    again = judged.where("not gone and n > 1").select("i", "g")
+    kept = docs.join(small(judged.where("gone").select("i", "g")), same, "left_anti")
+    again = small(judged.where("not gone and n > 1").select("i", "g"))
     if again.isEmpty():
         return kept
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

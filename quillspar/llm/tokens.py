@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from .blocks import grouped, id_blocks, mix, text_blocks
-from .common import hold, new_path, only
+from .common import hold, new_path, only, remove, tidy
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
@@ -411,6 +411,8 @@ def write_token_files(df: DataFrame, out: str, id_col: str = "doc_id", text_col:
 
     built = staged.groupBy("block").applyInArrow(build, _SEGMENT)
     built.write.option("compression", "zstd").parquet(f"{out}/segments")
+    remove(spark, f"{out}/staged")
+    tidy(spark)
 
 
 _SEGMENT = "part int, segment int, ahead bigint, rows int, n bigint, ids binary, nulls binary, lengths binary, payload binary"

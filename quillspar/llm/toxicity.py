@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, release, stored, utf8
+from .common import new_path, only, release, remove, stored, utf8
 
 #: Rows in the last category, and rows outside it, that a chain is fitted on, at most.
 SAMPLE = (4000, 16000)
@@ -232,12 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
                 shapes.append(dense(t.as_py().encode(), len(words)))
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("labels"), pa.array(hashed, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))], ["order", "labels", "hashed", "shape"])
 
-    made = stored(taken.select("order", "labels", "text").mapInArrow(run, _FEATURES))
+    place = new_path(docs.sparkSession, "sample")
+    made = stored(taken.select("order", "labels", "text").mapInArrow(run, _FEATURES), place)
     sizes = made.select("order", F.octet_length("hashed").alias("size")).orderBy("order").toArrow()  # two numbers for each row of the sample
     inside = np.cumsum(sizes.column("size").to_numpy()) <= SAMPLE_BYTES
     if not inside.all():
         made = made.where(F.col("order") < F.lit(sizes.column("order")[int(np.argmin(inside))].as_py()))
     got = made.toArrow()
+    remove(docs.sparkSession, place)
     hashed = [np.frombuffer(h.as_buffer(), dtype="<u4") for h in got.column("hashed")]
     order = sorted(range(len(hashed)), key=lambda k: hashed[k].tobytes())
     order = [order[k] for k in _unlike([hashed[k] for k in order])]

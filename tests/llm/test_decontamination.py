@@ -67,3 +67,14 @@ def test_a_long_word_is_judged_whole(spark):
     word = "X" + "a" * (1 << 20) + "B"
     df = spark.createDataFrame([(f"see {word} here",)], "text string").select(dc.raw_tokens(dc.F.col("text")).alias("raw"))
     assert df.select(dc.canonical_tokens(dc.F.col("raw"))).first()[0] == ["see", word.lower(), "here"]
+
+
+def test_items_that_share_a_window_are_counted_each(spark):
+    """Boilerplate of all items meets a row once and counts for every item; slots of equal patterns share a row."""
+    head = "please solve the following problem with great care now"
+    items = [(k, f"{head} {k} of {k if k % 2 else k + 1} km") for k in range(1, 7)] + [(50, None), (None, head)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {head} and"), (2, f"{head} 9 of 9 km"), (3, f"{head} 9 of 8 km"), (4, "clean")], "doc_id long, text string")
+    out = {r.id: (r.n_windows, list(r.items)) for r in dc.contaminated(docs, bench).collect()}
+    assert out[4] == (0, []) and out[1] == (2 * 6, list(range(1, 7)))
+    assert out[2][1] == out[3][1] == list(range(1, 7)) and out[2][0] > out[3][0] > out[1][0]

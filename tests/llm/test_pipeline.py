@@ -149,3 +149,26 @@ def test_many_near_fingerprints_need_no_pairs():
     at = np.argsort(near, kind="stable")
     a, b = simhash.local_links(np.zeros(n, dtype=np.int64), near[at], fps[at], simhash.pivot_fingerprints(), 4)
     assert len(a) < n + (1 << 19) and not simhash.stars(n, a, b).any()
+
+
+def test_pipeline_with_odd_rows_and_none(spark, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, columns named like the operators' own; and a table without rows."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/odd/{name}.parquet")
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    one = docs.first()
+    rows = [(None, "no id has this text", "en", "s", 3), (None, None, None, None, None), (10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (one.doc_id, one.text, one.lang, one.source, one.n_chars), (10**6 + 2, "ab " * 200_000, "en", "s", 1), (10**6 + 3, one.text, None, None, None)]
+    odd = docs.unionAll(spark.createDataFrame(rows, docs.schema))
+    for c in ("id", "block", "h", "root", "c0", "label_id", "i", "toxic"):
+        odd = odd.withColumn(c, F.lit(c))
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r.doc_id for r in out}
+    assert {10**6 + 2, None} <= ids and 10**6 + 3 not in ids
+    pieces = {}
+    for r in out:
+        pieces.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in p) <= 1024 for p in pieces.values())
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
