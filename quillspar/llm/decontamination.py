@@ -208,7 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and others) that are not contaminated, all columns kept. Items without a window are searched too."""
-    return docs.join(small(cut(flagged(docs, benchmark, exact=True).select("i", "g"))), same_row(F.col("doc_id"), F.xxhash64("text")), "left_anti")
+    gone = small(cut(flagged(docs, benchmark, exact=True).select("i", "g")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["i"]) & (F.xxhash64(docs["text"]) == gone["g"]), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -447,14 +447,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     judged = found.join(best, "root").select(F.col("id").alias("i"), F.col("h").alias("g"), "n", (order != F.col("best")).alias("gone"))
     judged = cut(judged.select("i", "g", "n", F.coalesce("gone", F.lit(True)).alias("gone")))
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("g"))
-    kept = docs.join(small(judged.where("gone").select("i", "g")), same, "left_anti")
+    same = lambda side: docs["doc_id"].eqNullSafe(side["i"]) & (F.xxhash64(docs["text"]) == side["g"])
+    gone = small(judged.where("gone").select("i", "g"))
+    kept = docs.join(gone, same(gone), "left_anti")
     again = small(judged.where("not gone and n > 1").select("i", "g"))
     if again.isEmpty():
         return kept
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    twice = kept.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("g")).agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
-    return kept.join(again, same, "left_anti").unionAll(twice)
+    twice = kept.join(again, same(again), "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    return kept.join(again, same(again), "left_anti").unionAll(twice)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
