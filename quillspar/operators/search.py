@@ -74,13 +74,12 @@ def semantic(vectors: DataFrame, query: DataFrame, k: int = TOP_K, key: str = "c
 
 
 def term_counts(tokenized: DataFrame) -> DataFrame:
-    """(term, df, size): in how many rows each term is; the row of term null counts all rows, and all their tokens as ``size``.
+    """(term, df): in how many rows each term is; and for each number of tokens that rows have, its digits after a line end and those rows.
 
-    One pass: terms are made distinct in their rows and summed in part before the shuffle. Rows without terms count.
+    One pass: terms, which have no line ends, are made distinct in their rows and summed in part before the shuffle. Rows without terms count.
     """
-    size = F.size("tokens")
-    every = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), size.cast("long").alias("size"))), F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("size"))))
-    return tokenized.select(F.explode_outer(every).alias("t")).groupBy("t.term").agg(F.count("*").alias("df"), F.sum("t.size").alias("size"))
+    every = F.concat(F.array(F.concat(F.lit("\n"), F.size("tokens").cast("string"))), F.array_distinct("tokens"))
+    return tokenized.select(F.explode_outer(every).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def raw_weight(n: Column, df: Column) -> Column:
@@ -93,11 +92,12 @@ def corpus_facts(tokenized: DataFrame, asked: list[str]) -> DataFrame:
     A term's raw weight depends on n, so terms are first counted by their df; as many rows as there are values of df in a corpus meet in one task.
     """
     counts = term_counts(tokenized)
-    wanted = F.when(F.col("term").isin(*asked), F.col("term"))
-    by_df = counts.groupBy(F.col("term").isNull().alias("whole"), "df").agg(F.count("*").alias("times"), F.max("size").alias("size"), F.collect_list(wanted).alias("found"))
-    one = by_df.agg(F.max(F.when(F.col("whole"), F.struct("df", "size"))).alias("all"), F.collect_list(F.when(~F.col("whole"), F.struct("df", "times", "found"))).alias("rest"))
-    n = F.col("all.df")
-    weights = one.select(n.alias("n"), (F.col("all.size") / n).alias("avgdl"), F.transform("rest", lambda r: F.struct(raw_weight(n, r["df"]).alias("raw"), r["times"].alias("times"), r["found"].alias("found"))).alias("rest"))
+    wanted, size = F.when(F.col("term").isin(*asked), F.col("term")), F.substring("term", 2, 10).try_cast("bigint")
+    whole = F.col("term").startswith("\n")
+    by_df = counts.groupBy(whole.alias("whole"), "df").agg(F.count("*").alias("times"), F.sum(F.when(whole, size * F.col("df"))).alias("size"), F.collect_list(wanted).alias("found"))
+    one = by_df.agg(F.sum(F.when(F.col("whole"), F.col("df") * F.col("times"))).alias("n"), F.sum("size").alias("size"), F.collect_list(F.when(~F.col("whole"), F.struct("df", "times", "found"))).alias("rest"))
+    n = F.col("n")
+    weights = one.select(n.alias("n"), (F.col("size") / n).alias("avgdl"), F.transform("rest", lambda r: F.struct(raw_weight(n, r["df"]).alias("raw"), r["times"].alias("times"), r["found"].alias("found"))).alias("rest"))
     total = F.aggregate("rest", F.lit(0.0), lambda s, r: s + r["raw"] * r["times"])
     terms = F.aggregate("rest", F.lit(0).cast("long"), lambda s, r: s + r["times"])
     raws = F.map_from_entries(F.flatten(F.transform("rest", lambda r: F.transform(r["found"], lambda t: F.struct(t.alias("term"), r["raw"].alias("raw"))))))
@@ -117,14 +117,17 @@ def bm25(corpus: DataFrame, query: str, content: str = "content") -> DataFrame:
     if not asked:
         return corpus.withColumn("score", F.lit(0.0)).limit(0)
     tokenized = corpus.withColumn("tokens", T.search_tokens(F.coalesce(F.col(content), F.lit(""))))
-    facts = corpus_facts(tokenized, sorted(set(asked)))
-    rows = tokenized.join(F.broadcast(facts))  # one row, whose map holds the query's terms alone
-    length = K1 * (1 - B + B * F.size("tokens") / F.col("avgdl"))
+    terms = sorted(set(asked))
+    facts = corpus_facts(tokenized, terms)
+    hits = F.filter("tokens", lambda t: t.isin(*terms))
+    rows = tokenized.select(*corpus.columns, F.size("tokens").alias("bm25_length"), hits.alias("bm25_hits"))
+    rows = rows.join(F.broadcast(facts))  # one row, whose map holds the query's terms alone
+    length = K1 * (1 - B + B * F.col("bm25_length") / F.col("avgdl"))
     score = F.lit(0.0)
     for term in dict.fromkeys(asked):
         raw = F.element_at("raws", F.lit(term))
         weight = F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw)
-        tf = F.size("tokens") - F.size(F.array_remove("tokens", term))
+        tf = F.size("bm25_hits") - F.size(F.array_remove("bm25_hits", term))
         score = score + F.coalesce(asked.count(term) * weight * tf * (K1 + 1) / (tf + length), F.lit(0.0))
     return rows.select(*corpus.columns, F.round(score, 6).alias("score"))
 
