@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -188,7 +187,7 @@ def status_message(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     """Documents as a stream of Parquet files, cut into chunks and appended to a table in one run. A stream isn't SQL: it equals chunk_windows."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quillspar-')}/stream-{uuid.uuid4().hex}"
+    root = f"{D.shared_root(spark)}/stream-{uuid.uuid4().hex}"
     docs = D.table(spark, sf_dir, "documents")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     cut = chunking.chunk(stream.select("doc_id", F.array(chunking.segment(F.col("text"))).alias("segments"))).select(F.col("doc_id").alias("document_id"), "chunk_index", "token_offset", "n_tokens")

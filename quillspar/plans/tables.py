@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where all runs in this process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return path or tempfile.mkdtemp(prefix="quillspar-")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a state that depends on their source: file_type is the language, manufacturer the source."""
     d = table(spark, sf_dir, "documents")

@@ -76,13 +76,13 @@ def _legacy(content: pa.Array) -> pa.Array:
 def parse(files: DataFrame) -> DataFrame:
     """(file_path, file_type, segments) of importable binaryFile rows: the whole text, code units, or paragraphs and tables.
 
-    A file that can't be parsed has null segments and its message in ``error``; it doesn't stop the others.
+    Units of code have their name and lines as JSON in ``metadata``. A file that can't be parsed has null segments and its message in ``error``; it doesn't stop the others.
     """
     from . import parsers
 
     rows = files.withColumn("file_type", P.file_type(F.col("path")))
     rows = rows.where(P.exclusion_reason(F.col("path"), F.col("length"), F.substring("content", 1, P.HEADER_BYTES)).isNull())
-    plain = rows.where("file_type = 'text'").select("path", "file_type", F.array(F.struct(decode(F.col("content")).alias("content"), F.lit("text").alias("content_type"), F.lit(None).cast("int").alias("page_number"))).alias("segments"), F.lit(None).cast("string").alias("error"))
+    plain = rows.where("file_type = 'text'").select("path", "file_type", F.array(F.struct(decode(F.col("content")).alias("content"), F.lit("text").alias("content_type"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("metadata"))).alias("segments"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,5 +91,5 @@ def parse(files: DataFrame) -> DataFrame:
                 segments, error = parsers.parse(path, kind, content)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([kind]), pa.array([segments], parsers.SEGMENTS), pa.array([error], pa.string())], ["path", "file_type", "segments", "error"])
 
-    other = rows.where("file_type <> 'text'").select("path", "file_type", "content").mapInArrow(run, "path string, file_type string, segments array<struct<content:string,content_type:string,page_number:int>>, error string")
+    other = rows.where("file_type <> 'text'").select("path", "file_type", "content").mapInArrow(run, "path string, file_type string, segments array<struct<content:string,content_type:string,page_number:int,metadata:string>>, error string")
     return plain.unionByName(other).withColumnRenamed("path", "file_path")

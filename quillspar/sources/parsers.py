@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import ast
 import io
+import json
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pyarrow as pa
 
-SEGMENTS = pa.list_(pa.struct([("content", pa.string()), ("content_type", pa.string()), ("page_number", pa.int32())]))
+SEGMENTS = pa.list_(pa.struct([("content", pa.string()), ("content_type", pa.string()), ("page_number", pa.int32()), ("metadata", pa.string())]))
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def segment(content: str, kind: str, page: int | None = None) -> dict:
-    return {"content": content, "content_type": kind, "page_number": page}
+def segment(content: str, kind: str, page: int | None = None, **metadata) -> dict:
+    return {"content": content, "content_type": kind, "page_number": page, "metadata": json.dumps(metadata, ensure_ascii=False) if metadata else None}
 
 
 def text_of(data: bytes) -> str:
@@ -51,7 +52,7 @@ def python_units(source: str) -> list[dict]:
 def code(path: str, data: bytes) -> list[dict]:
     source = text_of(data)
     units = python_units(source) if path.lower().endswith(".py") else []
-    return [segment(u["content"], "code") for u in units] or [segment(source, "code")]
+    return [segment(u.pop("content"), "code", **u) for u in units] or [segment(source, "code")]
 
 
 def docx(path: str, data: bytes) -> list[dict]:

@@ -94,7 +94,7 @@ def test_answers(spark):
             yield "part"
             raise ValueError("lost")
 
-    assert answers.answer("q", rows, Broken()) == "part\nlost"
+    assert answers.answer("q", rows, Broken()) == f"part\n\n大模型问答失败：lost\n\n{answers.CHECK_SOURCES}"
     assert '"chunk_id":"c1"' in answers.history_row("q", "a", rows).first().sources_json
 
 
@@ -112,3 +112,25 @@ def test_store_versions(spark, tmp_path):
     assert [store.read(t).count() for t in ("documents", "chunks")] == [1, 1]
     meta = sync.update_metadata(one, spark.createDataFrame([(1, None), (2, "z")], "document_id int, v string"), "document_id")
     assert sorted(r.v for r in meta.collect()) == ["a", "z"]
+
+
+def test_records(spark):
+    """Pages as numbers, whole sliders, starts that a stop forbids, and stale vectors."""
+    from quillspar.operators import metadata, progress
+
+    rows = spark.createDataFrame([(" 3 ",), ("x",), ("",), (None,), ("4.5",)], "p string")
+    assert [r[0] for r in rows.select(metadata.page_number(F.col("p"))).collect()] == [3, None, None, None, None]
+    assert [r[0] for r in spark.range(1, 30, 14).select(progress.shown_k(F.col("id"))).collect()] == [3, 15, 20]
+    jobs = spark.createDataFrame([("a", "queued"), ("b", "stopping"), ("c", "running")], "job_id string, status string")
+    assert [r.status for r in progress.started(jobs, "b").collect()] == ["queued", "stopping", "running"]
+    assert [r.status for r in progress.started(jobs, "a").collect()] == ["running", "stopping", "running"]
+    assert [r.status for r in progress.stop_requested(jobs, "c").collect()] == ["queued", "stopping", "stopping"]
+    assert progress.import_active(jobs).first().active is True and progress.import_active(jobs.limit(0)).first().active is False
+
+
+def test_import_plan_takes_one_document_of_a_path(spark):
+    documents = spark.createDataFrame([(2, "/a", "h", "imported", sync.index_profile("text")), (1, "/a", "h", "imported", sync.index_profile("text"))], "document_id long, file_path string, file_hash string, status string, index_profile string").withColumn("imported_at", F.lit(1))
+    scan = spark.createDataFrame([("/a", "h")], "file_path string, file_hash string")
+    chunks = spark.createDataFrame([(1, "1#0")], "document_id long, chunk_id string")
+    got = sync.import_plan(scan, documents, chunks, sync.index_profile("text")).collect()
+    assert [(r.action, r.document_id) for r in got] == [("skip", 1)]

@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 from quillspar.sources import files, parsers
@@ -57,3 +58,21 @@ def test_stream_takes_new_files_once(spark, tmp_path):
 def test_ocr_gate():
     assert parsers.ocr_pages(["", "x" * 90, "short", None], 80, 2) == [1, 3]
     assert parsers.ocr_pages(["", "x" * 90, "short", None], 80, 0) == [1, 3, 4]
+
+
+def test_code_units_keep_their_names_and_lines():
+    got = parsers.code("c.py", b"import os\nclass Driver:\n    pass\n\ndef read():\n    return 1\n")
+    assert [json.loads(s["metadata"]) for s in got] == [{"symbol": "Driver", "start_line": 2, "end_line": 3}, {"symbol": "read", "start_line": 5, "end_line": 6}]
+    assert parsers.code("c.c", b"int x;")[0]["metadata"] is None
+
+
+def test_pages_with_a_recogniser():
+    def read(page):
+        if page == 3:
+            raise RuntimeError("no model")
+        return "seen\n\nseen\nmore"
+
+    pages = [("long enough " * 10, [[["k", "v"], ["a", None]]]), ("short", []), ("", []), ("", [])]
+    got = [(s["page_number"], s["content_type"], s["content"][:9]) for s in parsers.pages_to_segments(pages, read, 80, 2)]
+    assert got == [(1, "text", "long enou"), (1, "table", "| k | v |"), (2, "text", "short"), (2, "text", "seen\nmore")]
+    assert [s["page_number"] for s in parsers.pages_to_segments(pages)] == [1, 1, 2]
