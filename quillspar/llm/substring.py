@@ -143,7 +143,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
     block, wide = id_blocks(slim, "id", "text", n)
     prefixes = count_prefixes(slim, window)
     slim = slim.withColumn("block", block)
-    full = slim if whole is None else docs.withColumn("id", F.col(id_col)).withColumn("block", block).withColumnRenamed(text_col, "text")
+    full = slim if whole is None else docs.withColumnRenamed(text_col, "text").withColumn("id", F.col(id_col)).withColumn("block", block)
 
     def send(table: pa.Table) -> pa.Table:
         release()

@@ -2,8 +2,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
-from quillspar.llm import decontamination, simhash, toxicity
+from quillspar.llm import decontamination, simhash, substring, toxicity
 from quillspar.llm.decontamination import op8_decontamination
 from quillspar.llm.simhash import keep_one, near_copies
 from quillspar.llm.substring import strip_repeats
@@ -53,7 +54,9 @@ def test_keep_one_edges(spark):
     assert keep_one(docs).columns == docs.columns
 
 
-def test_strip_repeats_keeps_other_texts(spark):
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_strip_repeats_keeps_other_texts(spark, monkeypatch, blocks):
+    monkeypatch.setattr(substring, "text_blocks", lambda *a: blocks)
     shared = " ".join(words(1, 60))
     rows = [(1, f"first\n{shared}", 0), (2, f"then {shared} end", 0), (3, "clean\n text", 7), (4, None, None), (None, shared, 1), (5, shared, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("block", F.lit(1)).withColumn("id", F.lit(2))
