@@ -24,7 +24,7 @@ NOT_MODEL_PREFIXES = (
 )
 TRIM = " ;,，。"
 #: A space that doesn't stay between two tokens.
-GLUED = r"(?<=[\x{4e00}-\x{9fff}(\[{/\-]) | (?=[\x{4e00}-\x{9fff},.!?;:%)\]}])"
+GLUED = r" (?:(?=[\x{4e00}-\x{9fff},.!?;:%)\]}])|(?<=[\x{4e00}-\x{9fff}(\[{/\-] ))"
 
 
 def strip(x: Column) -> Column:
