@@ -44,6 +44,10 @@ def release() -> None:
         pass
 
 
+def _in_one_process(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -53,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if path is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        if not _in_one_process(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(context, "_quillspar_dir", None)
         if path is None:
@@ -92,8 +96,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def tidy(spark: SparkSession) -> None:
     """Let the driver find the shuffles that no plan refers to any more: their files go from the executors' disks once it does.
 
-    What has just ended is referred to by objects that the first collection frees, so there are two.
+    What has just ended is referred to by objects that the first collection frees, so there are two. Where all runs in this process that is left to time.
     """
+    if _in_one_process(spark):
+        return
     for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
