@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import hash_texts, hash_windows, id_blocks, order, owners, pack, slices, text_blocks, unpack
-from .common import only, release
+from .common import only, release, trimmed
 
 WINDOW = 13
 #: Suffixes of a prefix group, about as many as a task holds.
 GROUP = 1 << 20
+#: Blocks are half of other operators', as some twenty numbers are held for each word.
+_SHARE = 2
 #: Depth of the upper nodes of a group's tree, in words.
 UPPER = 4
 
@@ -139,7 +141,7 @@ def strip_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tuple[list[str], str | None] | None, schema) -> DataFrame:
     """remove_repeats, or strip_repeats if ``whole`` names the columns to return and the one for the length."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = text_blocks(slim, "text")
+    n = text_blocks(slim, "text", _SHARE)
     block, wide = id_blocks(slim, "id", "text", n)
     prefixes = count_prefixes(slim, window)
     slim = slim.withColumn("block", block)
@@ -237,9 +239,9 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, whole: tu
             table = table.set_column(at, length, pc.if_else(shorter, pc.utf8_length(texts).cast(kind), table.column(length)))
         return table.select(columns)
 
-    sent = slim.groupBy("block").applyInArrow(send, "part int, block int, high binary, low binary")
-    answers = sent.groupBy("part").applyInArrow(answer, "block int, part int, places binary")
-    return full.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
+    sent = slim.groupBy("block").applyInArrow(trimmed(send), "part int, block int, high binary, low binary")
+    answers = sent.groupBy("part").applyInArrow(trimmed(answer), "block int, part int, places binary")
+    return full.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trimmed(apply), schema)
 
 
 def count_prefixes(docs: DataFrame, window: int, most: int = GROUP) -> Prefixes:

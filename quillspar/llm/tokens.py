@@ -251,7 +251,7 @@ class Encoder:
         return lengths, out
 
 
-def pieces(column: pa.ChunkedArray | pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def pieces(column: pa.ChunkedArray | pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) in runs of about ``limit`` bytes."""
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.cumsum(pc.binary_length(whole).fill_null(0).to_numpy(zero_copy_only=False))
