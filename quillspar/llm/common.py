@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +87,45 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    hand_back(df.sparkSession)
+    return out
+
+
+#: Seconds between two collections of the driver's garbage, at least.
+PAUSE = 5.0
+
+
+def hand_back(spark: SparkSession) -> None:
+    """Let the driver give its free memory back to the machine, and collect its garbage if that wasn't done a moment ago. Where all runs in this process that is left to time.
+
+    Loops of many small jobs leave plans, task records and compiled code behind. Without this the heap grows to its limit before it is
+    collected, and what native code has freed stays with the process besides.
+    """
+    context = spark.sparkContext
+    if _in_one_process(spark):
+        return
+    if time.monotonic() - getattr(context, "_quillspar_collected", -PAUSE) >= PAUSE:
+        context._jvm.System.gc()
+        release()
+        context._quillspar_collected = time.monotonic()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Hand back what the driver's JVM has freed of its native memory; whether it could."""
+    jvm, make = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        find = jvm.java.lang.Class.forName
+        kinds, values = make(jvm.java.lang.Class, 4), make(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = find(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        find("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(beans, values)
+    except Py4JError:  # a JVM or a machine without this command
+        return False
+    return True
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -119,6 +158,7 @@ def tidy(spark: SparkSession) -> None:
     for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
+    trim(spark)
 
 
 #: Rows of a side of a join, of some 20 bytes each, that are broadcast at most.

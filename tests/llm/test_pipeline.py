@@ -1,10 +1,11 @@
 import random
+import tempfile
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quillspar.llm import decontamination, simhash, substring, toxicity
+from quillspar.llm import common, decontamination, simhash, substring, toxicity
 from quillspar.llm.decontamination import op8_decontamination
 from quillspar.llm.simhash import keep_one, near_copies
 from quillspar.llm.substring import strip_repeats
@@ -175,3 +176,17 @@ def test_pipeline_with_odd_rows_and_none(spark, tmp_path):
         pieces.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in p) <= 1024 for p in pieces.values())
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_driver_hands_memory_back_between_steps(spark, monkeypatch):
+    """Garbage is collected once in PAUSE at most, native memory handed back after each step; both really run."""
+    assert common.trim(spark)
+    steps = []
+    monkeypatch.setattr(common, "_in_one_process", lambda s: False)
+    monkeypatch.setattr(common, "shared_dir", lambda s: None)
+    monkeypatch.setattr(common, "release", lambda: steps.append("collected"))
+    monkeypatch.setattr(common, "trim", lambda s: steps.append("trimmed"))
+    spark.sparkContext._quillspar_collected = -common.PAUSE
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    assert common.cut(common.cut(spark.range(5))).count() == 5
+    assert steps == ["collected", "trimmed", "trimmed"]
