@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import new_path, only, remove, stored
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 14
@@ -40,7 +40,7 @@ def has_letter(text: str | None) -> bool:
 
 
 def code_matrix(classes: int) -> np.ndarray:
-    """Codewords of +-1, a row per class. Up to 7 classes: every split of the classes; else the best of some random codes."""
+    """Codewords of +-1, a row per class. Up to 7 classes: every split of the classes; up to 512: the best of some random codes; else the first whose codewords all differ."""
     if classes <= 7:
         splits = range((1 << max(classes - 1, 0)) - 1)
         return np.array([[1] * len(splits)] + [[1 if s >> k & 1 else -1 for s in splits] for k in range(classes - 1)], dtype=np.int8)
@@ -49,6 +49,10 @@ def code_matrix(classes: int) -> np.ndarray:
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], dtype=np.int8), (classes, length))
         code = code[:, np.abs(code.sum(axis=0)) < classes]
+        if classes > 512:  # all pairs would be too many, and codes of this length are far apart
+            if len(np.unique(code, axis=0)) == classes:
+                return code
+            continue
         far = (code.shape[1] - code.astype(np.int32) @ code.T) // 2
         np.fill_diagonal(far, 1 << 30)
         if far.min() > most:
@@ -84,38 +88,57 @@ class Model:
         return self.languages[order[0]], float(share[order[0]]), bool(share[order[0]] < 2 * share[order[1]])
 
 
-#: Languages that a model learns, at most: the most frequent ones.
-CLASSES = 64
+#: Languages whose counts the driver sets up the classifiers from, and a task holds at a time; those of more are made on the executors.
+DENSE = 64
 
 
-def train(df: DataFrame, text: str = "text", label: str = "lang", classes: int = CLASSES) -> Model:
+def train(df: DataFrame, text: str = "text", label: str = "lang", classes: int | None = None) -> Model:
     """Count the n-grams of every labelled row by language, on the executors, and set up the bits' classifiers.
 
     A bit's classifier is the log odds of an n-gram under the languages coded +1 against those coded -1, each language having
-    equal weight. A bit counts by how far apart it sets the languages on average. The driver gets at most a number per language and slot, for the
-    ``classes`` languages of most rows (ties: first by name).
+    equal weight. A bit counts by how far apart it sets the languages on average. Every language is learned, or the ``classes`` of most rows
+    (ties: first by name) if that is given. The driver gets a number per language and slot for up to DENSE languages, and beyond that a number per
+    bit and slot, bits growing with the logarithm of the languages.
     """
-    slots = SLOTS * len(ORDERS)
     rows = only(df, text=text, lang=label).where("text is not null and lang is not null")
-    learned = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(classes).collect()]
+    if classes is not None:
+        learned = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(classes).collect()]
+        rows = rows.where(F.col("lang").isin(*learned) if learned else F.lit(False))
+    found = rows.mapInArrow(_count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return _dense_model(found) if rows.select("lang").distinct().count() <= DENSE else _spread_model(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for t, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-                if has_letter(one := t.as_py()):
-                    have = counts.setdefault(lang, np.zeros(slots, dtype=np.int64))
-                    for found in ngram_slots(one):
-                        have += np.bincount(found, minlength=slots)
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, slot, n) of the n-grams of the batches; a language may come several times."""
+    slots, counts = SLOTS * len(ORDERS), {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
         for lang, have in counts.items():
             some = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(have[some])], ["lang", "slot", "n"])
+        counts.clear()
+
+    for batch in batches:
+        for t, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            if has_letter(one := t.as_py()):
+                if lang not in counts and len(counts) == DENSE:
+                    yield from rows()
+                have = counts.setdefault(lang, np.zeros(slots, dtype=np.int64))
+                for found in ngram_slots(one):
+                    have += np.bincount(found, minlength=slots)
+    yield from rows()
+
 
-    counted = rows.where(F.col("lang").isin(*learned) if learned else F.lit(False)).mapInArrow(run, "lang string, slot int, n bigint")
-    found = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+def _single(languages: list[str]) -> Model:
+    return Model(languages, np.zeros((len(languages), 0), dtype=np.int8), np.zeros(0), np.zeros((SLOTS * len(ORDERS), 0), dtype=np.float32))
+
+
+def _dense_model(counted: DataFrame) -> Model:
+    """The model of counts (lang, slot, n), set up in the driver."""
+    slots, found = SLOTS * len(ORDERS), counted.toPandas()
     languages = sorted(found["lang"].unique())
     if len(languages) < 2:
-        return Model(languages, np.zeros((len(languages), 0), dtype=np.int8), np.zeros(0), np.zeros((slots, 0), dtype=np.float32))
+        return _single(languages)
     counts = np.zeros((len(languages), slots))
     counts[found["lang"].map(languages.index).to_numpy(), found["slot"].to_numpy()] = found["n"].to_numpy()
     share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * slots)
@@ -126,6 +149,49 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", classes: int =
     return Model(languages, code, apart / max(apart.mean(), 1e-9), odds.T.astype(np.float32))
 
 
+def _spread_model(counted: DataFrame) -> Model:
+    """The same model for any number of languages: the log odds are made by slot and the weights by language, on the executors."""
+    spark, slots = counted.sparkSession, SLOTS * len(ORDERS)
+    place = new_path(spark, "grams")
+    grams = stored(counted, place)
+    sums = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row per language, as the model has
+    languages = sorted(sums)
+    if len(languages) < 2:
+        remove(spark, place)
+        return _single(languages)
+    code = code_matrix(len(languages))
+    total = np.array([sums[x] for x in languages]) + 0.5 * slots
+    shared = spark.sparkContext.broadcast(({x: k for k, x in enumerate(languages)}, code, total))
+
+    def log_odds(at: np.ndarray, n: np.ndarray, code: np.ndarray, total: np.ndarray) -> np.ndarray:
+        means = [(((code == side) * (0.5 / total)[:, None]).sum(axis=0) + ((code[at] == side) * (n / total[at])[:, None]).sum(axis=0)) / (code == side).sum(axis=0) for side in (1, -1)]
+        return np.log(means[0]) - np.log(means[1])
+
+    def by_slot(table: pa.Table) -> pa.Table:
+        place_of, code, total = shared.value
+        at = np.array([place_of[x] for x in table.column("lang").to_pylist()])
+        odds = log_odds(at, table.column("n").to_numpy(), code, total)
+        return pa.table({"slot": table.column("slot").slice(0, 1), "odds": pa.array([odds.tobytes()], pa.binary())})
+
+    made = grams.groupBy("slot").applyInArrow(by_slot, "slot int, odds binary").toArrow()
+    nothing = np.zeros(0, dtype=np.int64)
+    odds = np.tile(log_odds(nothing, nothing, code, total), (slots, 1))
+    for slot, row in zip(made.column("slot").to_pylist(), made.column("odds"), strict=True):
+        odds[slot] = np.frombuffer(row.as_buffer())
+    table_of = spark.sparkContext.broadcast((odds, odds.sum(axis=0)))
+
+    def by_language(table: pa.Table) -> pa.Table:
+        (place_of, code, total), (odds, whole) = shared.value, table_of.value
+        k = place_of[table.column("lang")[0].as_py()]
+        mean = (0.5 * whole + table.column("n").to_numpy() @ odds[table.column("slot").to_numpy()]) / total[k]
+        return pa.table({"apart": pa.array([(code[k] * mean).clip(0)], pa.list_(pa.float64()))})
+
+    rows = grams.groupBy("lang").applyInArrow(by_language, "apart array<double>").select(F.posexplode("apart").alias("bit", "apart"))
+    apart = np.array([r.apart for r in rows.groupBy("bit").agg(F.avg("apart").alias("apart")).orderBy("bit").collect()])
+    remove(spark, place)
+    return Model(languages, code, apart / max(apart.mean(), 1e-9), odds.astype(np.float32))
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row (id, lang_pred, score, ambiguous) from its whole text alone.
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -127,3 +128,29 @@ def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(60)], "doc_id long, toxic boolean")
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
     assert [r.toxic for r in toxicity.classify(docs.limit(2), toxicity.train(docs, labels, ["toxic"])).collect()] == [False] * 2
+
+
+def test_language_learns_every_language(spark):
+    """Languages beyond those that the driver holds are learned too, rare ones like any other."""
+    draws = [random.Random(k) for k in range(70)]
+    rows = [(" ".join("".join(draws[k].choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)), f"l{k:02}") for k in range(70) for _ in range(1 if k else 3)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 70 > language.DENSE
+    assert [model.predict(text)[0] for text, _ in rows] == [lang for _, lang in rows]
+
+
+def test_language_models_are_alike(spark, monkeypatch):
+    texts = [("the of and is it", "en"), ("der die das und", "de"), ("le la les et", "fr"), ("and the it of", "en"), ("und der das", "de"), ("12 34", "no letter"), (None, "null")]
+    texts += [(f"word{chr(97 + k) * 3} other{chr(110 + k) * 2}", f"x{k}") for k in range(8)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    dense = language.train(df)
+    monkeypatch.setattr(language, "DENSE", 1)
+    spread = language.train(df)
+    assert spread.languages == dense.languages and len(dense.languages) == 11
+    assert (spread.code == dense.code).all()
+    assert np.allclose(spread.weights, dense.weights, atol=1e-5) and np.allclose(spread.bit_weights, dense.bit_weights, atol=1e-9)
+
+
+def test_codewords_of_many_languages_differ():
+    code = language.code_matrix(2000)
+    assert len(np.unique(code, axis=0)) == 2000 and (np.abs(code.astype(int).sum(axis=0)) < 2000).all()
