@@ -45,10 +45,13 @@ def transitions(files: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Files (file_id, file_path, status, phase, message, error) with the outcomes (file_id, outcome, failure) of those that were handled.
 
     An outcome is imported, updated, skipped, failed or interrupted. Success clears the error; a failure is told by its class; an interrupted file is pending again; files
-    without an outcome stay as they are.
+    without an outcome stay as they are. Outcomes may have a ``kind``, the name of what failed (as 'timeout'), whose class goes before that of the message, as messages
+    quote names and numbers of files.
     """
-    rows = files.join(outcomes.select("file_id", "outcome", "failure"), "file_id", "left")
-    o, told = F.col("outcome"), reports.error_class(F.coalesce("failure", F.lit("")), F.coalesce(F.nullif("phase", F.lit("")), F.lit(reports.HANDLING)))
+    kind = F.col("kind") if "kind" in outcomes.columns else F.lit(None).cast("string")
+    rows = files.join(outcomes.select("file_id", "outcome", "failure", kind.alias("failure_kind")), "file_id", "left")
+    told = reports.error_class(F.coalesce("failure", F.lit("")), F.coalesce(F.nullif("phase", F.lit("")), F.lit(reports.HANDLING)), F.col("failure_kind"))
+    o = F.col("outcome")
     good = o.isin(*reports.SUCCESS)
     status = F.when(o == "interrupted", "pending").when(o.isNotNull(), o).otherwise(F.col("status"))
     phase = F.when(good, DONE).when(o == "interrupted", STOPPED).otherwise(F.col("phase"))

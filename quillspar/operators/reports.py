@@ -93,14 +93,20 @@ def recover_files(files: DataFrame, interrupted: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("lost") & (F.col("status") == "processing"), "pending").otherwise(F.col("status"))).drop("lost")
 
 
-def error_class(message: Column, phase: Column) -> Column:
-    """The message under the heading of the first class with one of its words in it."""
-    low, out = F.lower(message), None
-    for heading, words in ERRORS:
-        hit = low.rlike("|".join(words))
-        hit = hit | phase.contains(PARSING) if heading == "文档解析失败" else hit
-        out = F.when(hit, heading) if out is None else out.when(hit, heading)
-    out = out.otherwise(F.concat(F.coalesce(F.nullif(phase, F.lit("")), F.lit(HANDLING)), F.lit(FAILED)))
+def error_class(message: Column, phase: Column, kind: Column | None = None) -> Column:
+    """The message under the heading of the first class with one of its words in it, or of its kind's class, if that is given and has one."""
+
+    def heading(text: Column, parsing: Column) -> Column:
+        low, out = F.lower(text), None
+        for heading, words in ERRORS:
+            hit = low.rlike("|".join(words))
+            hit = hit | parsing if heading == "文档解析失败" else hit
+            out = F.when(hit, heading) if out is None else out.when(hit, heading)
+        return out
+
+    out = heading(message, phase.contains(PARSING)).otherwise(F.concat(F.coalesce(F.nullif(phase, F.lit("")), F.lit(HANDLING)), F.lit(FAILED)))
+    if kind is not None:
+        out = F.coalesce(heading(kind, F.lit(False)), out)
     return F.concat(out, F.lit("："), message)
 
 
