@@ -6,7 +6,7 @@ import pytest
 from quillspar.plans import records
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["file_transitions", "file_events"]
+NAMES = ["file_transitions", "file_events", "failed_rows"]
 
 
 @pytest.mark.parametrize("name", NAMES)
