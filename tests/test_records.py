@@ -6,7 +6,7 @@ import pytest
 from quillspar.plans import records
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["file_transitions", "file_events", "failed_rows"]
+NAMES = ["file_transitions", "file_events", "failed_rows", "import_report"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -17,3 +17,9 @@ def test_query_by_sql(spark, name):
     df = records.QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({records.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+def test_import_report_without_failures(spark, monkeypatch):
+    none = spark.createDataFrame([(1, "/a", "imported", None)], "file_id long, file_path string, status string, error string")
+    monkeypatch.setattr(records, "_handled", lambda *a: (none, None))
+    assert tuple(records.import_report(spark, SF).first()) == (1, 1, 0, 0, 0, 0, None)
