@@ -114,11 +114,11 @@ def report(files: DataFrame) -> DataFrame:
 
 
 def session_log(jobs: DataFrame, files: DataFrame) -> DataFrame:
-    """(job_id, entry): each job's entry in the session log, with its failed files by path. Jobs hold their counters."""
+    """(job_id, entry): each job's entry in the session log, with its failed files by path, those of one path by error (none: last). Jobs hold their counters."""
     name = F.regexp_extract("file_path", "([^/]*)$", 1)
     why = F.coalesce(F.nullif("error", F.lit("")), F.nullif("message", F.lit("")), F.lit("未知"))
     line = F.concat(F.lit("    ["), name, F.lit("] "), F.col("file_path"), F.lit("\n      原因: "), why)
-    failed = files.where("status = 'failed'").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("file_path", line.alias("line")))).alias("failed_files"))
+    failed = files.where("status = 'failed'").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("file_path", F.col("error").isNull().alias("none"), "error", line.alias("line")))).alias("failed_files"))
     rows = jobs.join(failed, "job_id", "left")
     shown = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
     pairs = [("任务ID   ", F.col("job_id").cast("string")), ("目录     ", F.col("source_path")), ("开始时间 ", shown("started_at")), ("结束时间 ", shown("finished_at")), ("状态     ", F.col("status"))]

@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
+from quillspar.operators import progress
 from quillspar.plans import records
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["file_transitions", "file_events", "failed_rows", "import_report"]
+NAMES = ["file_transitions", "file_events", "failed_rows", "import_report", "session_log"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -23,3 +24,10 @@ def test_import_report_without_failures(spark, monkeypatch):
     none = spark.createDataFrame([(1, "/a", "imported", None)], "file_id long, file_path string, status string, error string")
     monkeypatch.setattr(records, "_handled", lambda *a: (none, None))
     assert tuple(records.import_report(spark, SF).first()) == (1, 1, 0, 0, 0, 0, None)
+
+
+def test_session_log_orders_failures_of_one_path(spark):
+    files = spark.createDataFrame([(1, "/b", "failed", None, "old"), (1, "/b", "failed", "zeta", "m"), (1, "/b", "failed", "alpha", "m"), (1, "/a", "failed", None, "first")], "job_id long, file_path string, status string, error string, message string")
+    jobs = spark.createDataFrame([(1, "/c", "failed", None, None, 0, 0, 0, 0, 4)], "job_id long, source_path string, status string, started_at timestamp, finished_at timestamp, imported int, updated int, skipped int, deleted int, failed int")
+    entry = progress.session_log(jobs, files).first().entry
+    assert [x.split(": ")[1] for x in entry.splitlines() if "原因" in x] == ["first", "alpha", "zeta", "old"]
