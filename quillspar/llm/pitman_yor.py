@@ -101,8 +101,11 @@ def _seat_many(keys: np.ndarray, c: np.ndarray, weight: np.ndarray, discount: fl
         step = max(1, (1 << 19) // width)
         for at in range(0, len(of), step):
             some = of[at : at + step]
-            p = ratios[c[some]] - ways + t * np.log(x[some])[:, None]
-            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
+            p = ratios[c[some]]
+            p -= ways
+            p += t * np.log(x[some])[:, None]
+            p -= p.max(axis=1, keepdims=True)
+            np.cumsum(np.exp(p, out=p), axis=1, out=p)
             found[some] = 1 + (p[:, :-1] < (u[some] * p[:, -1])[:, None]).sum(axis=1)
     return found + extra
 
@@ -167,6 +170,15 @@ def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0xA0761D6478BD642F) + mix(keys))
 
 
+def places(size: int, *of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rising numbers under ``size`` that are in any of the arrays, and for each array the places of its own among them."""
+    have = np.zeros(size, dtype=bool)
+    for some in of:
+        have[some] = True
+    place = np.cumsum(have) - 1
+    return (np.flatnonzero(have), *(place[some] for some in of))
+
+
 def gamma(keys: np.ndarray, shape: np.ndarray, *place: int) -> np.ndarray:
     """Gamma numbers of unit scale by rejection (Marsaglia and Tsang); as uniform, they depend on the keys and the place alone."""
     shape = np.broadcast_to(np.asarray(shape, dtype=np.float64), keys.shape)
@@ -360,8 +372,7 @@ class Model:
         ``seen`` has customers, tables in the root, and tables of its own restaurant for each word. Given the root's measure and a gamma number for each
         restaurant, dishes are independent of one another, so any block draws them alike and all at a time, and yet each draw is an exact Gibbs step.
         """
-        used, at = np.unique(np.concatenate((pair_word, pair_context)), return_inverse=True)
-        pair_word, pair_context = np.split(at, 2)
+        used, pair_word, pair_context = places(len(words), pair_word, pair_context)
         words, (customers, tables, own) = words[used], seen[:, used]
         _, _, measure, rest = self.rounds[turn][sample]
         share = (self.measure(words, customers, tables, turn, sample) + rest / (self.v + 1)) / (measure + rest)

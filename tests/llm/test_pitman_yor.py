@@ -168,3 +168,12 @@ def test_many_customers_follow_the_same_law():
     assert abs(tables.mean() - 1 - 5 / 0.7) < 0.06 and abs(tables.var() - 5 / 0.7) < 0.3
     tables = [py.seat(keys, np.full(n, c), np.full(n, 60.0), 0.6, 1).mean() for c in (py.LARGE, py.LARGE + 1, 2 * py.LARGE)]
     assert abs(tables[1] - tables[0]) < 0.2 and 0 <= tables[2] - tables[0] < 3
+
+
+def test_places_are_those_of_a_sorted_search():
+    draw = np.random.default_rng(4)
+    for size, n, m in ((1, 3, 1), (50, 20, 30), (1000, 0, 40), (9, 0, 0)):
+        a, b = draw.integers(0, size, n), draw.integers(0, size, m)
+        used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        found = py.places(size, a, b)
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(found, (used, *np.split(at, [n])), strict=True))
