@@ -38,6 +38,11 @@ def release() -> None:
     if _HELD:
         _HELD.clear()
         gc.collect()
+    give_free()
+
+
+def give_free() -> None:
+    """Hand this process' free memory back to the machine."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -161,6 +166,19 @@ def tidy(spark: SparkSession) -> None:
     trim(spark)
 
 
+def empty_executors(spark: SparkSession) -> None:
+    """Let the executors collect their garbage, so that their heaps shrink to what is in use. Where all runs in this process that is left to time.
+
+    A heap that has grown to its limit stays there, and what Python workers take comes on top. There is a task for each core, so that idle
+    executors have one at least; what the first collection frees is handed back by the second.
+    """
+    if _in_one_process(spark):
+        return
+    cores = spark.sparkContext.defaultParallelism
+    for _ in range(2):
+        spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 #: Rows of a side of a join, of some 20 bytes each, that are broadcast at most.
 BROADCAST_ROWS = 500_000
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only
+from .common import give_free, only
 from .tokens import END, VOCABULARY, crc32, encoder, pieces
 
 WINDOW = 1024
@@ -99,8 +99,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """Encode every row's text (null: empty) with an end id and lay the ids into sequences of at most ``window``.
 
     One row per piece: (id, start in its document, length, ids_crc32, doc_tokens, sequence_id, offset in the sequence), and the piece's
-    ids if ``with_ids``. Rows are encoded and packed where they are read, GROUP at a time (fewer if long), without a shuffle: memory is bounded by a group,
-    and a task that runs again packs the same rows anew. Every id lies in one piece; offsets have no gaps.
+    ids if ``with_ids``. Rows are encoded and packed where they are read, GROUP at a time (fewer if long), without a shuffle: memory is bounded by a group
+    (what is free after it goes back to the machine), and a task that runs again packs the same rows anew. Every id lies in one piece; offsets have no gaps.
     Null or repeated row ids do no harm, an empty table gives no pieces, and only the two named columns are read.
     """
     docs = only(df, id=id_col, text=text_col)
@@ -140,6 +140,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                         ids.clear()
                         parts.clear()
                         held = 0
+                        give_free()
         if parts:
             yield flush()
 

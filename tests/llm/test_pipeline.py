@@ -3,9 +3,10 @@ import tempfile
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from quillspar.llm import common, decontamination, simhash, substring, toxicity
+from quillspar.llm import common, decontamination, packing, simhash, substring, toxicity
 from quillspar.llm.decontamination import op8_decontamination
 from quillspar.llm.simhash import keep_one, near_copies
 from quillspar.llm.substring import strip_repeats
@@ -190,3 +191,41 @@ def test_driver_hands_memory_back_between_steps(spark, monkeypatch):
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     assert common.cut(common.cut(spark.range(5))).count() == 5
     assert steps == ["collected", "trimmed", "trimmed"]
+
+
+def test_executors_hand_memory_back_before_each_stage(spark, monkeypatch):
+    """On a cluster each stage begins with a collection of the executors' garbage (here the one JVM's); on a local master nothing is collected."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collected = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = collected()
+    common.empty_executors(spark)
+    assert collected() == before
+    monkeypatch.setattr(common, "_in_one_process", lambda s: False)
+    common.empty_executors(spark)
+    assert collected() > before
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "empty_executors", lambda s: begun.append(s))
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    assert dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF).count() == 1 and begun == [spark]
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+
+
+def test_packing_hands_memory_back_after_each_group(monkeypatch):
+    class Rows:
+        dtypes = [("id", "bigint")]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    freed = []
+    monkeypatch.setattr(packing, "only", lambda *a, **k: Rows())
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(packing, "give_free", lambda: freed.append(1))
+    monkeypatch.setattr(packing, "GROUP", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["a few words"] * 9)], ["id", "text"])
+    out = list(packing.pack(None)(iter([batch])))
+    assert len(out) == 3 and len(freed) == 2 and sorted({i for b in out for i in b.column("id").to_pylist()}) == list(range(9))
