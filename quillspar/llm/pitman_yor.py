@@ -81,6 +81,24 @@ def _ratios(discount: float, width: int) -> np.ndarray:
     return out
 
 
+def _reach(width: int) -> float:
+    """A weight / discount up to which more than ``width`` tables have a chance under 2**-56: less than the rounding of the sums, so rows cut there draw the same.
+
+    Tables less one are a Poisson number of this mean, weighted by what falls with it, so Chernoff's bound of that number's tail is one of theirs.
+    """
+    low, high = 0.0, float(width)
+    for _ in range(60):
+        x = (low + high) / 2
+        low, high = (x, high) if x > 0 and width - x + width * math.log(x / width) < -56 * math.log(2) else (low, x)
+    return low
+
+
+#: Widths of the rows that dishes of more than SMALL customers are drawn from, four an octave, how far each reaches, and the cells worked on at a time.
+_WIDTHS = [f << k for k in range(9) for f in (4, 5, 6, 7)] + [LARGE]
+_REACH = [_reach(w) for w in _WIDTHS[:-1]]
+_CELLS = 1 << 16
+
+
 def _seat_many(keys: np.ndarray, c: np.ndarray, weight: np.ndarray, discount: float, sample: int) -> np.ndarray:
     """Tables of dishes of more than SMALL customers; see seat."""
     x, extra = np.maximum(weight, 1e-300) / discount, np.zeros(len(c), dtype=np.int64)
@@ -93,15 +111,18 @@ def _seat_many(keys: np.ndarray, c: np.ndarray, weight: np.ndarray, discount: fl
     c = np.minimum(c, LARGE)
     found = np.empty(len(c), dtype=np.int64)
     u = uniform(keys, sample, 0, 0)
-    widths = np.minimum(LARGE, 64 * 4 ** np.ceil(np.maximum(0, np.log(np.minimum(c, x + 10 * np.sqrt(x) + 40) / 64) / np.log(4))).astype(np.int64))
-    for width in np.unique(widths).tolist():
-        of = np.flatnonzero(widths == width)
-        t = np.arange(width)
-        ratios, ways = _ratios(discount, width), np.array([math.lgamma(y + 1) for y in t.tolist()])
-        step = max(1, (1 << 19) // width)
+    size = np.minimum(np.searchsorted(_REACH, x), np.searchsorted(_WIDTHS, c)).astype(np.uint8)
+    by_size = np.argsort(size, kind="stable")
+    ends = np.cumsum(np.bincount(size, minlength=len(_WIDTHS))).tolist()
+    for width, first, end in zip(_WIDTHS, [0, *ends[:-1]], ends, strict=True):
+        if first == end:
+            continue
+        of, t = by_size[first:end], np.arange(width)
+        ratios, ways = _ratios(discount, min(LARGE, 64 * 4 ** max(0, math.ceil(math.log(width / 64, 4))))), np.array([math.lgamma(y + 1) for y in t.tolist()])
+        step = max(1, _CELLS // width)
         for at in range(0, len(of), step):
             some = of[at : at + step]
-            p = ratios[c[some]]
+            p = ratios[c[some], :width]
             p -= ways
             p += t * np.log(x[some])[:, None]
             p -= p.max(axis=1, keepdims=True)
@@ -127,8 +148,9 @@ def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: flo
         return tables
     k, c, a = keys[some], counts[some], weight[some]
     found, ways = np.ones(len(some), dtype=np.int64), arrangements(discount)
-    by_size = np.argsort(c, kind="stable")
-    sizes = c[by_size]
+    sizes = np.minimum(c, SMALL + 1).astype(np.uint8)  # sorted in one pass
+    by_size = np.argsort(sizes, kind="stable")
+    sizes = sizes[by_size]
     for size in range(2, SMALL + 1):
         at = by_size[np.searchsorted(sizes, size) : np.searchsorted(sizes, size, "right")]
         if not len(at):
@@ -140,7 +162,7 @@ def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: flo
             sums.append(total)
         drawn = uniform(k[at], sample, 0, 0) * total
         found[at] = 1 + sum((x < drawn).astype(np.int64) for x in sums[:-1])
-    big = np.flatnonzero(c > SMALL)
+    big = by_size[np.searchsorted(sizes, SMALL, "right") :]
     if len(big):
         found[big] = _seat_many(k[big], c[big], a[big], discount, sample)
     tables[some] = np.minimum(found, c)

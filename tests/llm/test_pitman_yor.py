@@ -170,6 +170,23 @@ def test_many_customers_follow_the_same_law():
     assert abs(tables[1] - tables[0]) < 0.2 and 0 <= tables[2] - tables[0] < 3
 
 
+def test_cut_rows_draw_what_whole_rows_draw(monkeypatch):
+    """Rows end where no more tables can be told from none by the sums' rounding: the same draws as from all LARGE numbers of tables, from far fewer cells."""
+    cells, exp, n, d = [], np.exp, 300, 0.7
+    monkeypatch.setattr(np, "exp", lambda x, **k: cells.append(np.size(x)) or exp(x, **k))
+    keys = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole, t = py._ratios(d, py.LARGE), np.arange(py.LARGE)
+    ways = np.array([math.lgamma(y + 1) for y in t.tolist()])
+    for x in (1e-6, 0.01, 0.5, 3.0, 12.0, 60.0, 900.0, 5000.0):
+        for c in (13, 100, py.LARGE):
+            p = whole[c] - ways + t * np.log(x * d / d)
+            p = np.cumsum(exp(p - p.max()))
+            cells.clear()
+            got = py.seat(keys, np.full(n, c), np.full(n, x * d), d, 1)
+            assert sum(cells) <= 1.25 * n * min(c, x + 9 * math.sqrt(x) + 20), (x, c, sum(cells) / n)
+            assert (got == np.minimum(c, 1 + np.searchsorted(p[:-1], py.uniform(keys, 1, 0, 0) * p[-1]))).all(), (x, c)
+
+
 def test_places_are_those_of_a_sorted_search():
     draw = np.random.default_rng(4)
     for size, n, m in ((1, 3, 1), (50, 20, 30), (1000, 0, 40), (9, 0, 0)):
