@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -142,31 +142,35 @@ def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: flo
     the losses of one chain are taken as independent of each other, which puts the tables added there at a Poisson number; the variance is then off by less
     than a share of tables * discount**2 / LARGE.
     """
-    tables = np.minimum(counts, 1)
-    some = np.flatnonzero(counts > 1)
-    if not len(some):
+    return Dishes(keys, counts).seat(weight, discount, sample)
+
+
+class Dishes:
+    """Dishes and their customers, sorted by these once for all chains; see seat."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.tables = np.minimum(counts, 1)
+        sizes = np.minimum(counts, SMALL + 1).astype(np.uint8)  # sorted in one pass
+        by_size = np.argsort(sizes, kind="stable")
+        edges = np.searchsorted(sizes[by_size], np.arange(2, SMALL + 2, dtype=np.uint8)).tolist()
+        self.small = [(size, at, keys[at]) for size, at in zip(range(2, SMALL + 1), np.split(by_size, edges)[1:-1], strict=True) if len(at)]
+        self.big = by_size[edges[-1] :]
+        self.big_keys, self.big_counts = keys[self.big], counts[self.big]
+
+    def seat(self, weight: np.ndarray, discount: float, sample: int) -> np.ndarray:
+        tables, ways = self.tables.copy(), arrangements(discount)
+        for size, at, keys in self.small:
+            a = weight[at]
+            total, power, sums = np.zeros(len(at)), np.ones(len(at)), []
+            for t in range(1, size + 1):
+                power = power * a
+                total = total + ways[size, t] * power
+                sums.append(total)
+            drawn = uniform(keys, sample, 0, 0) * total
+            tables[at] = 1 + sum((x < drawn).view(np.uint8) for x in sums[:-1])
+        if len(self.big):
+            tables[self.big] = np.minimum(_seat_many(self.big_keys, self.big_counts, weight[self.big], discount, sample), self.big_counts)
         return tables
-    k, c, a = keys[some], counts[some], weight[some]
-    found, ways = np.ones(len(some), dtype=np.int64), arrangements(discount)
-    sizes = np.minimum(c, SMALL + 1).astype(np.uint8)  # sorted in one pass
-    by_size = np.argsort(sizes, kind="stable")
-    sizes = sizes[by_size]
-    for size in range(2, SMALL + 1):
-        at = by_size[np.searchsorted(sizes, size) : np.searchsorted(sizes, size, "right")]
-        if not len(at):
-            continue
-        total, power, sums = np.zeros(len(at)), np.ones(len(at)), []
-        for t in range(1, size + 1):
-            power = power * a[at]
-            total = total + ways[size, t] * power
-            sums.append(total)
-        drawn = uniform(k[at], sample, 0, 0) * total
-        found[at] = 1 + sum((x < drawn).astype(np.int64) for x in sums[:-1])
-    big = by_size[np.searchsorted(sizes, SMALL, "right") :]
-    if len(big):
-        found[big] = _seat_many(k[big], c[big], a[big], discount, sample)
-    tables[some] = np.minimum(found, c)
-    return tables
 
 
 def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -388,18 +392,21 @@ class Model:
             found.append((customers, tables, measure, float(gamma(key, THETA_ROOT + self.root * tables, turn, s, 10)[0])))
         self.rounds.append(found)
 
-    def draw(self, turn: int, sample: int, words: np.ndarray, seen: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Tables of bigrams with more than one customer after sweep ``turn`` + 1, given what round ``turn`` has ``seen`` of the words.
+    def draws(self, turn: int, words: np.ndarray, seen: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+        """For each chain, tables of bigrams with more than one customer after sweep ``turn`` + 1, given what round ``turn`` has ``seen`` of the words.
 
-        ``seen`` has customers, tables in the root, and tables of its own restaurant for each word. Given the root's measure and a gamma number for each
-        restaurant, dishes are independent of one another, so any block draws them alike and all at a time, and yet each draw is an exact Gibbs step.
+        ``seen`` has for each chain customers, tables in the root, and tables of its own restaurant for each word. Given the root's measure and a gamma number
+        for each restaurant, dishes are independent of one another, so any block draws them alike and all at a time, and yet each draw is an exact Gibbs step.
         """
         used, pair_word, pair_context = places(len(words), pair_word, pair_context)
-        words, (customers, tables, own) = words[used], seen[:, used]
-        _, _, measure, rest = self.rounds[turn][sample]
-        share = (self.measure(words, customers, tables, turn, sample) + rest / (self.v + 1)) / (measure + rest)
-        scale = gamma(words, THETA / self.discount + own, turn, sample, 11)
-        return seat(pair_keys(words[pair_context], words[pair_word]), counts, self.discount * scale[pair_context] * share[pair_word], self.discount, (turn * self.samples + sample) * 2 + 1)
+        words = words[used]
+        dishes = Dishes(pair_keys(words[pair_context], words[pair_word]), counts)
+        for sample in range(self.samples):
+            customers, tables, own = seen[3 * sample : 3 * sample + 3, used]
+            _, _, measure, rest = self.rounds[turn][sample]
+            share = (self.measure(words, customers, tables, turn, sample) + rest / (self.v + 1)) / (measure + rest)
+            scale = gamma(words, THETA / self.discount + own, turn, sample, 11)
+            yield dishes.seat(self.discount * scale[pair_context] * share[pair_word], self.discount, (turn * self.samples + sample) * 2 + 1)
 
     def root_probability(self, sample: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The root's predictive probabilities after the last round."""
@@ -494,8 +501,7 @@ def _sweep(model: Model, parts: int) -> Callable:
         words = unpack(state.column("keys")[0].as_py())
         pair_word, pair_context, counts = _from_planes(state.column("counts")[0].as_py())
         seen, values = _received(replies, OPEN), []
-        for s in range(model.samples):
-            tables = model.draw(turn, s, words, seen[3 * s : 3 * s + 3], pair_word, pair_context, counts)
+        for tables in model.draws(turn, words, seen, pair_word, pair_context, counts):
             values += [np.bincount(x, tables, len(words)).astype(np.int64) for x in (pair_word, pair_context)]
         return _table(_send(state.column("block")[0].as_py(), WORDS, words, values, parts), _ROW)
 
@@ -563,9 +569,9 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
         before, last = seen[: 3 * samples], seen[3 * samples :]
         many = np.flatnonzero(pair > 1)
         mean = np.zeros(len(pair))
-        for s in range(samples):
+        for s, drawn in enumerate(model.draws(len(model.rounds) - 2, tokens.words, before, tokens.pair_word[many], tokens.pair_context[many], pair[many])):
             tables = np.minimum(pair, 1)
-            tables[many] = model.draw(len(model.rounds) - 2, s, tokens.words, before[3 * s : 3 * s + 3], tokens.pair_word[many], tokens.pair_context[many], pair[many])
+            tables[many] = drawn
             customers, root, own = last[3 * s : 3 * s + 3]
             base = model.root_probability(s, customers, root)
             mean += (pair - model.discount * tables + (THETA + model.discount * own[tokens.pair_context]) * base[tokens.pair_word]) / (THETA + word[tokens.pair_context])

@@ -187,6 +187,20 @@ def test_cut_rows_draw_what_whole_rows_draw(monkeypatch):
             assert (got == np.minimum(c, 1 + np.searchsorted(p[:-1], py.uniform(keys, 1, 0, 0) * p[-1]))).all(), (x, c)
 
 
+def test_chains_share_their_dishes(monkeypatch):
+    """A block's bigrams are placed and keyed once for all chains, whose draws differ and stay the same when drawn again."""
+    calls, places = [], py.places
+    monkeypatch.setattr(py, "places", lambda *a: calls.append(1) or places(*a))
+    model = py.Model([900.0, 50.0, 20.0, 9.0, 900.0, 300.0, 200.0, 50.0], 3)
+    model.add_round([300.0, 60.0, 250.0] * 3 + [5.0])
+    words, counts = np.arange(1, 51, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 2 + np.arange(200) % 40
+    seen = np.tile([np.full(50, 6), np.full(50, 2), np.full(50, 5)], (3, 1))
+    first, again = (list(model.draws(0, words, seen, np.arange(200) % 50, np.arange(200) // 4, counts)) for _ in range(2))
+    assert len(calls) == 2 and len(first) == 3
+    assert all((x == y).all() and (x >= 1).all() and (x <= counts).all() for x, y in zip(first, again, strict=True))
+    assert (first[0] != first[1]).any() and (first[1] != first[2]).any()
+
+
 def test_places_are_those_of_a_sorted_search():
     draw = np.random.default_rng(4)
     for size, n, m in ((1, 3, 1), (50, 20, 30), (1000, 0, 40), (9, 0, 0)):
