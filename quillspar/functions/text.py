@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,13 +24,23 @@ NOT_MODEL_PREFIXES = (
     "id", "sn", "pn", "no", "nr",
 )
 TRIM = " ;,，。"
+#: All white space of Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: A space that doesn't stay between two tokens.
 GLUED = r" (?:(?=[\x{4e00}-\x{9fff},.!?;:%)\]}])|(?<=[\x{4e00}-\x{9fff}(\[{/\-] ))"
 
 
 def strip(x: Column) -> Column:
-    """The text without Unicode white space at its ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """The text without Unicode white space at its ends. As to look for every blank is slow, it is not done where visible ASCII characters are left at both ends without plain spaces."""
+    seen = lambda c: (c > " ") & (c < "\x7f")  # noqa: E731  by the first character
+    bare = F.trim(x)
+    return F.when(seen(bare) & seen(F.substring(bare, -1, 1)), bare).otherwise(F.btrim(x, F.lit(BLANKS)))
+
+
+def lines(x: Column) -> Column:
+    """The lines of a text, which any line end of Unicode parts. Splitting by a pattern makes the pattern anew for each row, so it is kept for texts that need it."""
+    odd = reduce(lambda a, b: a | b, [x.contains(c) for c in "\r\x0b\x0c\x85\u2028\u2029"])
+    return F.when(odd, F.split(x, r"\R")).otherwise(F.split(x, "\n"))
 
 
 def chunk_tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import TRIM, strip
+from .text import BLANKS, TRIM, strip
 
 # Fields and their labels; the first field with a label in the name wins, so the order counts.
 FIELDS = {
@@ -29,7 +29,7 @@ FIELDS = {
     "wavelength": ("波长", "Wavelength"),
 }
 VALUE = r"(?U)^([<>≤≥~±+\-]?\s*[\d.]+(?:\s*[-~]\s*[\d.]+)?)(\s*[^\d\s]+.*)?$"
-PAIR = r"(?U)^([^:：]{2,60})\s*[:：]\s*(.{1,180})$"
+COLONS = ":："
 TABLE_CONFIDENCE, PAIR_CONFIDENCE, CONFIRMED = 0.85, 0.80, 0.05
 
 
@@ -64,11 +64,19 @@ def unit_of(text: Column) -> Column:
     return F.nullif(strip(F.regexp_extract(strip(text), VALUE, 2)), F.lit(""))
 
 
-def pair_name(line: Column) -> Column:
-    """The label of a 'label: value' line of 4 to 300 characters, null for other lines."""
-    fits = F.length(line).between(4, 300) & line.rlike(PAIR)
-    return F.when(fits, strip(F.regexp_extract(line, PAIR, 1)))
+def colon(line: Column) -> Column:
+    """Where the first colon of a line is, from 1; null if there is none."""
+    return F.least(*[F.nullif(F.instr(line, c), F.lit(0)) for c in COLONS])
 
 
-def pair_value(line: Column) -> Column:
-    return F.btrim(F.regexp_extract(line, PAIR, 2), F.lit(TRIM))
+def pair(line: Column, head: Column, rest: Column) -> Column:
+    """(name, found): the label and the value of a 'label: value' line, null for other lines.
+
+    ``head`` and ``rest`` are what lies before and after the first colon; they should be columns. The line has no line end and no white space at its ends. A line has 4 to 300
+    characters, a label 2 to 60 (white space before the colon doesn't count beyond), a value up to 180.
+    """
+    bare = F.ltrim(rest)
+    value = F.when((bare > " ") & (bare < "\x7f"), bare).otherwise(F.ltrim(rest, F.lit(BLANKS)))
+    long = (F.length(head) > 60) & (F.length(F.rtrim(head, F.lit(BLANKS))) > 60)
+    fits = F.length(line).between(4, 300) & (F.length(head) >= 2) & ~long & F.length(value).between(1, 180)
+    return F.when(fits, F.struct(strip(head).alias("name"), F.btrim(value, F.lit(TRIM)).alias("found")))

@@ -11,26 +11,32 @@ from quillspar.functions import values as V
 MISSING, NO_SOURCE = "未找到", "未在已入库文档中找到依据"
 HEADING, SOURCE = "参数", "来源: "
 _ORDER = ("chunk_index", "kind", "line")
+#: Kinds of parameters.
+TABLE, PAIR = 0, 1
 
 
-def extract(chunks: DataFrame) -> DataFrame:
+def extract(chunks: DataFrame, kinds: tuple[int, ...] = (TABLE, PAIR)) -> DataFrame:
     """Parameters of (document_id, chunk_index, content, page_number) rows, every occurrence.
 
     Rows of Markdown tables (of two lines or more, rules left out) give their first two cells; 'label: value' lines give a pair. A chunk's table rows
-    come before its pairs. Labels of no known field and blank values give nothing.
+    come before its pairs. Labels of no known field and blank values give nothing. Only parameters of the given ``kinds`` are looked for.
     """
-    lines = F.transform(F.split("content", r"\R"), T.strip)
-    rows = chunks.select("document_id", "chunk_index", "page_number", lines.alias("lines"))
+    where = ("document_id", "chunk_index", "page_number")
+    rows = chunks.select(*where, F.transform(T.lines(F.col("content")), T.strip).alias("lines"))
     rows = rows.withColumn("table", F.size(F.filter("lines", lambda x: x.startswith("|"))) >= 2)
-    rows = rows.select("document_id", "chunk_index", "page_number", "table", F.posexplode_outer("lines").alias("line", "source_text"))
-    text = F.col("source_text")
-    cells = F.transform(F.split(F.regexp_replace(text, r"^\|+|\|+$", ""), r"\|", -1), T.strip)
-    rows = rows.withColumn("cells", F.when(F.col("table") & text.startswith("|") & ~text.contains("---"), cells))
-    from_table = F.struct(F.lit(0).alias("kind"), F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("found"), F.lit(V.TABLE_CONFIDENCE).alias("confidence"), V.folded(F.get("cells", F.lit(0))).alias("low"))
-    from_pair = F.struct(F.lit(1).alias("kind"), V.pair_name(text).alias("name"), V.pair_value(text).alias("found"), F.lit(V.PAIR_CONFIDENCE).alias("confidence"), V.folded(V.pair_name(text)).alias("low"))
-    both = rows.select("document_id", "chunk_index", "page_number", "line", "source_text", F.explode_outer(F.array(from_table, from_pair)).alias("p")).where("p.name <> '' and p.found <> ''")
+    rows = rows.select(*where, "table", F.posexplode_outer("lines").alias("line", "source_text"))
+    # columns of their own, so that no line is cut up twice
+    text, where = F.col("source_text"), (*where, "line", "source_text")
+    cells = F.split(F.regexp_replace(text, r"^\|+|\|+$", ""), r"\|", 3)  # the first two, and the rest
+    rows = rows.select(*where, F.when(F.col("table") & text.startswith("|") & ~text.contains("---"), cells).alias("cells"), V.colon(text).alias("colon"))
+    rows = rows.select(*where, "cells", F.substring(text, F.lit(1), F.col("colon") - 1).alias("head"), F.substring(text, F.col("colon") + 1, F.length(text)).alias("rest"))
+    rows = rows.select(*where, *[T.strip(F.get("cells", F.lit(k))).alias(f"cell{k}") for k in (0, 1)], V.pair(text, F.col("head"), F.col("rest")).alias("pair"))
+    named = {TABLE: (F.col("cell0"), F.col("cell1"), V.TABLE_CONFIDENCE), PAIR: (F.col("pair")["name"], F.col("pair")["found"], V.PAIR_CONFIDENCE)}
+    some = [F.when((name != "") & (found != ""), F.struct(F.lit(k).alias("kind"), name.alias("name"), found.alias("found"), F.lit(sure).alias("confidence"))) for k, (name, found, sure) in named.items() if k in kinds]
+    both = rows.select(*where, F.explode(F.array(*some)).alias("p")).where("p is not null").select(*where, "p.*")
+    both = both.withColumn("low", V.folded(F.col("name")))
     # a generator, through which the filter doesn't go, so that fields are looked up once
-    both = both.select("document_id", "chunk_index", "page_number", "line", "source_text", "p.*", F.explode_outer(F.array(V.field_in(F.col("p.low")))).alias("normalized_name")).where("normalized_name is not null")
+    both = both.select("*", F.explode_outer(F.array(V.field_in(F.col("low")))).alias("normalized_name")).where("normalized_name is not null")
     return both.select("document_id", *_ORDER, "name", "normalized_name", V.value_of(F.col("found")).alias("value"), V.unit_of(F.col("found")).alias("unit"), "source_text", "page_number", "confidence")
 
 

@@ -24,9 +24,12 @@ _SHEETS = (("kv-", 0, _LINES), ("kv-", 1, _LINES), ("tb-", 0, _TABLE))
 
 def sheets(spark, sf_dir: str) -> DataFrame:
     """(document_id, filename, chunk_index, content, page_number): the lines twice, and the table."""
-    part = D.table(spark, sf_dir, "part")
-    made = [part.selectExpr(f"'{a}' || CAST(p_partkey AS STRING) AS document_id", f"{k} AS chunk_index", f"{text} AS content", "p_size % 3 AS page_number") for a, k, text in _SHEETS]
-    return made[0].unionAll(made[1]).unionAll(made[2]).withColumn("filename", F.concat("document_id", F.lit(".txt")))
+    part = D.spread(D.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
+    each = part.select("*", F.explode(F.array(*[F.lit(k) for k in range(len(_SHEETS))])).alias("sheet"))
+    pick = lambda k: "CASE sheet " + " ".join(f"WHEN {n} THEN {s[k]}" for n, s in enumerate(_SHEETS)) + " END"
+    head = "CASE sheet " + " ".join(f"WHEN {n} THEN '{s[0]}'" for n, s in enumerate(_SHEETS)) + " END"
+    rows = each.selectExpr(f"{head} || CAST(p_partkey AS STRING) AS document_id", f"{pick(1)} AS chunk_index", f"{pick(2)} AS content", "p_size % 3 AS page_number")
+    return rows.withColumn("filename", F.concat("document_id", F.lit(".txt")))
 
 
 _SHEETS_SQL = "sheets_ AS (" + " UNION ALL ".join(f"SELECT '{a}' || p_partkey AS document_id, {k} AS chunk_index, {text} AS content, (p_size % 3)::INT AS page_number FROM part" for a, k, text in _SHEETS) + ")"
@@ -72,7 +75,7 @@ cells_ AS (SELECT f.normalized_name, m.model, coalesce(b.shown, '{parameters.MIS
 
 
 def kv_params(spark, sf_dir):
-    rows = parameters.extract(sheets(spark, sf_dir)).where("kind = 1")
+    rows = parameters.extract(sheets(spark, sf_dir), (parameters.PAIR,))
     return rows.select("document_id", "chunk_index", "line", "name", "normalized_name", "value", "unit", "source_text", "page_number", "confidence")
 
 

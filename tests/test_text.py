@@ -1,6 +1,8 @@
 """Expressions against their definitions in Python, with CJK text."""
 
+import random
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,3 +82,26 @@ def test_hashed_vectors(spark):
     want = [embedding.hashed_vector(t, 64) if t is not None else None for t in ["a b a", "", None, "Ä b"]]
     assert all((a is None and b is None) or np.allclose(a, b) for a, b in zip(got, want, strict=True))
     assert got[1] == [0.0] * 64
+
+
+def test_strip_and_lines_know_all_white_space(spark):
+    """As Java's patterns have it, from which Python's white space differs."""
+    java = [c for c in map(chr, range(1, 0xD800)) if c in "\t\n\x0b\x0c\r \x85" or unicodedata.category(c) in ("Zs", "Zl", "Zp")]
+    texts = [c + "a b" + c for c in map(chr, range(1, 0xD800))] + ["", " ", "　", "  x", "x\xa0 ", " é ", "\x1cx\x7f"]
+    assert column(spark, texts, T.strip) == [t.strip("".join(java)) for t in texts]
+    assert sorted(T.BLANKS) == sorted(java)
+    texts = ["a\nb\r\nc\rd", "a\x0bb\x0c", "a b \x85", "a\n\nb\n", "", "one"]
+    assert column(spark, texts, T.lines) == column(spark, texts, lambda c: F.split(c, r"\R"))
+
+
+def test_pairs_are_those_of_their_pattern(spark):
+    pattern = r"(?U)^([^:：]{2,60})\s*[:：]\s*(.{1,180})$"
+    draw = random.Random(5)
+    lines = ["".join(draw.choice("ab:： 　\xa0|;，é") for _ in range(draw.randint(0, 9))) for _ in range(3000)]
+    lines += ["a" * n + " " * m + ":" + " " * k + "v" * z for n in (1, 2, 59, 60, 61) for m in (0, 1, 60) for k in (0, 3) for z in (0, 1, 180, 181, 240)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "k int, v string").select("k", T.strip(F.col("v")).alias("v")).withColumn("colon", V.colon(F.col("v")))
+    df = df.withColumns({"head": F.substring("v", F.lit(1), F.col("colon") - 1), "rest": F.substring("v", F.col("colon") + 1, F.length("v"))})
+    fits = F.length("v").between(4, 300) & F.col("v").rlike(pattern)
+    name, found = (F.when(fits, x) for x in (T.strip(F.regexp_extract("v", pattern, 1)), F.btrim(F.regexp_extract("v", pattern, 2), F.lit(T.TRIM))))
+    rows = df.select("v", V.pair(F.col("v"), F.col("head"), F.col("rest")).alias("pair"), name.alias("name"), found.alias("found")).collect()
+    assert [(r.v, r.pair and tuple(r.pair)) for r in rows] == [(r.v, None if r.name is None else (r.name, r.found)) for r in rows] and sum(r.pair is not None for r in rows) > 400
