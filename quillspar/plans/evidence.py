@@ -80,7 +80,7 @@ def kv_params(spark, sf_dir):
 
 
 def table_params(spark, sf_dir):
-    rows = parameters.extract(sheets(spark, sf_dir)).where("kind = 0")
+    rows = parameters.extract(sheets(spark, sf_dir), (parameters.TABLE,))
     return rows.select("document_id", "chunk_index", "line", "name", "normalized_name", "value", "unit", "source_text", "page_number", "confidence")
 
 
