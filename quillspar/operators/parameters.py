@@ -64,10 +64,10 @@ def first_value(found: DataFrame, field: str) -> DataFrame:
 
 
 def with_model(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """Parameters with their document's model, which is its own or else the first one extracted."""
-    own = documents.select("document_id", "filename", F.col("sensor_model").alias("own"))
-    model = first_value(found, "model").withColumnRenamed("value", "extracted")
-    return found.join(own, "document_id").join(model, "document_id", "left").withColumn("sensor_model", F.coalesce("own", "extracted")).drop("own", "extracted")
+    """Parameters with their document's model, which is its own or else the first one extracted. It is looked for among a document's rows, so that nothing is extracted twice."""
+    own, hit = documents.select("document_id", "filename", F.col("sensor_model").alias("own")), F.col("normalized_name") == "model"
+    first = F.min_by(F.when(hit, F.col("value")), F.when(hit, F.struct(*_ORDER))).over(Window.partitionBy("document_id"))
+    return found.withColumn("extracted", first).join(own, "document_id").withColumn("sensor_model", F.coalesce("own", "extracted")).drop("own", "extracted")
 
 
 def backfill(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,3 +26,7 @@ def test_only_the_wanted_kind_is_looked_for(spark):
     for kind in (parameters.TABLE, parameters.PAIR):
         some, both = parameters.extract(rows, (kind,)), parameters.extract(rows).where(F.col("kind") == kind)
         assert some.count() == both.count() > 0 and some.exceptAll(both).isEmpty()
+
+
+def test_comparison_extracts_once(spark):
+    assert plan(evidence.compare_missing(spark, SF)).count("posexplode(") == 1
