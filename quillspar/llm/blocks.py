@@ -109,18 +109,23 @@ def text_blocks(df: DataFrame, text: str, parts: int = 1) -> int:
     return max(1, math.ceil(size * parts / BLOCK_BYTES))
 
 
-def _search(value: Column, bounds: list, first: int, make) -> Column:
-    if not bounds:
-        return make(first)
-    half = len(bounds) // 2
-    return F.when(value < F.lit(bounds[half]), _search(value, bounds[:half], first, make)).otherwise(_search(value, bounds[half + 1 :], first + half + 1, make))
+def _numbers(values: list, kind: str = "bigint") -> Column:
+    """An array of numbers as one literal, however many there are: a literal for each would swell the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _place(value: Column, bounds: Column, n: int) -> Column:
+    """How many of the ``n`` rising bounds a value isn't under, by halving."""
+    steps = [F.lit(1 << k) for k in reversed(range(n.bit_length()))]
+    return F.aggregate(F.array(*steps), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= value, at + step).otherwise(at)) if n else F.lit(0)
 
 
 def id_blocks(df: DataFrame, column: str, text: str, n: int) -> tuple[Column, list[tuple[int, int]]]:
     """A block number that rises with an integer id, null ids last, and the (first block, blocks) of ids that lie in several.
 
     Up to CELLS quantiles of the ids are found on the driver; beyond as many blocks, each cell is divided evenly. Rows of an id that fills more than a
-    cell, and rows of null id, are dealt over several blocks by a hash of their texts.
+    cell, and rows of null id, are dealt over several blocks by a hash of their texts. What the number is found by is of one size for any number of cells: a branch for
+    each would take the driver hundreds of MB to plan and compile.
     """
     cells = min(n, CELLS)
     if n <= 1:
@@ -141,16 +146,18 @@ def id_blocks(df: DataFrame, column: str, text: str, n: int) -> tuple[Column, li
     firsts = [sum(sizes[:k]) for k in range(len(sizes))]
     nulls = max(1, math.ceil((rows - named) / max(1, rows) * n))
 
-    def make(k: int) -> Column:
-        if k in wide:
-            return (F.lit(firsts[k]) + F.pmod(turn, F.lit(sizes[k]))).cast("int")
-        if sizes[k] == 1:
-            return F.lit(firsts[k]).cast("int")
-        low, high = bounds[k - 1], bounds[k]
-        return (F.lit(firsts[k]) + F.least(F.lit(parts - 1), F.floor((value - F.lit(low)) * F.lit(float(parts)) / F.lit(float(high - low))))).cast("int")
+    inner = [k for k in range(len(sizes)) if sizes[k] > 1 and k not in wide]  # ranges that are divided
+    lows, widths = [0] * len(sizes), [0.0] * len(sizes)
+    for k in inner:
+        lows[k], widths[k] = bounds[k - 1], float(bounds[k] - bounds[k - 1])
+    tables = {"first": _numbers(firsts), "size": _numbers(sizes), "low": _numbers(lows), "width": _numbers(widths, "double")}
+    found_in = F.transform(F.array(_place(value, _numbers(bounds), len(bounds))), lambda k: F.struct(*[F.get(x, k).alias(name) for name, x in tables.items()]))
+    within = lambda r: F.floor((value.cast("double") - r["low"].cast("double")) * F.lit(float(parts)) / r["width"])
+    turned = lambda r: F.when(r["size"] == 1, F.lit(0)).when(r["width"] == 0, F.pmod(turn, r["size"])).otherwise(F.least(r["size"] - 1, within(r)))
+    block = F.get(F.transform(found_in, lambda r: r["first"] + turned(r)), F.lit(0)).cast("int")  # a lambda's variable, so that the place is looked up once
 
     last = sum(sizes)
-    block = F.when(value.isNull(), (F.lit(last) + F.pmod(turn, F.lit(nulls))).cast("int")).otherwise(_search(value, bounds, 0, make))
+    block = F.when(value.isNull(), (F.lit(last) + F.pmod(turn, F.lit(nulls))).cast("int")).otherwise(block)
     return block, [(firsts[k], size) for k, size in wide.items()] + [(last, nulls)]
 
 

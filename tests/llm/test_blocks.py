@@ -23,3 +23,18 @@ def test_hot_ids_and_nulls_lie_in_several_blocks(spark):
     rising = sorted({((i is None, i or 0), o) for (i, _), o in zip(got, own.tolist(), strict=True)})
     assert [o for _, o in rising] == sorted(o for _, o in rising)
     assert not {b for i, b in got if i == 7} & {b for i, b in got if i != 7}
+
+
+def test_block_numbers_of_many_cells_by_a_plan_of_one_size(spark):
+    """As many blocks as 6 GB have: a branch for each cell took the driver over 500 MB more, and its code didn't compile."""
+    ids = [3 * i - 9000 for i in range(6000)]
+    df = spark.createDataFrame([(i, "x") for i in ids], "id long, text string")
+    sizes = []
+    for n in (40, 1700):
+        block, wide = blocks.id_blocks(df, "id", "text", n)
+        rows = df.select("id", block.alias("b"))
+        got = [r.b for r in rows.orderBy("id").collect()]
+        assert got == sorted(got) and n <= len(set(got)) <= 1.25 * n and wide[-1][0] > max(got)
+        assert max(got.count(b) for b in set(got)) <= 2.5 * len(ids) / n + 2
+        sizes.append(len(rows._jdf.queryExecution().optimizedPlan().toString()))
+    assert sizes[1] < 40_000
