@@ -113,6 +113,17 @@ def report(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("scanned"), *counts, errors.alias("errors"))
 
 
+def summary(files: DataFrame) -> DataFrame:
+    """One row (scanned, imported, updated, skipped, failed, errors, first_error) of the handled files of any number of jobs.
+
+    ``errors`` counts the failed files; first_error is that of the first path that has one. Nothing is gathered.
+    """
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("imported", "updated", "skipped", "failed")]
+    failed = F.col("status") == "failed"
+    first = F.min(F.when(failed & F.col("error").isNotNull(), F.struct("file_path", "error")))["error"]
+    return files.agg(F.count("*").alias("scanned"), *counts, F.count_if(failed).cast("int").alias("errors"), first.alias("first_error"))
+
+
 def session_log(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """(job_id, entry): each job's entry in the session log, with its failed files by path, those of one path by error (none: last). Jobs hold their counters."""
     name = F.regexp_extract("file_path", "([^/]*)$", 1)
