@@ -91,7 +91,11 @@ def corpus_facts(tokenized: DataFrame, asked: list[str]) -> DataFrame:
 
     A term's raw weight depends on n, so terms are first counted by their df; as many rows as there are values of df in a corpus meet in one task.
     """
-    counts = term_counts(tokenized)
+    return facts_of(term_counts(tokenized), asked)
+
+
+def facts_of(counts: DataFrame, asked: list[str]) -> DataFrame:
+    """corpus_facts from term_counts."""
     wanted, size = F.when(F.col("term").isin(*asked), F.col("term")), F.substring("term", 2, 10).try_cast("bigint")
     whole = F.col("term").startswith("\n")
     by_df = counts.groupBy(whole.alias("whole"), "df").agg(F.count("*").alias("times"), F.sum(F.when(whole, size * F.col("df"))).alias("size"), F.collect_list(wanted).alias("found"))
@@ -104,6 +108,16 @@ def corpus_facts(tokenized: DataFrame, asked: list[str]) -> DataFrame:
     return weights.select("n", "avgdl", terms.alias("terms"), F.when(terms > 0, total / terms).alias("mean"), raws.alias("raws"))
 
 
+def score_of(asked: list[str], tokens: Column, of: dict[str, tuple[Column, Column]]) -> Column:
+    """The score, to six digits, of a row of so many tokens; ``of`` has how often the row has each of the query's terms, and the terms' weights."""
+    length = K1 * (1 - B + B * tokens / F.col("avgdl"))
+    score = F.lit(0.0)
+    for term in dict.fromkeys(asked):
+        tf, weight = of[term]
+        score = score + F.coalesce(asked.count(term) * weight * tf * (K1 + 1) / (tf + length), F.lit(0.0))
+    return F.round(score, 6)
+
+
 def bm25(corpus: DataFrame, query: str, content: str = "content") -> DataFrame:
     """All rows of ``corpus`` with their BM25 score, to six digits.
 
@@ -122,14 +136,9 @@ def bm25(corpus: DataFrame, query: str, content: str = "content") -> DataFrame:
     hits = F.filter("tokens", lambda t: t.isin(*terms))
     rows = tokenized.select(*corpus.columns, F.size("tokens").alias("bm25_length"), hits.alias("bm25_hits"))
     rows = rows.join(F.broadcast(facts))  # one row, whose map holds the query's terms alone
-    length = K1 * (1 - B + B * F.col("bm25_length") / F.col("avgdl"))
-    score = F.lit(0.0)
-    for term in dict.fromkeys(asked):
-        raw = F.element_at("raws", F.lit(term))
-        weight = F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw)
-        tf = F.size("bm25_hits") - F.size(F.array_remove("bm25_hits", term))
-        score = score + F.coalesce(asked.count(term) * weight * tf * (K1 + 1) / (tf + length), F.lit(0.0))
-    return rows.select(*corpus.columns, F.round(score, 6).alias("score"))
+    raw = {t: F.element_at("raws", F.lit(t)) for t in terms}
+    of = {t: (F.size("bm25_hits") - F.size(F.array_remove("bm25_hits", t)), F.when(raw[t] < 0, EPSILON * F.col("mean")).otherwise(raw[t])) for t in terms}
+    return rows.select(*corpus.columns, score_of(asked, F.col("bm25_length"), of).alias("score"))
 
 
 def keyword(corpus: DataFrame, query: str, k: int = TOP_K, key: str = "chunk_id", content: str = "content") -> DataFrame:
@@ -139,6 +148,37 @@ def keyword(corpus: DataFrame, query: str, k: int = TOP_K, key: str = "chunk_id"
     return best.where("score > 0").withColumn("score", F.round(share, 6)).where("score > 0")
 
 
+def keyword_scores(corpus: DataFrame, query: str, k: int = TOP_K, key: str = "chunk_id", content: str = "content") -> DataFrame:
+    """(key, score, rank): what ``keyword`` finds, by one pass over the rows instead of two.
+
+    A row is counted with its terms as one more term, which holds its key, its number of tokens and how often it has each of the query's terms. So rows are
+    cut into terms once, and what is shuffled and read twice is a short row for each that has one of the query's terms, beside the terms' frequencies.
+    """
+    asked = re.findall("[一-鿿]|[a-z0-9_./%+\\-]+", query.lower())
+    if not asked:
+        return corpus.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    terms, kind = sorted(set(asked)), dict(corpus.dtypes)[key]
+    tokenized = corpus.select(F.col(key).cast("string").alias("key"), T.search_tokens(F.coalesce(F.col(content), F.lit(""))).alias("tokens"))
+    tokenized = tokenized.select("key", "tokens", F.filter("tokens", lambda t: t.isin(*terms)).alias("hits"))
+    words = F.array(*[F.lit(t) for t in terms])
+    tfs = F.array_join(F.transform(words, lambda t: (F.size("hits") - F.size(F.array_remove("hits", t))).cast("string")), " ")
+    own = F.when(F.size("hits") > 0, F.array(F.concat(F.lit("\r"), F.size("tokens").cast("string"), F.lit(" "), tfs, F.lit(" "), "key"))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.array(F.concat(F.lit("\n"), F.size("tokens").cast("string"))), F.array_distinct("tokens"), own)
+    # Which they are is told by a sum's result, so that both sides read the one shuffle: what the term itself tells would be asked before it.
+    counts = tokenized.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.max(F.col("term").startswith("\r")).alias("is_row"))
+    facts = facts_of(counts.where("not is_row").select("term", "df"), terms)
+    raw = F.transform(words, lambda t: F.element_at("raws", t))
+    facts = facts.select("avgdl", F.transform(raw, lambda r: F.when(r < 0, EPSILON * F.col("mean")).otherwise(r)).alias("weights"))
+    rows = counts.where("is_row").select(F.split(F.substring("term", 2, 1 << 30), " ", len(terms) + 2).alias("r"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("df"))).alias("again"))  # rows may be alike
+    rows = rows.select(F.get("r", F.lit(len(terms) + 1)).cast(kind).alias(key), F.get("r", F.lit(0)).cast("int").alias("length"), F.slice("r", 2, len(terms)).cast("array<int>").alias("tfs"))
+    rows = rows.join(F.broadcast(facts))  # one row
+    of = {t: (F.get("tfs", F.lit(n)), F.get("weights", F.lit(n))) for n, t in enumerate(terms)}
+    scored = rows.select(key, score_of(asked, F.col("length"), of).alias("score"))
+    best = top(scored, k, key)
+    share = F.col("score") / F.max("score").over(Window.partitionBy())  # of k rows
+    return best.where("score > 0").withColumn("score", F.round(share, 6)).where("score > 0")
+
+
 def fuse(semantic_rows: DataFrame, keyword_rows: DataFrame, k: int = TOP_K, key: str = "chunk_id", weights: tuple[float, float] = (SEMANTIC_WEIGHT, KEYWORD_WEIGHT)) -> DataFrame:
     """(key, score, rank): the weighted mean of both scores, a missing one counting 0. A union and a sum instead of a full outer join."""
     total = sum(weights) or 1.0
@@ -148,7 +188,7 @@ def fuse(semantic_rows: DataFrame, keyword_rows: DataFrame, k: int = TOP_K, key:
 
 def hybrid(vectors: DataFrame, query_vector: DataFrame, corpus: DataFrame, query: str, k: int = TOP_K, weights: tuple[float, float] = (SEMANTIC_WEIGHT, KEYWORD_WEIGHT)) -> DataFrame:
     """The k best chunks of both searches, each of which gives 3k."""
-    return fuse(semantic(vectors, query_vector, 3 * k), keyword(corpus, query, 3 * k), k, weights=weights)
+    return fuse(semantic(vectors, query_vector, 3 * k), keyword_scores(corpus, query, 3 * k), k, weights=weights)
 
 
 def search(vectors: DataFrame, query_vector: DataFrame, corpus: DataFrame, query: str, mode: str = "hybrid", top_k: int | None = None, filters: dict | None = None) -> DataFrame:
@@ -160,5 +200,5 @@ def search(vectors: DataFrame, query_vector: DataFrame, corpus: DataFrame, query
     if mode == "semantic":
         return semantic(vectors, query_vector, k).select("chunk_id", "score", "rank")
     if mode == "keyword":
-        return keyword(corpus, query, k).select("chunk_id", "score", "rank")
+        return keyword_scores(corpus, query, k)
     return hybrid(vectors, query_vector, corpus, query, k)

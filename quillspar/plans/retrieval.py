@@ -63,12 +63,12 @@ def bm25_stats(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return search.keyword(D.chunks(spark, sf_dir), D.query_text(spark, sf_dir)).select("chunk_id", "score", "rank")
+    return search.keyword_scores(D.chunks(spark, sf_dir), D.query_text(spark, sf_dir))
 
 
 def bm25_filtered(spark, sf_dir):
     corpus = search.metadata_filter(D.chunks(spark, sf_dir), {"file_type": "en", "manufacturer": "src3"})
-    return search.keyword(corpus, D.query_text(spark, sf_dir)).select("chunk_id", "score", "rank")
+    return search.keyword_scores(corpus, D.query_text(spark, sf_dir))
 
 
 def _bm25_sql(where: str) -> str:
@@ -103,8 +103,9 @@ top_ AS ({_top_sql("fused_")})"""
 
 
 def _results(spark, sf_dir):
-    rows = hybrid_topk(spark, sf_dir)
-    return D.chunks(spark, sf_dir).join(F.broadcast(rows), "chunk_id")  # at most eight rows
+    """The hits with their chunks. Only their documents are cut into chunks again."""
+    rows = hybrid_topk(spark, sf_dir).withColumn("hit_document", F.substring_index("chunk_id", "#", 1).cast("bigint"))
+    return D.chunks(spark, sf_dir, ids=rows.select("hit_document")).join(F.broadcast(rows.drop("hit_document")), "chunk_id")  # at most eight rows
 
 
 def context_block(spark, sf_dir):

@@ -45,9 +45,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENTS = f"documents_ AS (SELECT doc_id AS document_id, text, lang AS file_type, source AS manufacturer, {STATUS} AS status, md5(text) AS file_hash, n_chars AS imported_at FROM documents)"
 
 
-def chunks(spark: SparkSession, sf_dir: str, with_content: bool = True) -> DataFrame:
-    """Chunks of all documents, with their documents' columns."""
+def chunks(spark: SparkSession, sf_dir: str, with_content: bool = True, ids: DataFrame | None = None) -> DataFrame:
+    """Chunks of all documents, or of those of the few ``ids`` (one column), with their documents' columns."""
     d = documents(spark, sf_dir)
+    if ids is not None:
+        d = d.join(F.broadcast(ids.toDF("wanted")), F.col("document_id") == F.col("wanted"), "left_semi")
     cut = C.chunk(d.select("document_id", "file_type", "manufacturer", "status", F.array(C.segment(F.col("text"))).alias("segments")), with_content=with_content)
     label = C.source_label(F.concat(F.lit("doc"), F.col("document_id").cast("string")), F.col("page_number"), F.col("chunk_index"))
     return cut.withColumn("chunk_id", C.chunk_id(F.col("document_id"), F.col("chunk_index"))).withColumn("source", label)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillspar.operators import parameters
-from quillspar.plans import evidence
+from quillspar.operators import parameters, progress, search
+from quillspar.plans import evidence, records, retrieval
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,3 +30,32 @@ def test_only_the_wanted_kind_is_looked_for(spark):
 
 def test_comparison_extracts_once(spark):
     assert plan(evidence.compare_missing(spark, SF)).count("posexplode(") == 1
+
+
+def test_keyword_scores_are_those_of_keyword_by_one_pass(spark, tmp_path):
+    texts = ["range 100 m range", "accuracy 2 cm", "the range the", "the model", "range 100 m range", "", None]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0])]  # two rows alike
+    spark.createDataFrame(rows, "k int, content string").write.parquet(str(tmp_path / "rows"))
+    corpus = spark.read.parquet(str(tmp_path / "rows"))
+    for key, query in (("k", "range the"), ("name", "range range model none"), ("k", "nothing"), ("k", " ,, ")):
+        named = corpus.withColumn("name", F.concat(F.lit("a b#"), "k"))
+        got, want = (f(named, query, 4, key).select(key, "score", "rank") for f in (search.keyword_scores, search.keyword))
+        assert got.schema[key].dataType == want.schema[key].dataType and got.orderBy("rank").collect() == want.orderBy("rank").collect()
+    found = search.keyword_scores(corpus, "100", 4, "k")
+    assert len(found.collect()) == 3
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+
+
+def test_results_cut_only_the_documents_found(spark):
+    """One pass for the search, in which a filter of documents has no part, and one over the documents of the hits."""
+    made = retrieval._results(spark, SF)
+    text = plan(made).split("posexplode(")
+    assert sum("wanted#" in x for x in text) and made.count() == 8
+
+
+def test_import_summary_gathers_nothing(spark):
+    rows = [(1, "/b", "failed", "second"), (1, "/a", "failed", None), (2, "/a", "failed", "first"), (2, "/a", "imported", None), (3, None, "updated", None)]
+    files = spark.createDataFrame(rows, "job_id int, file_path string, status string, error string")
+    assert tuple(progress.summary(files).first()) == (5, 1, 1, 0, 3, 3, "first")
+    assert "collect_list" not in plan(records.import_report(spark, SF))
