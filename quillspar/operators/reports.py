@@ -88,9 +88,11 @@ def recover_jobs(jobs: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def recover_files(files: DataFrame, interrupted: DataFrame) -> DataFrame:
-    """Files in progress of interrupted jobs become pending again."""
-    rows = files.join(interrupted.select("job_id").distinct().withColumn("lost", F.lit(True)), "job_id", "left")
-    return rows.withColumn("status", F.when(F.col("lost") & (F.col("status") == "processing"), "pending").otherwise(F.col("status"))).drop("lost")
+    """Files in progress of interrupted jobs become pending again. Only files in progress are joined, which are few; the others stay where they are read."""
+    stuck = F.coalesce(F.col("status") == "processing", F.lit(False))
+    rows = files.where(stuck).join(interrupted.select("job_id").distinct().withColumn("lost", F.lit(True)), "job_id", "left")
+    back = rows.withColumn("status", F.when(F.col("lost"), "pending").otherwise(F.col("status"))).drop("lost")
+    return back.unionByName(files.where(~stuck))
 
 
 def error_class(message: Column, phase: Column, kind: Column | None = None) -> Column:

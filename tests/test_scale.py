@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspar.operators import parameters, progress, search
+from quillspar.operators import parameters, progress, reports, search
 from quillspar.plans import evidence, records, retrieval
 
 SF = "/root/testdata/sf0.01"
@@ -59,3 +59,11 @@ def test_import_summary_gathers_nothing(spark):
     files = spark.createDataFrame(rows, "job_id int, file_path string, status string, error string")
     assert tuple(progress.summary(files).first()) == (5, 1, 1, 0, 3, 3, "first")
     assert "collect_list" not in plan(records.import_report(spark, SF))
+
+
+def test_only_files_in_progress_are_joined(spark):
+    files = spark.createDataFrame([(1, "processing"), (1, "failed"), (2, "processing"), (None, "processing"), (1, None)], "job_id int, status string")
+    lost = spark.createDataFrame([(1,), (1,), (None,)], "job_id int")
+    out = reports.recover_files(files, lost)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "pending"), (1, "failed"), (2, "processing"), (None, "processing"), (1, None)], key=str)
+    assert plan(out).split("Join")[0].startswith("Union")
